@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Ids up to this many may be broadcast (16 bytes each: 16 MB at most); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
+#: Rows that a Python worker gets at a time.
+BATCH_ROWS = 1000
+
 _local: dict[str, str] = {}
 
 
@@ -31,18 +38,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[sc.applicationId]}"
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """While it lasts, Python workers get at most ``rows`` rows at a time: long texts make large batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lost executors don't lose it, and its plan starts anew."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner drop shuffle files that no live DataFrame refers to, once their results are in a table."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's context cleaner drop shuffle files that no live DataFrame refers to, once their results are in a table.
+
+    Twice: a plan is only unreachable when the listeners have let go of it too.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def discard(*tables: DataFrame) -> None:
@@ -59,3 +84,12 @@ def discard(*tables: DataFrame) -> None:
 def few(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     """``ids`` with a broadcast hint if it is proven to hold at most ``bound`` rows; otherwise as it is, for a shuffled join."""
     return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
+
+
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` written in the order of ``order``, with ``rank`` from 0: counts inside range partitions plus the partitions before. No task sees more than a range, or one row for each range."""
+    spread = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spread.withColumn("_in", inside).join(sizes.select("_part", before.alias("_base")), "_part").withColumn("rank", (F.col("_base") + F.col("_in")).cast("long")).drop("_part", "_in", "_base")
