@@ -4,7 +4,7 @@ A window is ``WINDOW`` = 20 consecutive words of one document. Anchors are runs
 modulo ``PERIOD`` = 13, in the difference cover {0, 1, 3, 9}: for any two positions i, j some shift below 13 brings both into the
 cover at once, so two equal windows always contain one aligned pair of equal anchors (13 - 1 + 8 = 20). Only four anchors in
 thirteen words are hashed and shuffled. Anchors that occur twice extend to the windows around them; those windows are hashed in
-full (128 bits) and all but the first occurrence of each are covered.
+full (96 bits) and all but the first occurrence of each are covered.
 
 Skew: a repeated line or passage meets in each chunk of rows first. Of each anchor or window one row per chunk is shuffled; what
 repeats inside a chunk is decided there. No task sees more rows of a key than there are chunks.
@@ -21,14 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialise, release
+from .common import discard, materialise, ranked, release
 from .words import U, mix, words
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-CHUNK = 1 << 22
+CHUNK = 3 << 20
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
-_LAST = 2**63 - 1
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +64,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        all_ids, all_v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        near = batch.column(3)
-        for w in words(batch.column(2), chunk_bytes=CHUNK):
+        all_ids = batch.column(0).to_numpy(zero_copy_only=False)
+        near = batch.column(2)
+        for w in words(batch.column(1), chunk_bytes=CHUNK):
             n = max(0, len(w.hashes) - WINDOW + 1)
             anchors = near.slice(w.first, w.last - w.first)
             at = anchors.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -80,13 +79,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             row = w.rows()[at]
-            ids, v, start = all_ids[w.first + row], all_v[w.first + row], at - w.at[row]
-            order = np.lexsort((start, v, ids))
-            ids, v, start, at = ids[order], v[order], start[order], at[order]
-            one, two = w.windows(WINDOW)[at], w.windows(WINDOW, 1)[at]
+            ids, start = all_ids[w.first + row], at - w.at[row]
+            order = np.lexsort((start, ids))
+            ids, start, at = ids[order], start[order], at[order]
+            one, two = w.windows(WINDOW)[at], w.windows(WINDOW, 1)[at] >> U(32)
             first, _ = _groups(one, two)
             spread = mix(ids.astype(np.int64).view(U) ^ mix(start.astype(U), 23))
-            yield pa.RecordBatch.from_arrays([_long(np.where(first, one, spread)), _long(np.where(first, two, U(0))), pa.array(ids, pa.int64()), pa.array(v, pa.int64()), pa.array(start.astype(np.int32)), pa.array(first)], ["k1", "k2", "id", "v", "start", "open"])
+            place = np.where(first, two, U(0)) << U(32) | start.astype(U) << U(1) | first.astype(U)
+            yield pa.RecordBatch.from_arrays([_long(np.where(first, one, spread)), pa.array(ids, pa.int64()), _long(place)], ["k", "id", "p"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +106,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"])
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``uid``: the id where ids are distinct; else the place of (id, text hash) in order, nulls last. And (uid, t) once each."""
+    ids = docs.groupBy("id").count()
+    if ids.where("count > 1 or id is null").isEmpty():
+        docs = docs.withColumn("uid", F.col("id"))
+        return docs, docs.select("uid", "t")
+    texts = docs.withColumn("v", F.xxhash64("t"))
+    order = ranked(texts.select(F.coalesce("id", F.lit(2**63 - 1)).alias("o"), F.col("id").isNull().cast("int").alias("none"), "v").distinct(), ["none", "o", "v"], "order")
+    order = materialise(order.select(F.when(F.col("none") == 0, F.col("o")).alias("_id"), F.col("v").alias("_v"), F.col("rank").alias("uid")), "uids")
+    docs = texts.join(order, F.col("id").eqNullSafe(F.col("_id")) & (F.col("v").eqNullSafe(F.col("_v")))).drop("v", "_id", "_v")
+    return docs, docs.groupBy("uid").agg(F.first("t").alias("t"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(row, n_words, n_removed, kept) for each row of ``docs``: ``row`` is a struct of the columns in ``carry`` (default: the id), ``kept`` the words left, joined by one space.
 
@@ -114,18 +127,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in the order of a text hash; rows equal in id and text are one document, and each is returned.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("t"))
-    marks = docs.select("id", "t").mapInArrow(_anchors, "h long, id long, p int")
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    docs, texts = _numbered(docs)
+    marks = texts.select("uid", "t").mapInArrow(_anchors, "h long, id long, p int")
     again = marks.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1 or p % 2 = 1")
-    near = materialise(again.groupBy("id").agg(F.collect_list(F.expr("p div 2").cast("int")).alias("near")), "near")
+    near = materialise(again.groupBy("id").agg(F.collect_set(F.expr("p div 2").cast("int")).alias("near")), "near")
     release(spark)
 
-    texts = docs.withColumn("v", F.xxhash64("t"))
-    some = texts.select("id", "v", "t").join(near.hint("shuffle_hash"), "id").mapInArrow(_windows, "k1 long, k2 long, id long, v long, start int, open boolean")
-    earliest = F.min(F.struct("id", "v", "start")).over(Window.partitionBy("k1", "k2"))
-    later = some.withColumn("e", earliest).where("not open or e <> struct(id, v, start)")
-    # equal rows give equal starts
-    covered = materialise(later.groupBy("id", "v").agg(F.collect_set("start").alias("starts")), "covered")
+    some = texts.select(F.col("uid").alias("id"), "t").join(near.hint("shuffle_hash"), "id").mapInArrow(_windows, "k long, id long, p long")
+    # p: 32 more bits of the window's hash, its start, and whether other chunks may hold an earlier one
+    start, check = F.shiftright("p", 1).bitwiseAND(2**31 - 1).cast("int"), F.shiftright("p", 32)
+    some = some.select("k", check.alias("c"), "id", start.alias("start"), (F.col("p") % 2 != 0).alias("open"))
+    earliest = F.min(F.struct("id", "start")).over(Window.partitionBy("k", "c"))
+    later = some.withColumn("e", earliest).where("not open or e <> struct(id, start)")
+    covered = materialise(later.groupBy("id").agg(F.collect_set("start").alias("starts")), "covered")
     discard(near)
     release(spark)
-    return texts.join(covered.hint("shuffle_hash"), ["id", "v"], "left").select("row", "t", "starts").mapInArrow(_cut, docs.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string"))
+    cut = docs.join(covered.select(F.col("id").alias("uid"), "starts").hint("shuffle_hash"), "uid", "left").select("row", "t", "starts")
+    return cut.mapInArrow(_cut, docs.select("row").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string"))
