@@ -1,6 +1,500 @@
-"""Every query of the road audit and its SQL for the correctness check."""
+"""Every query of the road audit, by the survey's ids, and its SQL for the correctness check."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo, text
+from ..operators import classify, detectors, feeds, fixes, history, matching, reports, routes, spatial
+from ..sources.fixtures import Roads
+from ..streaming import vehicles
+from .oracles import LABEL, TRUTHY, expanded, hav, r, sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RINGS = [[(39.17, -84.43), (39.17, -84.35), (39.235, -84.34), (39.235, -84.42), (39.17, -84.43)], [(39.19, -84.40), (39.19, -84.38), (39.21, -84.38), (39.21, -84.40), (39.19, -84.40)]]
+
+
+def query(body: str | None = None, *over: str):
+    """Registers a function of :class:`Roads` under its name, with SQL over the named tables."""
+
+    def register(f: Callable[[Roads], DataFrame]) -> Callable[[Roads], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Roads(spark, sf_dir))
+        if body:
+            ORACLES[f.__name__] = sql(body, *over) if over else body
+        return f
+
+    return register
+
+
+def classified(x: Roads) -> DataFrame:
+    return classify.classify(x.ways)
+
+
+def gaps(x: Roads) -> DataFrame:
+    return classify.gap_pairs(classified(x))
+
+
+def found(x: Roads) -> DataFrame:
+    w = x["ways_attr"]
+    return detectors.findings(detectors.reversed_oneways(w), detectors.blocked_access(w), detectors.arterial_names(w), detectors.missing_maxspeed(w))
+
+
+# classes
+
+
+@query("select defect_class, count(*) n from cls group by 1", "cls")
+def agg_2_class_histogram(x):
+    return classify.histogram(classified(x), "defect_class")
+
+
+@query("select coalesce(nullif(service,''),'(unset)') service, count(*) n from ways_attr group by 1", "ways_attr")
+def agg_2_by_service(x):
+    return classify.histogram(x["ways_attr"], "service")
+
+
+@query("select id, defect_class, case defect_class when 'AB' then 'CRITICAL' when 'A' then 'CRITICAL' when 'B' then 'HIGH' else 'LOW' end severity, segments from cls", "cls")
+def flt_3_4_defect_class(x):
+    return classified(x).select("id", "defect_class", "severity", "segments")
+
+
+@query("select id, name_key, name_display from named", "named")
+def prj_3_5_names(x):
+    return classified(x).select("id", "name_key", "name_display")
+
+
+@query(f"select id, {TRUTHY} truthy from ways_attr", "ways_attr")
+def prj_4_oneway_truthy(x):
+    return x["ways_attr"].select("id", text.oneway_truthy(F.col("oneway")).alias("truthy"))
+
+
+@query("select id, name_key from cls where segments>=2", "cls")
+def jn_1_multi_segment(x):
+    return classified(x).where("segments >= 2").select("id", "name_key")
+
+
+@query("select name_key, arg_min(name_display,id) name, count(*) segments, string_agg(cast(id as varchar), ',' order by id) ids from cls where segments>=2 group by 1", "cls")
+def agg_3_streets(x):
+    return classify.streets(classified(x)).withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
+
+
+@query(
+    f"select count(*) total_ways, count(*) filter (highway='residential') residential, count(*) filter ({TRUTHY}) oneway_total, count(*) filter (defect_class in ('A','AB')) class_a_count, count(*) filter (defect_class='AB') class_ab_count, count(*) filter (defect_class in ('B','AB')) class_b_way_count, count(*) filter (defect_class='C') class_c_count, count(distinct case when segments>=2 then name_key end) class_b_streets, count(*) filter (n is null) missing_geometry from cls left join ends using(id)",
+    "cls", "ends",
+)
+def agg_1_summary(x):
+    return classify.summary(classified(x))
+
+
+# detectors
+
+
+@query("select kind, id, severity, routing_impact from found", "found")
+def flt_5_8_attribute_findings(x):
+    return found(x).select("kind", "id", "severity", "routing_impact")
+
+
+@query("select id from barrier_nodes where barrier in ('gate','bollard','lift_gate','swing_gate','cycle_barrier') and coalesce(access,'')='' and coalesce(foot,'')=''", "barrier_nodes")
+def flt_9_barriers(x):
+    return detectors.unqualified_barriers(x["barrier_nodes"]).select("id")
+
+
+@query(
+    """select id, array_to_string(list_sort(list_concat(case when has_from then [] else ['missing from'] end, case when has_to then [] else ['missing to'] end, case when has_via then [] else ['missing via'] end,
+ case when coalesce(restriction,'')='' and coalesce(restriction_hgv,'')='' then ['empty restriction'] else [] end,
+ case when ref_null and has_from then ['dangling from'] else [] end)), ';') problems from restrictions
+ where not (has_from and has_via and has_to) or (coalesce(restriction,'')='' and coalesce(restriction_hgv,'')='') or (ref_null and has_from)""",
+    "restrictions",
+)
+def flt_10_restrictions(x):
+    member = lambda role: F.when(F.col(f"has_{role}"), F.struct(F.lit(role).alias("role"), F.when(~(F.col("ref_null") & F.lit(role == "from")), F.col("id")).alias("ref")))
+    tags = F.map_from_entries(F.filter(F.array(F.struct(F.lit("restriction").alias("k"), F.col("restriction").alias("v")), F.struct(F.lit("restriction:hgv").alias("k"), F.col("restriction_hgv").alias("v"))), lambda t: t["v"].isNotNull()))
+    rel = x["restrictions"].select("id", tags.alias("tags"), F.array_compact(F.array(*map(member, ("from", "via", "to")))).alias("members"))
+    return detectors.broken_restrictions(rel).select("id", F.array_join("problems", ";").alias("problems"))
+
+
+@query("select kind, count(*) n from found group by 1", "found")
+def set_2_findings_by_kind(x):
+    return found(x).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("select kind, id, severity, routing_impact from found order by routing_impact desc, case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end, id, kind limit 50", "found")
+def top_1_findings(x):
+    return reports.top_findings(found(x)).select("kind", "id", "severity", "routing_impact")
+
+
+@query("select w.id, coalesce(max(routing_impact),0) impact from ways_attr w left join found f on f.id=w.id group by 1", "ways_attr", "found")
+def jn_17_impact_by_way(x):
+    return reports.impact_by_way(x["ways_attr"], found(x))
+
+
+_UV = "sqrt(pow(e.lon1-e.lon0,2)+pow(e.lat1-e.lat0,2))"
+
+
+@query(
+    f"""select id, id_other, {r("lat", 6)} lat from (
+ select a.id, b.id id_other, a.g glat, m.lat, a.key,
+  least({", ".join(hav(f"a.lat{i}", f"a.lon{i}", f"b.lat{j}", f"b.lon{j}") for i in (0, 1) for j in (0, 1))}) ends,
+  a.ux*b.ux+a.uy*b.uy dot, abs(((b.lon0+b.lon1)-(a.lon0+a.lon1))/2*a.ux+((b.lat0+b.lat1)-(a.lat0+a.lat1))/2*a.uy) along, abs(((b.lon0+b.lon1)-(a.lon0+a.lon1))/2*a.uy-((b.lat0+b.lat1)-(a.lat0+a.lat1))/2*a.ux) across,
+  (select max(d) from (select min({hav("p.lat", "p.lon", "v.lat", "v.lon")}) d from (select 0 k, a.lat0 lat, a.lon0 lon union all select 1, a.lat1, a.lon1) p, way_vertices v where v.id=b.id group by k)) ab,
+  (select max(d) from (select min({hav("p.lat", "p.lon", "v.lat", "v.lon")}) d from (select 0 k, b.lat0 lat, b.lon0 lon union all select 1, b.lat1, b.lon1) p, way_vertices v where v.id=a.id group by k)) ba
+ from one a join one b on a.key=b.key and a.id<b.id join mid m on m.id=a.id) where ends>=5 and dot>=0.7 and along<=1.5*across and (ab<=50 or ba<=50)""".replace("select a.id, b.id id_other, a.g glat,", "select a.id, b.id id_other,"),
+    "ways_attr", "ends", "mid",
+)
+def jn_2_conflicts(x):
+    return detectors.conflicts(x.ways).select("id", "id_other", geo.rounded(F.col("lat"), 6).alias("lat"))
+
+
+_ONE = f"one as (select w.id, nullif(lower(trim(name)),'') key, e.*exclude(id), case when trim(oneway)='-1' then -1 else 1 end*(e.lon1-e.lon0)/nullif({_UV},0) ux, case when trim(oneway)='-1' then -1 else 1 end*(e.lat1-e.lat0)/nullif({_UV},0) uy from ways_attr w join ends e on e.id=w.id where e.n>=2 and {TRUTHY} and nullif(lower(trim(name)),'') is not null)"
+ORACLES["jn_2_conflicts"] = ORACLES["jn_2_conflicts"].replace("\nselect id, id_other", f",\n{_ONE}\nselect id, id_other", 1)
+
+
+@query(f"select name_key, way1_id, way2_id, {r('distance_m', 1)} distance_m, {r('lat', 5)} lat from gaps", "gaps")
+def jn_3_gaps(x):
+    return gaps(x).select("name_key", "way1_id", "way2_id", geo.rounded(F.col("distance_m"), 1).alias("distance_m"), geo.rounded(F.col("lat"), 5).alias("lat"))
+
+
+@query()
+def win_3_clustered_gaps(x):
+    return classify.cluster_gaps(gaps(x))
+
+
+@query(f"select id, {r('d', 2)} distance_m from stopd where d>20", "stopd")
+def jn_4_misplaced_stops(x):
+    return detectors.misplaced_stops(x["bus_stops"], x.ways).select("id", geo.rounded(F.col("distance_m"), 2).alias("distance_m"))
+
+
+@query(f"select id from stopd s where d>20 and not exists (select 1 from gtfs_stops g where {hav('s.lat', 's.lon', 'g.lat', 'g.lon')}<=30)", "stopd", "gtfs_stops")
+def jn_5_suppressed_stops(x):
+    return detectors.misplaced_stops(x["bus_stops"], x.ways, x["gtfs_stops"]).select("id")
+
+
+@query(f"select m.id, string_agg(distinct cast(route_id as varchar), ',' order by cast(route_id as varchar)) routes from mid m join route_vertices v on abs(m.lat-v.lat)<0.001 and {hav('m.lat', 'm.lon', 'v.lat', 'v.lon')}<=25 group by 1", "mid", "route_vertices")
+def jn_6_corridors(x):
+    return detectors.corridors(x.ways, x["route_vertices"]).select("id", F.array_join(F.array_sort(F.transform("routes", lambda c: c.cast("string"))), ",").alias("routes"))
+
+
+@query(
+    f"select id, note_id, date_created from (select m.id, n.id note_id, n.date_created, row_number() over (partition by m.id order by n.date_created desc, {hav('m.lat', 'm.lon', 'n.lat', 'n.lon')}, n.id) k from mid m join notes n on abs(m.lat-n.lat)<0.001 and n.status='open' and {hav('m.lat', 'm.lon', 'n.lat', 'n.lon')}<=50) where k=1",
+    "mid", "notes",
+)
+def jn_7_win_4_latest_notes(x):
+    mid = x.ways.withColumn("m", geo.middle(F.col("geometry"))).select("id", "m.lat", "m.lon")
+    return detectors.latest_notes(mid, x["notes"]).select("id", "note_id", "date_created")
+
+
+# matching
+
+
+def _pairs(x: Roads) -> DataFrame:
+    return matching.scored_pairs(x.ways, matching.centerline_records(x.centerline_shapes), fuzzy=False)
+
+
+@query(f"select id, source_id, {r('h', 2)} hausdorff_m, {r('dir', 4)} direction, sim name_similarity from scored", "scored")
+def jn_8_scored_pairs(x):
+    return _pairs(x).select("id", "source_id", geo.rounded(F.col("hausdorff_m"), 2).alias("hausdorff_m"), geo.rounded(F.col("direction"), 4).alias("direction"), "name_similarity")
+
+
+@query(f"select id, source_id, {r('conf', 4)} confidence, case when conf>=0.85 then 'HIGH' when conf>=0.6 then 'REVIEW' else 'LOW' end band from best", "best")
+def jn_9_best_match(x):
+    m = matching.match(x.ways, matching.centerline_records(x.centerline_shapes), fallback=False, fuzzy=False)
+    return m.select("id", "source_id", geo.rounded(F.col("confidence"), 4).alias("confidence"), matching.band(F.col("confidence")).alias("band"))
+
+
+@query()
+def jn_9_10_match(x):
+    return matching.match(x.ways, matching.centerline_records(x.centerline_shapes))
+
+
+@query()
+def jn_11_symmetric_match(x):
+    return matching.match(x.ways, matching.centerline_records(x.centerline_shapes), fallback=False, symmetric=True)
+
+
+@query()
+def diag_buckets(x):
+    return matching.diagnose(x.ways, matching.centerline_records(x.centerline_shapes))
+
+
+@query(f"select bucket, count(*) n, {r('min(h)', 1)} least_m, {r('list_sort(list(h))[count(*)//2+1]', 1)} median_m, {r('max(h)', 1)} most_m from (select id, h, case when conf>=0.85 then 'MATCHED_HIGH' when conf>=0.6 then 'MATCHED_REVIEW' else 'LOW' end bucket from best) group by 1", "best")
+def agg_4_diagnosis_summary(x):
+    m = matching.match(x.ways, matching.centerline_records(x.centerline_shapes), fallback=False, fuzzy=False)
+    b = F.when(F.col("confidence") >= 0.85, "MATCHED_HIGH").when(F.col("confidence") >= 0.6, "MATCHED_REVIEW").otherwise("LOW")
+    s = matching.diagnosis_summary(m.select(b.alias("bucket"), "hausdorff_m"))
+    return s.select("bucket", "n", *(geo.rounded(F.col(c), 1).alias(c) for c in ("least_m", "median_m", "most_m")))
+
+
+@query(f"""select coalesce(a.bucket,b.bucket) bucket, coalesce(a,0) a, coalesce(b,0) b, coalesce(b,0)-coalesce(a,0) delta, {r("case when coalesce(a,0)>0 then 100.0*(coalesce(b,0)-coalesce(a,0))/a when b>0 then 100.0 else 0.0 end", 3)} delta_pct from
+ (select defect_class bucket, count(*) a from cls where id%2=0 and defect_class<>'C' group by 1) a full outer join (select defect_class bucket, count(*) b from cls where id%3<>0 and defect_class<>'A' group by 1) b on a.bucket=b.bucket""", "cls")
+def agg_5_jn_19_bucket_changes(x):
+    c = classified(x).select("id", F.col("defect_class").alias("bucket"))
+    out = matching.bucket_changes(c.where("id % 2 = 0 and bucket <> 'C'"), c.where("id % 3 <> 0 and bucket <> 'A'"))
+    return out.withColumn("delta_pct", geo.rounded(F.col("delta_pct"), 3))
+
+
+@query("select id source_id, case trvl_dir when 1 then 'yes' when -1 then '-1' else 'no' end source_oneway, case class when 1 then 'interstate' when 2 then 'arterial' when 3 then 'collector' when 4 then 'minor_collector' when 5 then 'local' when 6 then 'ramp' when 7 then 'service' end functional_class, speed speed_limit from centerlines", "centerlines")
+def prj_19_centerlines(x):
+    return matching.centerline_records(x.centerline_shapes).select("source_id", "source_oneway", "functional_class", "speed_limit")
+
+
+@query(f"select id, {expanded('lower(trim(label))')} name from centerlines", "centerlines")
+def prj_8_expanded_names(x):
+    return x["centerlines"].select("id", text.expand_abbrev(text.norm_name(F.col("label"))).alias("name"))
+
+
+# geometry
+
+
+@query(f"select id, {r(f'(e.lon1-e.lon0)/nullif({_UV},0)', 6)} ux, {r(f'(e.lat1-e.lat0)/nullif({_UV},0)', 6)} uy from ends e where n>=2", "ends")
+def prj_10_unit_vectors(x):
+    u = geo.unit_vector(F.col("geometry"))
+    return x.ways.where("size(geometry) >= 2").select("id", geo.rounded(u["x"], 6).alias("ux"), geo.rounded(u["y"], 6).alias("uy"))
+
+
+@query(f"select a.id, {r('sum(' + hav('a.lat', 'a.lon', 'b.lat', 'b.lon') + ')', 2)} length_m from way_vertices a join way_vertices b on b.id=a.id and b.i=a.i+1 group by 1", "way_vertices")
+def prj_16_length(x):
+    return x.ways.where("size(geometry) >= 2").select("id", geo.rounded(geo.length(F.col("geometry")), 2).alias("length_m"))
+
+
+@query(f"select id, {r('lat', 7)} lat, {r('lon', 7)} lon from mid", "mid")
+def prj_23_middle(x):
+    m = geo.middle(F.col("geometry"))
+    return x.ways.where("size(geometry) > 0").select("id", geo.rounded(m["lat"], 7).alias("lat"), geo.rounded(m["lon"], 7).alias("lon"))
+
+
+@query(
+    f"""select id, {r(f"6371000.0*radians(0)+degrees(asin(sin(radians(lat0))*cos(80/6371000.0)+cos(radians(lat0))*sin(80/6371000.0)*cos(b)))", 7)} lat from (select id, lat0, atan2(sin(radians(lon1-lon0))*cos(radians(lat1)), cos(radians(lat0))*sin(radians(lat1))-sin(radians(lat0))*cos(radians(lat1))*cos(radians(lon1-lon0))) b from ends where n>=2)""",
+    "ends",
+)
+def prj_18_offset(x):
+    g = F.col("geometry")
+    to = geo.destination(geo.first(g), geo.bearing(geo.first(g), geo.last(g)), F.lit(80.0))
+    return x.ways.where("size(geometry) >= 2").select("id", geo.rounded(to["lat"], 7).alias("lat"))
+
+
+_IN = " + ".join(f"case when ({a[0]}>lat)<>({b[0]}>lat) and lon<{a[1]}+(lat-{a[0]})*({b[1]}-({a[1]}))/nullif({b[0]}-{a[0]},0) then 1 else 0 end" for ring in RINGS for a, b in zip(ring, ring[1:]))
+
+
+@query(f"select id from mid where ({_IN})%2=1", "mid")
+def flt_1_clip(x):
+    rings = F.array(*(F.array(*(geo.point(F.lit(float(a)), F.lit(float(b))) for a, b in ring)) for ring in RINGS))
+    mid = x.ways.where("size(geometry) > 0").withColumn("m", geo.middle(F.col("geometry"))).select("id", "m.lat", "m.lon")
+    return spatial.clip(mid, rings).select("id")
+
+
+@query("select defect_class, count(*) n from cls join (select id, min(lat) s, max(lat) n, min(lon) w, max(lon) e from way_vertices group by 1) b using(id) where s<=39.20 and n>=39.18 and w<=-84.36 and e>=-84.42 group by 1", "cls", "way_vertices")
+def flt_2_20_viewport(x):
+    return reports.viewport(classified(x), 39.18, -84.42, 39.20, -84.36)
+
+
+# history
+
+
+@query("select id, case when version=1 then 'UNREVIEWED' when human then 'LIKELY_REVIEWED' end status, case when version=1 then 0.95 when human then least(0.6+(version-2)*0.05,0.85) end confidence from (select id, version, not coalesce(usr in ('DaveHansenTiger','bot-mode') or lower(usr) like 'import%', false) human from ways_attr)", "ways_attr")
+def flt_11_12_last_version(x):
+    return history.by_last_version(x["ways_attr"]).select("id", "status", F.col("confidence").cast("double").alias("confidence"))
+
+
+def _versions(x: Roads) -> DataFrame:
+    pair = lambda k, c: F.struct(F.lit(k).alias("k"), F.col(c).alias("v"))
+    tags = F.map_from_entries(F.filter(F.array(pair("surface", "surface"), pair("oneway", "oneway"), pair("name", "name"), pair("tiger:reviewed", "tiger_reviewed")), lambda t: t["v"].isNotNull()))
+    return x["way_versions"].select("way_id", "version", "usr", tags.alias("tags"), F.array(F.lit(1), F.lit(2) + F.col("moved")).alias("nodes"))
+
+
+@query("select way_id, version, reason from edit where reason is not null", "edit")
+def win_1_edits(x):
+    return history.edits(_versions(x)).where("reason is not null").select("way_id", "version", "reason")
+
+
+@query("select way_id, case when bool_and(bot) then 'UNREVIEWED' when count(reason)>0 then 'LIKELY_REVIEWED' else 'INCONCLUSIVE' end status, case when bool_and(bot) then 0.9 when count(reason)>0 then 0.75 else 0.5 end confidence, arg_min(reason,version) filter (reason is not null) reason from edit group by 1", "edit")
+def win_2_history(x):
+    return history.by_history(_versions(x)).withColumn("confidence", F.col("confidence").cast("double"))
+
+
+# fixes
+
+
+def _matched(x: Roads) -> DataFrame:
+    m = matching.match(x.ways, matching.centerline_records(x.centerline_shapes), fallback=False, fuzzy=False)
+    code = F.when(F.col("id") % 4 == 0, "S1200").when(F.col("id") % 4 == 1, "S1400").otherwise("S1730")
+    other = F.when(F.col("id") % 6 == 1, 0.9).when(F.col("id") % 6 == 2, 0.7)
+    c = classified(x).join(m.select("id", "confidence", "source_name", "source_oneway", "speed_limit"), "id", "left")
+    return c.withColumns({"other_confidence": other, "other_name": F.concat(F.lit("Other "), F.col("id").cast("string")), "other_code": code})
+
+
+_FIX = f"""m as (select c.id, c.name, highway, oneway, maxspeed, defect_class, coalesce(conf,0) conf, label, case when b.id is null then '' when trvl_dir=1 then 'yes' when trvl_dir=-1 then '-1' else 'no' end gt, speed, {TRUTHY} truthy,
+ case c.id%6 when 1 then 0.9 when 2 then 0.7 else 0 end oc, 'Other '||cast(c.id as varchar) oname, case c.id%4 when 0 then 'primary' when 1 then null else 'service' end mapped from cls c left join best b on b.id=c.id)
+select id, 0 n, 'remove_false_oneway' kind, 'oneway' tag, cast(null as varchar) as value, not (conf>=0.85 and gt in ('','no')) review from m where defect_class in ('A','AB') and truthy
+union all select id, 1, 'remove_oneway_cagis', 'oneway', null, conf<0.85 from m where not (defect_class in ('A','AB') and truthy) and truthy and gt in ('','no') and conf>=0.6
+union all select id, 2, 'set_oneway_cagis', 'oneway', gt, conf<0.85 from m where not (defect_class in ('A','AB') and truthy) and conf>=0.6 and gt in ('yes','-1') and coalesce(oneway,'')<>gt
+union all select id, 3, 'set_name_cagis', 'name', label, true from m where conf>=0.6 and coalesce(name,'')<>'' and {expanded("lower(trim(name))")}<>{expanded("lower(trim(label))")}
+union all select id, 4, 'set_maxspeed_cagis', 'maxspeed', cast(speed as varchar)||' mph', conf<0.85 from m where conf>=0.6 and coalesce(maxspeed,'')='' and speed is not null
+union all select id, 5, 'set_name_tiger', 'name', oname, true from m where conf<0.6 and oc>=0.85
+union all select id, 6, 'reclass_highway_tiger', 'highway', mapped, true from m where conf<0.6 and oc>=0.6 and mapped<>highway"""
+
+
+@query(_FIX, "cls", "best")
+def fix_1_7_proposals(x):
+    return fixes.proposals(_matched(x)).select("id", "n", "kind", "tag", "value", "review")
+
+
+ORACLES["fix_1_7_proposals"] = ORACLES["fix_1_7_proposals"].replace("\nm as (", ",\nm as (", 1)
+
+
+@query("select id, case kind when 'oneway_minus_one' then 'remove_false_oneway_minus_one' when 'oneway_conflict' then 'remove_oneway_conflict' when 'broken_turn_restriction' then 'remove_broken_restriction' else 'add_access_to_barrier' end fix, case kind when 'broken_turn_restriction' then 'remove_relation' when 'barrier_unqualified' then 'modify_tag' else 'remove_tag' end as action from decided where decision='real'", "decided")
+def fix_9_finding_fixes(x):
+    return fixes.finding_fixes(routes.decide(x["routes"]))
+
+
+@query("select (k-1)//500 batch, count(*) n from (select row_number() over (order by id) k from ways_attr) group by 1", "ways_attr")
+def fix_12_snk_9_batches(x):
+    from ..functions.ranking import numbered
+
+    return fixes.batches(numbered(x["ways_attr"].select("id"), ["id"]))
+
+
+@query("select id, case when id%2=0 then 'a=1;c=3' else 'a=1;b=2;c=3' end tags from ways_attr", "ways_attr")
+def prj_27_tag_changes(x):
+    tags = F.create_map(F.lit("a"), F.lit("0"), F.lit("b"), F.lit("2"))
+    changes = F.map_from_arrays(F.when(F.col("id") % 2 == 0, F.array(*map(F.lit, "abc"))).otherwise(F.array(F.lit("a"), F.lit("c"))), F.when(F.col("id") % 2 == 0, F.array(F.lit("1"), F.lit(None), F.lit("3"))).otherwise(F.array(F.lit("1"), F.lit("3"))))
+    said = F.array_join(F.array_sort(F.transform(F.map_entries(fixes.apply_changes(tags, changes)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return x["ways_attr"].select("id", said.alias("tags"))
+
+
+# routes
+
+
+@query(f"select id, kind, {r('delta_pct', 3)} delta_pct, decision, {r('confidence', 4)} confidence from decided", "decided")
+def jn_21_prj_24_route_decisions(x):
+    d = routes.decide(x["routes"])
+    return d.select("id", "kind", geo.rounded(F.col("delta_pct").cast("double"), 3).alias("delta_pct"), "decision", geo.rounded(F.col("confidence").cast("double"), 4).alias("confidence"))
+
+
+@query("select k decision, (select count(*) from decided d where d.decision=k) n from (select unnest(['real','noisy','inconclusive','untested']) k)", "decided")
+def agg_6_decisions(x):
+    return routes.decisions(routes.decide(x["routes"]))
+
+
+@query(f"select kind, count(*) n, {r('avg(delta_pct)', 2)} mean_pct, {r('max(delta_pct)', 2)} most_pct from decided where decision='real' group by 1", "decided")
+def agg_7_route_impact(x):
+    d = routes.decide(x["routes"]).where("decision = 'real'").groupBy("kind").agg(F.count("*").alias("n"), F.avg("delta_pct").cast("double").alias("mean_pct"), F.max("delta_pct").cast("double").alias("most_pct"))
+    return d.select("kind", "n", geo.rounded(F.col("mean_pct"), 2).alias("mean_pct"), geo.rounded(F.col("most_pct"), 2).alias("most_pct"))
+
+
+# reports
+
+
+@query("select id, defect_class, name_display from cls order by case defect_class when 'AB' then 0 when 'A' then 1 when 'B' then 2 else 3 end, lower(name_display), id limit 200", "cls")
+def top_2_first_ways(x):
+    return reports.first_ways(classified(x))
+
+
+@query("select name_display, count(*) n, string_agg(cast(id as varchar), ',' order by id) ids from cls where defect_class='AB' group by 1", "cls")
+def agg_9_street_ids(x):
+    return reports.street_ids(classified(x))
+
+
+@query(f"select name_key, count(*) segments, count(*) filter ({TRUTHY}) oneways, string_agg(distinct highway, ', ' order by highway) types from cls where name_key is not null group by 1 having count(*)>=5", "cls")
+def agg_10_segment_sheet(x):
+    return reports.segment_sheet(classified(x))
+
+
+@query(f"select item, n, {r('n*case item when $$AB$$ then 12 when $$A$$ then 4 when $$B$$ then 7 else 2 end/60.0', 3)} as hours from (select defect_class item, count(*) n from cls where defect_class<>'C' group by 1 union all select 'GAP', count(*) from gaps)", "cls", "gaps")
+def agg_11_work_plan(x):
+    return reports.work_plan(classified(x), gaps(x)).withColumn("hours", geo.rounded(F.col("hours").cast("double"), 3))
+
+
+@query("select c.name_key, segments, coalesce(g,0) gaps from (select name_key, count(*) segments from cls where segments>=2 group by 1) c left join (select name_key, count(*) g from gaps group by 1) g on g.name_key=c.name_key", "cls", "gaps")
+def jn_20_gap_counts(x):
+    return reports.gap_counts(classified(x), gaps(x))
+
+
+@query("select id, name_display from (select id, name_display, row_number() over (order by lower(name_display), id) k from named) where k between 51 and 100", "named")
+def top_7_page(x):
+    return reports.page(classified(x).select("id", "name_display"), [F.lower("name_display"), F.col("id")], 2)
+
+
+@query("select id, 'https://www.openstreetmap.org/way/'||cast(id as varchar) url from ways_attr", "ways_attr")
+def prj_33_urls(x):
+    return x["ways_attr"].select("id", F.concat(F.lit("https://www.openstreetmap.org/way/"), F.col("id").cast("string")).alias("url"))
+
+
+@query("select id, replace(replace(replace(replace(replace(name||' <&>','&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&apos;') name from ways_attr", "ways_attr")
+def prj_28_xml(x):
+    return x["ways_attr"].select("id", text.xml_escape(F.concat("name", F.lit(" <&>"))).alias("name"))
+
+
+@query("select id, case defect_class when 'AB' then 1.0 when 'A' then 0.7 else 0.4 end weight, case defect_class when 'AB' then 0 when 'A' then 1 else 2 end priority from cls", "cls")
+def prj_26_30_weight(x):
+    k = F.col("defect_class")
+    return classified(x).select("id", F.when(k == "AB", 1.0).when(k == "A", 0.7).otherwise(0.4).alias("weight"), F.when(k == "AB", 0).when(k == "A", 1).otherwise(2).alias("priority"))
+
+
+@query("select id, name_display from cls where contains(cast(id as varchar),'77') or contains(lower(name_display),'lane') order by id limit 10", "cls")
+def flt_19_search(x):
+    c = classified(x)
+    return c.where(F.col("id").cast("string").contains("77") | F.lower("name_display").contains("lane")).orderBy("id").limit(10).select("id", "name_display")
+
+
+@query()
+def snk_6_feature_lines(x):
+    return reports.feature_lines(classified(x))
+
+
+# feeds
+
+
+@query("select user_id, event_id, calls from (select user_id, event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 604799999999 preceding and current row) calls from events) where calls>5")
+def win_7_over_rate(x):
+    return feeds.over_rate(x.table("events"), seconds=7 * 86400).select("user_id", "event_id", "calls")
+
+
+@query("select strftime(ts,'%Y-%m') as month, count(*) used, greatest(5000-count(*),0) remaining, count(*)>=4000 refused from events group by 1")
+def win_8_monthly_quota(x):
+    return feeds.monthly_quota(x.table("events"))
+
+
+@query("select feed, reason, count(*) n, string_agg(detail,'|' order by event_id) filter (k<=3) samples from (select event_type feed, cast(user_id%3 as varchar) reason, cast(event_id as varchar) detail, event_id, row_number() over (partition by event_type, user_id%3 order by event_id) k from events) group by 1,2")
+def agg_12_feed_errors(x):
+    e = x.table("events").select(F.col("event_type").alias("feed"), (F.col("user_id") % 3).cast("string").alias("reason"), F.col("event_id").cast("string").alias("detail"), F.col("event_id").alias("seq"))
+    return feeds.error_summary(e)
+
+
+@query("select count(*) filter (s='PASS') n_pass, count(*) filter (s='FAIL') n_fail, count(*) filter (s='WARN') n_warn, count(*) filter (s='MANUAL') n_manual, case when count(*) filter (s='FAIL')>0 then 1 else 0 end exit_code from (select case p_partkey%4 when 0 then 'PASS' when 1 then 'FAIL' when 2 then 'WARN' else 'MANUAL' end s from part)")
+def agg_15_readiness(x):
+    status = F.element_at(F.array(*map(F.lit, ("PASS", "FAIL", "WARN", "MANUAL"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return feeds.readiness(x.table("part").select(status.alias("status")))
+
+
+@query("select grp, path, mtime from (select c_nationkey grp, 'f'||cast(c_custkey as varchar) path, floor(c_acctbal) mtime, row_number() over (partition by c_nationkey order by floor(c_acctbal) desc, 'f'||cast(c_custkey as varchar)) k from customer) where k<=3")
+def win_9_src_4_newest(x):
+    c = x.table("customer").select(F.col("c_nationkey").alias("grp"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("path"), F.floor("c_acctbal").alias("mtime"))
+    return feeds.newest(c, "grp").withColumn("mtime", F.col("mtime").cast("double"))
+
+
+# streams, as batch
+
+
+@query("select user_id vehicle_id, arg_max(event_id, (ts, event_id)) event_id from events group by 1")
+def str_1_latest_position(x):
+    return vehicles.latest(vehicles.positions(x.table("events"))).select("vehicle_id", "event_id")
+
+
+@query(f"select cast(epoch(time_bucket(interval '10 minutes', ts)) as bigint) start, user_id%7 route_id, count(*) n, {r('max(cast(value as double))', 4)} most from events group by 1,2")
+def str_2_delays(x):
+    d = vehicles.delays(vehicles.positions(x.table("events")))
+    return d.select(F.unix_seconds("start").alias("start"), "route_id", "n", geo.rounded(F.col("most"), 4).alias("most"))
+
+
+@query("select count(*) n, count(distinct event_id) ids from events")
+def str_3_distinct_positions(x):
+    return vehicles.distinct_positions(vehicles.positions(x.table("events"))).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("select vehicle_id, count(*) sessions, max(c) longest from (select vehicle_id, s, count(*) c from (select user_id vehicle_id, sum(case when g is null or ts-g>=interval '30 minutes' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) s from (select *, lag(ts) over (partition by user_id order by ts, event_id) g from events)) group by 1,2) group by 1")
+def str_4_sessions(x):
+    s = vehicles.sessions(vehicles.positions(x.table("events")))
+    return s.groupBy("vehicle_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
