@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 ONEWAY_TRUTHY = ("yes", "true", "1", "-1")
@@ -63,7 +64,7 @@ def plain_similarity(a: Column, b: Column) -> Column:
     return F.when(blank(a) | blank(b), 0.0).when((a == b) | (expand_abbrev(a) == expand_abbrev(b)), 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 

@@ -64,12 +64,14 @@ def conflicts(ways: DataFrame, near_m: float = 50.0, apart_m: float = 5.0, same_
     one = one.withColumn("u", geo.unit_vector(F.col("geometry"))).select("key", "id", "name", F.col("geometry").alias("g"), F.struct((F.col("u.x") * sign).alias("x"), (F.col("u.y") * sign).alias("y")).alias("u"))
     a, b = (one.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("id", "name", "g", "u"))) for i in (1, 2))
     p, q, g1, g2, u, v = (F.col(c) for c in ("p", "q", "g1", "g2", "u1", "u2"))
-    ends = F.least(*(geo.between(f(g1), g(g2)) for f in (geo.first, geo.last) for g in (geo.first, geo.last)))
     pairs = a.join(b, (a["key"] == b["key"]) & (F.col("id1") < F.col("id2"))).drop(b["key"])
-    pairs = pairs.where((u["x"] * v["x"] + u["y"] * v["y"] >= same_way)).where(ends >= apart_m)
-    beside = lambda x, y: F.greatest(geo.vertex_distance(geo.first(x), y), geo.vertex_distance(geo.last(x), y)) <= near_m
+    pairs = pairs.where(u["x"] * v["x"] + u["y"] * v["y"] >= same_way)
+    # of each end the distance from the other way's nearest vertex
+    pairs = pairs.withColumn("d", F.array(*(geo.vertex_distance(f(x), y) for x, y in ((g1, g2), (g2, g1)) for f in (geo.first, geo.last))))
+    d = F.col("d")
+    pairs = pairs.where((F.array_min(d) >= apart_m) & ((F.greatest(d[0], d[1]) <= near_m) | (F.greatest(d[2], d[3]) <= near_m)))
     centre = lambda g: geo.point((geo.first(g)["lat"] + geo.last(g)["lat"]) / 2, (geo.first(g)["lon"] + geo.last(g)["lon"]) / 2)
-    pairs = pairs.where(beside(g1, g2) | beside(g2, g1)).withColumns({"p": centre(g1), "q": centre(g2)})
+    pairs = pairs.withColumns({"p": centre(g1), "q": centre(g2)})
     dx, dy = q["lon"] - p["lon"], q["lat"] - p["lat"]
     along, across = F.abs(dx * u["x"] + dy * u["y"]), F.abs(dx * u["y"] - dy * u["x"])
     rows = pairs.where(along <= abreast * across).withColumn("id", F.col("id1"))

@@ -137,11 +137,12 @@ _UV = "sqrt(pow(e.lon1-e.lon0,2)+pow(e.lat1-e.lat0,2))"
 @query(
     f"""select id, id_other, {r("lat", 6)} lat from (
  select a.id, b.id id_other, a.g glat, m.lat, a.key,
-  least({", ".join(hav(f"a.lat{i}", f"a.lon{i}", f"b.lat{j}", f"b.lon{j}") for i in (0, 1) for j in (0, 1))}) ends,
   a.ux*b.ux+a.uy*b.uy dot, abs(((b.lon0+b.lon1)-(a.lon0+a.lon1))/2*a.ux+((b.lat0+b.lat1)-(a.lat0+a.lat1))/2*a.uy) along, abs(((b.lon0+b.lon1)-(a.lon0+a.lon1))/2*a.uy-((b.lat0+b.lat1)-(a.lat0+a.lat1))/2*a.ux) across,
   (select max(d) from (select min({hav("p.lat", "p.lon", "v.lat", "v.lon")}) d from (select 0 k, a.lat0 lat, a.lon0 lon union all select 1, a.lat1, a.lon1) p, way_vertices v where v.id=b.id group by k)) ab,
-  (select max(d) from (select min({hav("p.lat", "p.lon", "v.lat", "v.lon")}) d from (select 0 k, b.lat0 lat, b.lon0 lon union all select 1, b.lat1, b.lon1) p, way_vertices v where v.id=a.id group by k)) ba
- from one a join one b on a.key=b.key and a.id<b.id join mid m on m.id=a.id) where ends>=5 and dot>=0.7 and along<=1.5*across and (ab<=50 or ba<=50)""".replace("select a.id, b.id id_other, a.g glat,", "select a.id, b.id id_other,"),
+  (select min(d) from (select min({hav("p.lat", "p.lon", "v.lat", "v.lon")}) d from (select 0 k, a.lat0 lat, a.lon0 lon union all select 1, a.lat1, a.lon1) p, way_vertices v where v.id=b.id group by k)) abm,
+  (select max(d) from (select min({hav("p.lat", "p.lon", "v.lat", "v.lon")}) d from (select 0 k, b.lat0 lat, b.lon0 lon union all select 1, b.lat1, b.lon1) p, way_vertices v where v.id=a.id group by k)) ba,
+  (select min(d) from (select min({hav("p.lat", "p.lon", "v.lat", "v.lon")}) d from (select 0 k, b.lat0 lat, b.lon0 lon union all select 1, b.lat1, b.lon1) p, way_vertices v where v.id=a.id group by k)) bam
+ from one a join one b on a.key=b.key and a.id<b.id join mid m on m.id=a.id) where least(abm,bam)>=5 and dot>=0.7 and along<=1.5*across and (ab<=50 or ba<=50)""".replace("select a.id, b.id id_other, a.g glat,", "select a.id, b.id id_other,"),
     "ways_attr", "ends", "mid",
 )
 def jn_2_conflicts(x):
