@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import discard, materialise
+
 #: Labelled rows of either class that the classifier is fitted on at most.
 FIT_ROWS = 6000
-#: Bytes of texts that a class may bring at most; rows beyond it are left out of the fit.
-FIT_BYTES = 32 << 20
+#: Bytes of features that the fit takes at most; rows beyond it, in the order of their hashes, are left out.
+FIT_BYTES = 128 << 20
 BITS, STEPS, RATE, L2, PAIRING = 20, 400, 0.1, 1e-5, 1.0
 #: Standard errors by which a feature's log-odds ratio must exceed 0 to be evidence.
 Z = 3.0
@@ -76,8 +79,8 @@ def counterfactual(text: str | None) -> np.ndarray:
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t.as_py() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t).tobytes() for t in texts], pa.binary()), pa.array([counterfactual(t).tobytes() for t in texts], pa.binary())], ["y", "x", "c"])
+        texts = batch.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([features(t).tobytes() for t in texts], pa.binary()), pa.array([counterfactual(t).tobytes() for t in texts], pa.binary())], ["y", "k", "x", "c"])
 
 
 class _Rows:
@@ -133,20 +136,28 @@ def fit(rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
     return weights
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", key_col: str = "doc_id") -> np.ndarray:
-    """Fits on at most ``FIT_ROWS`` rows of either class; rows with a null label are left out."""
-    rows = []
-    for label in (0, 1):
-        one = labelled.where(F.col(label_col) == label).select(F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("t"), F.xxhash64(key_col).alias("k"))
-        chosen = one.orderBy("k", F.xxhash64("t")).limit(FIT_ROWS).select("y", "t")
-        size, out = 0, []
-        for r in chosen.mapInArrow(_sample, "y int, x binary, c binary").collect():
-            size += len(r["x"]) + len(r["c"])
-            if size > 2 * FIT_BYTES:
-                break
-            out.append((r["y"], r["x"], r["c"]))
-        rows += out
-    return fit(rows)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> np.ndarray:
+    """Fits on at most ``FIT_ROWS`` ids of either class, those with the least hashes; rows with a null id or label are left out.
+
+    Only ids and labels are sorted and cut to that bound; the sample is then small enough to be broadcast to the texts. Of rows
+    that share an id the least text counts; an id with both labels is learnt as both.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    there = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").distinct().join(own.select("id"), "id", "left_semi").withColumn("k", F.xxhash64("id"))
+    chosen = reduce(DataFrame.unionByName, [there.where(F.col("y") == y).orderBy("k", "id").limit(FIT_ROWS) for y in (0, 1)])
+    chosen = F.broadcast(materialise(chosen, "chosen"))
+    texts = own.join(chosen, "id").groupBy("id", "y", "k").agg(F.min("t").alias("t"))
+    rows = materialise(texts.select("y", "k", "t").mapInArrow(_sample, "y int, k long, x binary, c binary"), "features")
+    size = F.octet_length("x") + F.octet_length("c")
+    total, last = 0, {}
+    for r in rows.select("y", "k", size.alias("size")).orderBy("k").collect():  # 2 * FIT_ROWS at most
+        total += r["size"]
+        if total <= FIT_BYTES:
+            last[r["y"]] = r["k"]
+    found = [rows.where((F.col("y") == y) & (F.col("k") <= k)).orderBy("k").select("y", "x", "c").collect() for y, k in last.items()]
+    out = fit([tuple(r) for one in found for r in one])
+    discard(rows)
+    return out
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -172,7 +183,5 @@ def held_out(key: str = "doc_id"):
 
 
 def classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> np.ndarray:
-    """The weights learnt from ``labels`` (id, toxic) of rows that aren't held out; ids that occur twice are learnt from twice."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col("toxic").alias("_toxic"))
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col("text").alias("_text")).where(~held_out("_doc")).join(known, F.col("_doc") == F.col("_id"))
-    return train(rows, "_text", "_toxic", "_doc")
+    """The weights learnt from ``labels`` (id, toxic) of rows that aren't held out."""
+    return train(docs, labels.where(~held_out(id_col)), id_col)
