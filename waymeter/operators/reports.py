@@ -79,3 +79,22 @@ def feature_lines(ways: DataFrame) -> DataFrame:
     shape = F.struct(F.lit("LineString").alias("type"), coords.alias("coordinates"))
     props = F.struct("id", F.col("name_display").alias("name"), "defect_class")
     return ways.where("size(geometry) > 0").select("id", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), props.alias("properties"))).alias("line"))
+
+
+def unverified(matched: DataFrame) -> DataFrame:
+    """Ways of class A or AB with a geometry that no match of high confidence covers."""
+    return matched.where(F.col("defect_class").isin("A", "AB") & (F.size("geometry") >= 1) & (F.coalesce("confidence", F.lit(0.0)) < 0.85))
+
+
+def gap_tasks(gaps: DataFrame) -> DataFrame:
+    """Gaps with an instruction; those without a place are left out."""
+    said = F.format_string("Two segments of %s end %.1f m apart. Join them if the road runs through.", "street", "distance_m")
+    return gaps.where("lat is not null and lon is not null").withColumn("instruction", said)
+
+
+def executive(classified: DataFrame) -> DataFrame:
+    """(metric, n)."""
+    k = F.col("defect_class")
+    counts = {"ways": F.count("*"), "oneway_yes": F.count_if(F.col("oneway") == "yes"), "A": F.count_if(k == "A"), "AB": F.count_if(k == "AB"), "B": F.count_if(k == "B"), "residential": F.count_if(F.col("highway") == "residential")}
+    one = classified.agg(*(c.alias(m) for m, c in counts.items()))
+    return one.unpivot([], list(counts), "metric", "n")

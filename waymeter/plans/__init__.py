@@ -1,0 +1 @@
+"""Queries over the operators, and SQL to hold them against."""
