@@ -67,12 +67,10 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     Null, empty and word-less texts have the digest of the empty string and no licence. Rows equal in id and text share their
     notices; a null id is an id like others. ``known`` may be any table (digest, license_id) with distinct digests.
     """
-    known = few(docs.sparkSession.createDataFrame([], "digest string, license_id string") if known is None and not KNOWN else known_digests(docs.sparkSession) if known is None else known)
+    known = few(known_digests(docs.sparkSession) if known is None else known)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("v"), F.col(text_col).alias("t"))
     whole = rows.select("id", "v", F.sha2(canonical(F.col("t")), 256).alias("digest")).join(known, "digest", "left")
-    # a line has the words of a notice only if it has one of the words that they all have
-    lines = rows.select("id", "v", F.explode(F.split("t", "\n")).alias("line")).where(F.length("line") <= 4000)
-    lines = lines.where(F.lower("line").rlike("licen[cs]e|permi[st]|redistribut|software"))
+    lines = rows.select("id", "v", F.explode(F.split("t", "\n")).alias("line"))
     found = lines.select("id", "v", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known, "digest").groupBy("id", "v").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     found = found.select(F.col("id").alias("_id"), F.col("v").alias("_v"), "notices")
     out = whole.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("v") == F.col("_v")), "left")

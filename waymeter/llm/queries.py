@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, html_text, licences, near_dup, neighbours, shard, substring_dedup, toxicity
 from .common import read
+from .oracles import ORACLES  # noqa: F401
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -69,5 +70,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_license_scan, op2_two_pass_sharding, op3_minhash_near_dedup, op4_toxicity, op5_benchmark_decontamination, op6_html_extraction, op7_chat_formatting, op8_nearest_neighbours, op9_byte_bpe, op10_substring_dedup)
 }
-
-ORACLES: dict[str, str] = {}
