@@ -189,3 +189,45 @@ def test_limit_as_state(spark, sf, stream, tmp_path):
                 recent.append(t)
                 want.add((v, e))
     assert got == want and len(got) < len(pdf)
+
+
+def message(n, body, kind=2):
+    return bytes([n << 3 | kind]) + (bytes([len(body)]) if kind == 2 else b"") + body
+
+
+def test_realtime_messages(spark, tmp_path):
+    from waymeter.sources import realtime
+
+    trip = message(1, message(1, b"T1") + message(5, b"R9"))
+    place = message(2, message(1, struct.pack("<f", 39.5), 5) + message(2, struct.pack("<f", -84.5), 5))
+    vehicle = message(4, trip + place + message(4, b"\x02", 0) + message(5, b"\xac\x02", 0) + message(8, message(1, b"V7")))
+    stop = message(2, message(1, b"\x03", 0) + message(2, message(1, b"\xff" * 9 + b"\x01", 0) + message(2, b"\x64", 0)) + message(4, b"S4"))
+    update = message(3, trip + stop + message(4, b"\x05", 0))
+    (tmp_path / "a.pb").write_bytes(message(1, b"") + message(2, message(1, b"e1") + vehicle) + message(2, message(1, b"e2") + update))
+    (tmp_path / "b.pb").write_bytes(b"")
+    v = realtime.vehicle_positions(spark, str(tmp_path)).collect()
+    assert len(v) == 1 and (v[0].vehicle_id, v[0].trip_id, v[0].route_id, v[0].lat, v[0].lon, v[0].current_status, v[0].timestamp, v[0].speed) == ("V7", "T1", "R9", 39.5, -84.5, 2, 300, None)
+    u = realtime.trip_updates(spark, str(tmp_path)).collect()
+    s = u[0].stop_time_updates[0]
+    assert len(u) == 1 and (u[0].timestamp, s.stop_sequence, s.stop_id, s.arrival_time, s.arrival_delay, s.departure_time) == (5, 3, "S4", 100, -1, None)
+
+
+def test_audit(spark, sf, tmp_path):
+    from waymeter.plans import audit
+    from waymeter.sources.fixtures import Roads
+
+    x = Roads(spark, sf)
+    got = audit.run_audit(audit.Inputs(x.ways, nodes=x["barrier_nodes"], bus_stops=x["bus_stops"], transit_stops=x["gtfs_stops"], route_vertices=x["route_vertices"], centerlines=matching.centerline_records(x.centerline_shapes)))
+    assert not got.failed
+    audit.save(got, str(tmp_path / "tables"))
+    kinds = {r.kind: r["count"] for r in spark.read.parquet(str(tmp_path / "tables/findings")).groupBy("kind").count().collect()}
+    assert {"oneway_minus_one": 196, "access_blocked": 34, "bus_stop_misplaced": 3}.items() <= kinds.items() and "barrier_unqualified" in kinds
+    assert spark.read.parquet(str(tmp_path / "tables/fixes")).count() > 0
+    audit.save_lists(got, str(tmp_path / "lists"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "lists/all")).count() == 1500
+    page = audit.dashboard(got, 20)
+    assert page.count('"Feature"') == 20 and "total_ways" in page
+    ways_ = x["ways_attr"].select("id", "version", F.create_map(F.lit("oneway"), F.coalesce("oneway", F.lit("no"))).alias("tags"))
+    audit.save_changes(ways_, spark.read.parquet(str(tmp_path / "tables/fixes")).where("kind = 'remove_false_oneway'"), str(tmp_path / "changes"))
+    rows = spark.read.parquet(str(tmp_path / "changes")).groupBy("batch").count().orderBy("batch").collect()
+    assert rows[0]["count"] == 500 and "oneway" not in spark.read.parquet(str(tmp_path / "changes")).first().xml
