@@ -14,10 +14,11 @@ exact. Sets travel as binary columns of sorted 64-bit shingle hashes and only fo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, few, materialise, release
@@ -26,7 +27,10 @@ from .words import U, Words, mix, words
 
 SHINGLE, THRESHOLD = 5, (75, 100)
 T, ROWS = 128, 4
-_SEED = mix(np.arange(2 * T, dtype=U), 11)
+#: Coordinates of the finer sketch, and how many bits of it may differ: at 0.75, five standard deviations more than expected.
+FINE = 2048
+APART = int(FINE * 0.125 + 5 * (FINE * 0.125 * 0.875) ** 0.5)
+_SEED = mix(np.arange(2 * FINE, dtype=U), 11)
 
 
 def shingle_sets(w: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -37,20 +41,25 @@ def shingle_sets(w: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.zeros(0, U) if n == 0 else np.unique(full[lo : hi - size + 1]) if n >= size else short[int(n)][lo : lo + 1]
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """The ``T`` coordinates of a non-empty set of hashes."""
-    out = np.full(T, ~U(0))
-    done, step = 0, int(np.clip(6 * T // len(s), 1, T))
-    while done < T and (out == ~U(0)).any():
-        rounds = np.arange(done, min(T, done + step), dtype=U)
+def sketch(s: np.ndarray, t: int = T) -> np.ndarray:
+    """The ``t`` coordinates, a power of two, of a non-empty set of hashes."""
+    out = np.full(t, ~U(0))
+    done, step = 0, int(np.clip(6 * t // len(s), 1, min(t, max(1, (1 << 16) // len(s)))))
+    while done < t and (out == ~U(0)).any():
+        rounds = np.arange(done, min(t, done + step), dtype=U)
         h = mix(s[None, :] ^ _SEED[rounds.astype(int), None])
-        np.minimum.at(out, (h & U(T - 1)).astype(np.int64).ravel(), ((rounds[:, None] << U(56)) | (h >> U(8))).ravel())
+        np.minimum.at(out, (h & U(t - 1)).astype(np.int64).ravel(), ((rounds[:, None] << U(52)) | (h >> U(12))).ravel())
         done += len(rounds)
     for b in np.flatnonzero(out == ~U(0)):
-        out[b] = U((T + b) << 56) | (mix(s ^ _SEED[T + b]).min() >> U(8))
+        out[b] = U((t + int(b)) << 52) | (mix(s ^ _SEED[t + b]).min() >> U(12))
     return out
 
 
+def fine_bits(s: np.ndarray) -> np.ndarray:
+    """One bit of each coordinate of a sketch of ``FINE`` coordinates, as ``FINE // 64`` longs. Two sets with similarity J agree in (1 + J) / 2 of the bits."""
+    return np.packbits((mix(sketch(s, FINE), 13) & U(1)).astype(np.uint8)).view(np.int64)
+
+
 def bands(coordinates: np.ndarray) -> np.ndarray:
     grouped = coordinates.reshape(-1, ROWS)
     key = mix(np.arange(len(grouped), dtype=U), 29)
@@ -76,7 +85,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for w in words(batch.column(1), lower=True):
-            yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.last - w.first), pa.array([s.tobytes() for s in shingle_sets(w)], pa.binary())], ["id", "s"])
+            sets = list(shingle_sets(w))
+            yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.last - w.first), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([fine_bits(s) if len(s) else np.zeros(FINE // 64, np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "s", "bits"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     shared = few(members.select(F.col("rep").alias("id")).distinct())
     sets = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(shared, "id", "left_semi")
-    sets = materialise(sets.mapInArrow(_sets, "id long, s binary"), "sets")
+    sets = materialise(sets.mapInArrow(_sets, "id long, s binary, bits array<long>"), "sets")
     release(spark)
 
     # Rows of one id may be of several classes: the id joins them.
@@ -127,25 +137,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Links among candidates that are not connected yet, added to ``links``."""
         return materialise(links.unionByName(_verified(candidates.select("a", "b").distinct(), sets)), "linked")
 
-    # pivots of each bucket: the first and two at random
+    lanes = [f"b{i}" for i in range(FINE // 64)]
+    bits = sets.groupBy("id").agg(F.first("bits").alias("bits")).select("id", *(F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(lanes)))
+    bits = materialise(bits, "bits")
+
+    def differ(x: str, y: str) -> Column:
+        return reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in lanes])
+
+    # pivots of each bucket: the first and two at random, as far as the finer sketches say that they may be alike
     labels = components(links)
     spread = members.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("first", "probe1", "probe2"))).alias("b")).where("a <> b").distinct()
     apart = same(same(spread, "a", labels), "b", labels).where("of_a <> of_b")
-    links = further(apart, links)
+    likely = apart.select("a", "b").alias("p").join(bits.alias("x"), F.col("p.a") == F.col("x.id")).join(bits.alias("y"), F.col("p.b") == F.col("y.id")).where(differ("x", "y") <= APART)
+    links = further(likely.select("p.a", "p.b"), links)
     release(spark)
 
-    # what is still apart from most of its bucket meets all of it
+    # what is still apart from most of its bucket meets all of it, once, in the least bucket that both share
     labels = components(links)
     placed = materialise(same(members.select("key", "rep", "n"), "rep", labels), "placed")
     sizes = placed.groupBy("key", "of_rep").count().groupBy("key").agg(F.max_by("of_rep", F.struct("count", "of_rep")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    mixed = placed.join(sizes, "key")
-    minor = mixed.where("of_rep <> most").select("key", F.col("rep").alias("a"), F.col("of_rep").alias("la"), F.col("n").alias("na"))
-    every = mixed.select("key", F.col("rep").alias("b"), F.col("of_rep").alias("lb"), F.col("n").alias("nb"))
-    close = (THRESHOLD[0] * F.col("na") <= THRESHOLD[1] * F.col("nb")) & (THRESHOLD[0] * F.col("nb") <= THRESHOLD[1] * F.col("na"))
-    rest = minor.join(every, "key").where((F.col("la") != F.col("lb")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    profiles = classes.select("rep", "keys").join(bits.withColumnRenamed("id", "rep"), "rep")
+    mixed = materialise(placed.join(sizes, "key").withColumn("odd", F.col("of_rep") != F.col("most")).drop("most").join(profiles, "rep"), "mixed")
+    x, y = mixed.where("odd").alias("x"), mixed.alias("y")
+    close = (THRESHOLD[0] * F.col("x.n") <= THRESHOLD[1] * F.col("y.n")) & (THRESHOLD[0] * F.col("y.n") <= THRESHOLD[1] * F.col("x.n"))
+    once = (~F.col("y.odd") | (F.col("x.rep") < F.col("y.rep"))) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.of_rep") != F.col("y.of_rep")) & close & (differ("x", "y") <= APART) & once).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     links = further(rest, links)
     labels = components(links)
-    discard(sets, members, placed)
+    discard(sets, members, placed, mixed, bits)
     release(spark)
 
     of = same(classes.where("many").select("n", "f1", "f2", "rep"), "rep", labels).select("n", "f1", "f2", F.col("of_rep").alias("of_class"))

@@ -82,7 +82,7 @@ class Words:
         return (np.arange(n) + k <= np.repeat(self.at[1:], self.counts()))[: max(0, n - k + 1)]
 
 
-def words(column: pa.Array, lower: bool = False, chunk_bytes: int = 1 << 21) -> Iterator[Words]:
+def words(column: pa.Array, lower: bool = False, chunk_bytes: int = 1 << 20) -> Iterator[Words]:
     """Splits a string column; null has no words. Rows are taken together up to ``chunk_bytes`` of text, a longer text by itself."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
