@@ -110,8 +110,8 @@ def turns_of(rows):
 
 def check_chat(df):
     want = turns_of([(r.conv_id, r.turn, r.role, r.text) for r in df.collect()])
-    nodes, leaves = chat.prefix_tree(df)
-    got = {r.conv_id: r for r in chat.read_back(nodes, leaves).collect()}
+    nodes, members = chat.prefix_tree(df)
+    got = {r.conv_id: r for r in chat.read_back(nodes, members).collect()}
     assert got.keys() == want.keys()
     for c, turns in want.items():
         r, loss = got[c], "".join(t for role, t in turns if role == "assistant")
@@ -119,17 +119,36 @@ def check_chat(df):
         assert r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.formatted_chars == sum(len(chat.format_turn(*t)[0]) for t in turns)
     # each distinct prefix once, depth first, with the intervals of its ancestors
-    rows = sorted(nodes.collect(), key=lambda r: r.start)
+    rows = sorted(nodes.collect(), key=lambda r: (r.start, r.n_tokens))
     assert len(rows) == len({tuple(t[: i + 1]) for t in want.values() for i in range(len(t))})
-    at = 0
-    by = {bytes(r.node): r for r in rows}
-    for before, r in zip([None, *rows], rows):
-        assert r.start == at and r.position == sum(a["end"] - a["start"] for a in r.ancestors)
-        assert all(by[bytes(a["node"])].start == a["start"] and by[bytes(a["node"])].n_tokens == a["end"] - a["start"] for a in r.ancestors)
-        if r.ancestors:  # the parent or a part of its subtree comes just before
-            up = bytes(r.ancestors[-1]["node"])
-            assert up == bytes(before.node) or up in [bytes(a["node"]) for a in before.ancestors]
-        at += r.n_tokens
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+    by, before, children = {bytes(r.node): r for r in rows}, {}, {}
+    paths = {}
+    for m in sorted(members.collect(), key=lambda m: m.i):
+        paths.setdefault(bytes(m.leaf), {})[m.i] = bytes(m.node)
+    for path in paths.values():
+        path = [path[i] for i in range(len(path))]
+        for i, node in enumerate(path):
+            before[node] = path[:i]
+            if i:
+                children.setdefault(path[i - 1], set()).add(node)
+    for node, r in by.items():
+        runs = []
+        for up in (by[u] for u in before[node]):
+            if runs and runs[-1][1] == up.start:
+                runs[-1][1] += up.n_tokens
+            else:
+                runs.append([up.start, up.start + up.n_tokens])
+        assert [[a.start, a.end] for a in r.ancestors] == runs and r.position == sum(b - a for a, b in runs)
+        # a subtree is one stretch of the stream
+        below, stack = 0, [node]
+        while stack:
+            x = stack.pop()
+            below += by[x].n_tokens
+            stack += children.get(x, ())
+            assert r.start <= by[x].start <= by[x].start + by[x].n_tokens <= r.start + sum(y.n_tokens for y in rows if y.start >= r.start)
+        inside = [x for x in by if r.start <= by[x].start < r.start + below and by[x].n_tokens]
+        assert all(x == node or node in before[x] for x in inside)
     return nodes
 
 

@@ -17,6 +17,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Characters of a piece, about.
 PIECE = 1 << 16
 _SAFE = regex.compile(r"(?<=\S)(?=\s)")
@@ -50,6 +52,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     Null text is empty text: no ids. Rows are independent of each other; repeated rows and null ids pass through; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import bound_batches, materialise
 
 # The template, fixed values: a user's turn, an assistant's, and any other role's.
 USER, OTHER, CLOSE_USER, CLOSE_OTHER, CLOSE_ASSISTANT = "<s>[INST] ", "<s>[ROLE={}] ", " [/INST]", " [/ROLE]", "</s>"
@@ -61,7 +61,7 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-_STEPS = "conv_id long, i int, node binary, key binary, path array<binary>, text string, n int, position int, loss_from int, loss_to int"
+_STEPS = "conv_id long, i int, leaf binary, node binary, key binary, text string, n int, position int, loss_from int, loss_to int"
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,42 +69,65 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            node, key, path, position = b"", b"", [], 0
+            node, key, position, own = b"", b"", 0, []
             for i, t in enumerate(turns):
                 role, said = t["role"] or "", t["text"] or ""
                 text, lo, hi = format_turn(role, said)
                 node = hashlib.blake2b(node + len(role).to_bytes(8, "big") + role.encode() + said.encode(), digest_size=16).digest()
                 key += node[:KEY_BYTES]
-                out.append((conv, i, node, key, list(path), text, len(text), position, lo, hi))
-                path.append(node)
+                own.append((node, key, text, len(text), position, lo, hi))
                 position += len(text)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 10, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.string(), *[pa.int32()] * 4), strict=True)], ["conv_id", "i", "node", "key", "path", "text", "n", "position", "loss_from", "loss_to"])
+            out += [(conv, i, node, *x) for i, x in enumerate(own)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 10, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.string(), *[pa.int32()] * 4), strict=True)], ["conv_id", "i", "leaf", "node", "key", "text", "n", "position", "loss_from", "loss_to"])
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the nodes that a path owns what stands before them on it; a child that follows its parent in the stream goes on with its interval."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        nodes, before = [], []
+        for path in batch.column(0):
+            runs: list[list[int]] = []
+            for x in path:
+                x = x.as_py()
+                if x["own"]:
+                    nodes.append(x["node"])
+                    before.append([{"start": a, "end": b} for a, b in runs])
+                if runs and runs[-1][1] == x["start"]:
+                    runs[-1][1] += x["n"]
+                else:
+                    runs.append([x["start"], x["start"] + x["n"]])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(before, kind)], ["of", "ancestors"])
 
 
 def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves) of a table (conv_id, turn, role, text).
+    """(nodes, members) of a table (conv_id, turn, role, text).
 
-    nodes: node, key, text, n_tokens, start (in the stream, which is in the order of ``key``), position (of its first token; others
-    follow one by one), loss_from, loss_to (offsets in ``text``; equal where nothing is learnt), ancestors (array of (node, start,
-    end), outermost first). leaves: conv_id, node.
+    nodes: node, text, n_tokens, start (in the stream, which visits the trees depth first), position (of its first token; others
+    follow one by one), loss_from, loss_to (offsets in ``text``; equal where nothing is learnt), ancestors (array of (start, end) in
+    the stream, in order, adjoining ones joined). members: conv_id, i, leaf, node, the nodes of each conversation from i = 0.
 
     Turns are ordered by turn, nulls first, then by role and text; null roles and texts are empty. Rows without a conv_id are one
-    conversation. Repeated rows are turns said twice. A conversation's turns are held together, not a tree's.
+    conversation. Repeated rows are turns said twice. A conversation's turns are held together, not a tree's; its nodes' keys take
+    ``KEY_BYTES`` for each turn before them.
     """
+    bound_batches(conversations.sparkSession)
     turns = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
     steps = materialise(turns.mapInArrow(_steps, _STEPS), "steps")
-    distinct = steps.groupBy("node").agg(*(F.first(c).alias(c) for c in ("key", "path", "text", "n", "position", "loss_from", "loss_to")))
+    distinct = steps.groupBy("node").agg(*(F.first(c).alias(c) for c in ("key", "text", "n", "position", "loss_from", "loss_to")), F.min("leaf").alias("owner"))
     ordered = materialise(distinct.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "nodes")
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("key", "node").rowsBetween(Window.unboundedPreceding, -1))
     parts = ordered.groupBy("part").agg(F.sum("n").alias("all"))
     before = F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     placed = ordered.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts.select("part", F.coalesce(before, F.lit(0)).alias("base")), "part").withColumn("start", F.col("base") + F.col("inside"))
-    placed = materialise(placed.drop("part", "base", "inside", "all"), "placed")
-    above = placed.select(F.col("node").alias("of"), F.posexplode("path").alias("j", "up")).join(placed.select(F.col("node").alias("up"), F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi")), "up")
-    above = above.groupBy("of").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "up", "lo", "hi"))), lambda a: F.struct(a["up"].alias("node"), a["lo"].alias("start"), a["hi"].alias("end"))).alias("ancestors"))
-    nodes = placed.join(above, placed["node"] == above["of"], "left").select("node", "key", "text", F.col("n").alias("n_tokens"), "start", "position", "loss_from", "loss_to", F.coalesce("ancestors", F.array().cast("array<struct<node:binary,start:bigint,end:bigint>>")).alias("ancestors"))
-    leaves = steps.groupBy("conv_id").agg(F.max_by("node", "i").alias("node"))
-    return nodes, leaves
+    placed = materialise(placed.drop("part", "base", "inside", "all", "key"), "placed")
+    members = steps.select("conv_id", "i", "leaf", "node")
+    # each path once, however many conversations take it
+    paths = members.select("leaf", "i", "node").distinct().join(placed.select("node", "start", "n", "owner"), "node")
+    paths = paths.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("i", "node", "start", "n", (F.col("owner") == F.col("leaf")).alias("own")))).alias("path"))
+    above = paths.select("path").mapInArrow(_intervals, "of binary, ancestors array<struct<start:bigint,end:bigint>>")
+    nodes = placed.join(above, placed["node"] == above["of"]).select("node", "text", F.col("n").alias("n_tokens"), "start", "position", "loss_from", "loss_to", "ancestors")
+    return nodes, members
 
 
 def position_ids(nodes: DataFrame) -> DataFrame:
@@ -123,10 +146,9 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True))], ["leaf", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
-def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Each conversation as its leaf's ancestors and itself say it: counts and digests of its turns and of what the loss covers."""
-    # a leaf that many conversations end in is read once
-    paths = leaves.select("node").distinct().join(nodes, "node").select(F.col("node").alias("leaf"), F.posexplode(F.concat(F.col("ancestors.node"), F.array("node"))).alias("i", "node"))
-    said = paths.join(nodes.select("node", "text", "loss_from", "loss_to"), "node").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("i", "text", "loss_from", "loss_to"))).alias("parts"))
+def read_back(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """Each conversation as its nodes say it, one after another: counts and digests of its turns and of what the loss covers. Conversations that end in one leaf are read once."""
+    said = members.select("leaf", "i", "node").distinct().join(nodes.select("node", "text", "loss_from", "loss_to"), "node")
+    said = said.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("i", "text", "loss_from", "loss_to"))).alias("parts"))
     digests = said.mapInArrow(_read_back, "leaf binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return leaves.join(digests, leaves["node"] == digests["leaf"]).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return members.where("i = 0").select("conv_id", "leaf").join(digests, "leaf").select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

@@ -6,8 +6,6 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,24 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[sc.applicationId]}"
 
 
-@contextmanager
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """While it lasts, Python workers get at most ``rows`` rows at a time: long texts make large batches."""
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on in this session Python workers get at most ``rows`` rows at a time: a batch of long texts is large. A smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lost executors don't lose it, and its plan starts anew."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with arrow_batches(spark):
-        df.write.parquet(path)
+    bound_batches(spark)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -65,7 +65,8 @@ def _windows(spelt: DataFrame, freq: DataFrame) -> DataFrame:
     """Anchors (k, ipos, term): of each window whose terms all occur in the corpus the rarest term and its place in the item."""
     starts = spelt.where(F.col("pos") <= F.greatest(F.col("n") - WINDOW, F.lit(0))).select("k", F.col("pos").alias("start"), F.least("n", F.lit(WINDOW)).alias("size"))
     placed = starts.select("k", "start", "size", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos"))
-    known = placed.join(spelt.select("k", "pos", "term"), ["k", "pos"]).join(freq, "term")
+    # frequencies meet the items' words, not their windows, in which a common word comes thirteen times as often
+    known = placed.join(spelt.select("k", "pos", "term").join(freq, "term"), ["k", "pos"])
     best = known.groupBy("k", "start", "size").agg(F.count("*").alias("found"), F.min_by(F.struct("pos", "term"), F.struct("freq", "pos")).alias("a"))
     return best.where("found = size").select("k", F.col("a.pos").alias("ipos"), F.col("a.term").alias("term")).distinct()
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bound_batches, materialise
 
 # Element names, as HTML has them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -183,6 +183,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", carr
     Null or empty html gives ''. Pages without a host vote together. Repeated rows vote as often as they occur. Ties go to the
     greater path. Winning paths of up to ``hosts_bound`` hosts are broadcast (a path has at most a few kB); of more they are joined.
     """
+    bound_batches(pages.sparkSession)
     carry = carry or [c for c in pages.columns if c != html_col]
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("h"))
     sums = rows.select("host", "h").mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))

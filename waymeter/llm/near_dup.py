@@ -134,8 +134,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = lambda df, c, labels: df.join(labels.select(F.col("id").alias(f"_{c}"), F.col("root").alias(f"of_{c}")), F.col(c) == F.col(f"_{c}"), "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c)).drop(f"_{c}")
 
     def further(candidates: DataFrame, links: DataFrame) -> DataFrame:
-        """Links among candidates that are not connected yet, added to ``links``."""
-        return materialise(links.unionByName(_verified(candidates.select("a", "b").distinct(), sets)), "linked")
+        """Links among candidates, distinct pairs that are not connected yet, added to ``links``."""
+        return materialise(links.unionByName(_verified(candidates.select("a", "b"), sets)), "linked")
 
     lanes = [f"b{i}" for i in range(FINE // 64)]
     bits = sets.groupBy("id").agg(F.first("bits").alias("bits")).select("id", *(F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(lanes)))

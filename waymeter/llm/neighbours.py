@@ -100,8 +100,11 @@ def _tiles(k: int, bounded: bool):
                     radius = np.sqrt(((x - centre) ** 2).sum(1).max())
                     may = q @ centre + np.sqrt((q * q).sum(1)) * radius >= np.asarray(batch.column("least")[r].values, float) - 1e-9
                     q, q_ids = q[may], q_ids[may]
+                    floor = np.asarray(batch.column("least")[r].values, float)[may] - 1e-9
                 if len(q_ids):
-                    yield pa.RecordBatch.from_arrays(_best(q_ids, q @ x.T, ids, k), ["q", "c", "s"])
+                    best = pa.RecordBatch.from_arrays(_best(q_ids, q @ x.T, ids, k), ["q", "c", "s"])
+                    # of the rest only what reaches the last score found so far is worth a row
+                    yield best.filter(pa.array(best.column("s").to_numpy() >= np.repeat(floor, len(best) // len(q_ids)))) if bounded else best
 
     return run
 

@@ -48,8 +48,8 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    nodes, leaves = chat.prefix_tree(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
-    return chat.read_back(nodes, leaves)
+    nodes, members = chat.prefix_tree(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe))
+    return chat.read_back(nodes, members)
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

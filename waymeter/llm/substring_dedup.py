@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialise, ranked, release
+from .common import bound_batches, discard, materialise, ranked, release
 from .words import U, mix, words
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -127,6 +127,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in the order of a text hash; rows equal in id and text are one document, and each is returned.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or [id_col])).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     docs, texts = _numbered(docs)
     marks = texts.select("uid", "t").mapInArrow(_anchors, "h long, id long, p int")
@@ -135,9 +136,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
 
     some = texts.select(F.col("uid").alias("id"), "t").join(near.hint("shuffle_hash"), "id").mapInArrow(_windows, "k long, id long, p long")
-    # p: 32 more bits of the window's hash, its start, and whether other chunks may hold an earlier one
+    # p: 32 more bits of the window's hash, its start, and whether other chunks may hold an earlier one; it is shuffled in one piece
     start, check = F.shiftright("p", 1).bitwiseAND(2**31 - 1).cast("int"), F.shiftright("p", 32)
-    some = some.select("k", check.alias("c"), "id", start.alias("start"), (F.col("p") % 2 != 0).alias("open"))
+    some = some.repartition("k").select("k", check.alias("c"), "id", start.alias("start"), (F.col("p") % 2 != 0).alias("open"))
     earliest = F.min(F.struct("id", "start")).over(Window.partitionBy("k", "c"))
     later = some.withColumn("e", earliest).where("not open or e <> struct(id, start)")
     covered = materialise(later.groupBy("id").agg(F.collect_set("start").alias("starts")), "covered")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import discard, materialise
+from .common import bound_batches, discard, materialise
 
 #: Labelled rows of either class that the classifier is fitted on at most.
 FIT_ROWS = 6000
@@ -165,6 +165,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", carry: l
 
     Null and empty texts get the score of a text without words. Rows are scored each by itself.
     """
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
