@@ -1,16 +1,19 @@
 """A toxicity classifier whose scores don't move when identity terms are swapped (counterfactual logit pairing).
 
-Features of a text are the distinct hashes of its words and of the first four letters of its longer words. A logistic regression is
+Features of a text are the distinct hashes of its words, of the first letters of its longer words (``PREFIXES``), and of those
+beginnings that several of its words share. A logistic regression is
 fitted by full-batch gradient steps on a bounded sample of labelled rows (``FIT_ROWS``, least hashes first, half of them toxic as
 far as there are any) with the usual log loss, an L2 term, and ``PAIRING`` times the mean squared difference between the scores of
 a labelled text and of the same text with its identity terms swapped for others. Texts without an identity term take part with a
-neutral mention added, against the text as it is: the pairs exist whether or not the corpus names groups. The model is an array of
+neutral mention added, against the text as it is: the pairs exist whether or not the corpus names groups. Each step leaves out a
+share ``DROP`` of the features, so that single ones become evidence enough. The model is an array of
 ``2**BITS`` floats, broadcast to the tasks that score every row.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,7 +30,9 @@ from .common import bound_batches, discard, materialise
 FIT_ROWS = 6000
 #: Bytes of features that the fit takes at most; rows beyond it, in the order of their hashes, are left out.
 FIT_BYTES = 128 << 20
-BITS, STEPS, RATE, L2, PAIRING = 20, 400, 0.1, 1e-5, 1.0
+BITS, STEPS, RATE, L2, PAIRING, DROP = 20, 400, 0.1, 1e-5, 1.0, 0.2
+#: Letters of the beginnings of words.
+PREFIXES = (4, 5, 6, 7)
 #: Standard errors by which a feature's log-odds ratio must exceed 0 to be evidence.
 Z = 3.0
 PREDICT_FROM = 0.7
@@ -60,7 +65,9 @@ def _hash(kind: str, x: str) -> int:
 
 def _features_of(vocabulary: set[str]) -> np.ndarray:
     found = {_hash("w", w) for w in vocabulary}
-    found.update(_hash("p", p) for p in {w[:4] for w in vocabulary if len(w) > 5})
+    begins = Counter(w[:k] for w in vocabulary for k in PREFIXES if len(w) > k)
+    found.update(_hash("p", p) for p in begins)
+    found.update(_hash("q", p) for p, n in begins.items() if n > 1)
     return np.fromiter(found, np.int32, len(found))
 
 
@@ -123,12 +130,15 @@ def fit(rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
     x, c = x.only(use), c.only(use)
     w = np.append(np.zeros(x.n), -3.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
+    rng = np.random.default_rng(3)
     for step in range(1, STEPS + 1):
-        p, q = (1 / (1 + np.exp(-np.clip(r.dot(w[:-1]) + w[-1], -30, 30))) for r in (x, c))
+        held = np.append(rng.random(x.n) >= DROP, True)
+        now = w * held
+        p, q = (1 / (1 + np.exp(-np.clip(r.dot(now[:-1]) + now[-1], -30, 30))) for r in (x, c))
         # d/dz of mean (p - q)^2
         pair = 2 * PAIRING * (p - q) / len(y)
         gx, gc = (p - y) * share + pair * p * (1 - p), -pair * q * (1 - q)
-        g = np.append(x.back(gx) + c.back(gc), (gx + gc).sum()) + L2 * w
+        g = np.append(x.back(gx) + c.back(gc), (gx + gc).sum()) * held + L2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     weights[:-1][use] = w[:-1]
