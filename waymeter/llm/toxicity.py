@@ -28,7 +28,7 @@ from .common import bound_batches, discard, materialise
 
 #: Labelled rows of either class that the classifier is fitted on at most.
 FIT_ROWS = 6000
-#: Bytes of features that the fit takes at most; rows beyond it, in the order of their hashes, are left out.
+#: Bytes of features (of those that are evidence) that the fit takes at most; rows beyond it, in the order of their hashes, are left out.
 FIT_BYTES = 128 << 20
 BITS, STEPS, RATE, L2, PAIRING, DROP = 20, 400, 0.1, 1e-5, 1.0, 0.2
 #: Letters of the beginnings of words.
@@ -107,11 +107,28 @@ class _Rows:
     def back(self, g: np.ndarray) -> np.ndarray:
         return np.bincount(self.cols, np.repeat(g, np.diff(self.at)), self.n)
 
-    def only(self, use: np.ndarray) -> _Rows:
-        """The columns in ``use``, numbered anew."""
-        number = np.cumsum(use) - 1
-        rows = np.split(self.cols, self.at[1:-1])
-        return _Rows([number[r[use[r]]] for r in rows], int(use.sum()))
+
+def _only(rows: list[bytes], use: np.ndarray) -> _Rows:
+    """Of ``rows`` the columns in ``use``, numbered anew; a row's others are never held as numbers beside those of other rows."""
+    number = (np.cumsum(use) - 1).astype(np.int32)
+    return _Rows([number[r[use[r]]] for r in (np.frombuffer(x, np.int32) for x in rows)], int(use.sum()))
+
+
+def evidence(counts: np.ndarray, toxic: float, others: float) -> np.ndarray:
+    """Features that are surely commoner in toxic rows: a one-sided test of the log-odds ratio (smoothed by a half). ``counts``: of other rows, then of toxic ones."""
+    down, up = counts
+    ratio = np.log((up + 0.5) / (toxic - up + 0.5)) - np.log((down + 0.5) / (others - down + 0.5))
+    return ratio >= Z * np.sqrt(1 / (up + 0.5) + 1 / (down + 0.5))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of either class a feature is in, one row per feature, class and task."""
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        for y, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            counts[y, np.frombuffer(x.as_buffer(), np.int32)] += 1
+    y, h = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(h.astype(np.int32)), pa.array(counts[y, h])], ["y", "h", "n"])
 
 
 def fit(rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
@@ -121,13 +138,12 @@ def fit(rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
     if not len(y) or y.min() == y.max():
         weights[-1] = 9.0 if len(y) and y[0] else -9.0
         return weights
-    x, c = (_Rows([np.frombuffer(r[i], np.int32) for r in rows], 1 << BITS) for i in (1, 2))
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    # only what is surely commoner in toxic rows is evidence: a one-sided test of its log-odds ratio (smoothed by a half)
-    up, down = x.back(y), x.back(1 - y)
-    ratio = np.log((up + 0.5) / (y.sum() - up + 0.5)) - np.log((down + 0.5) / (len(y) - y.sum() - down + 0.5))
-    use = ratio >= Z * np.sqrt(1 / (up + 0.5) + 1 / (down + 0.5))
-    x, c = x.only(use), c.only(use)
+    counts = np.zeros((2, 1 << BITS))
+    for toxic, own, _ in rows:
+        counts[int(toxic), np.frombuffer(own, np.int32)] += 1
+    use = evidence(counts, y.sum(), len(y) - y.sum())
+    x, c = (_only([r[i] for r in rows], use) for i in (1, 2))
     w = np.append(np.zeros(x.n), -3.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
     rng = np.random.default_rng(3)
@@ -149,7 +165,8 @@ def fit(rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> np.ndarray:
     """Fits on at most ``FIT_ROWS`` ids of either class, those with the least hashes; rows with a null id or label are left out.
 
-    Only ids and labels are sorted and cut to that bound; the sample is then small enough to be broadcast to the texts. Of rows
+    Only ids and labels are sorted and cut to that bound; the sample is then small enough to be broadcast to the texts. Features are
+    counted in Spark, and the driver gets ``2**BITS`` counts of either class at most and the sample's features that are evidence. Of rows
     that share an id the least text counts; an id with both labels is learnt as both.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
@@ -157,7 +174,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = reduce(DataFrame.unionByName, [there.where(F.col("y") == y).orderBy("k", "id").limit(FIT_ROWS) for y in (0, 1)])
     chosen = F.broadcast(materialise(chosen, "chosen"))
     texts = own.join(chosen, "id").groupBy("id", "y", "k").agg(F.min("t").alias("t"))
-    rows = materialise(texts.select("y", "k", "t").mapInArrow(_sample, "y int, k long, x binary, c binary"), "features")
+    every = materialise(texts.select("y", "k", "t").mapInArrow(_sample, "y int, k long, x binary, c binary"), "features")
+    counts, sizes = np.zeros((2, 1 << BITS)), dict(every.groupBy("y").count().collect())
+    sums = every.select("y", "x").mapInArrow(_counts, "y int, h int, n long").groupBy("y", "h").agg(F.sum("n").alias("n")).toArrow()
+    counts[sums.column("y").to_numpy(), sums.column("h").to_numpy()] = sums.column("n").to_numpy()
+    use = docs.sparkSession.sparkContext.broadcast(evidence(counts, sizes.get(1, 0), sizes.get(0, 0)))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, c = ([(f := np.frombuffer(v.as_buffer(), np.int32))[use.value[f]].tobytes() for v in column] for column in batch.columns[2:])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.binary()), pa.array(c, pa.binary())], ["y", "k", "x", "c"])
+
+    rows = materialise(every.mapInArrow(told, every.schema), "evidence")
     size = F.octet_length("x") + F.octet_length("c")
     total, last = 0, {}
     for r in rows.select("y", "k", size.alias("size")).orderBy("k").collect():  # 2 * FIT_ROWS at most
@@ -166,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             last[r["y"]] = r["k"]
     found = [rows.where((F.col("y") == y) & (F.col("k") <= k)).orderBy("k").select("y", "x", "c").collect() for y, k in last.items()]
     out = fit([tuple(r) for one in found for r in one])
-    discard(rows)
+    discard(every, rows)
     return out
 
 
