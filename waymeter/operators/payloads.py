@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.text import oneway_truthy, xml_escape
 from .classify import CLASS_A_HIGHWAYS, isin
 from .detectors import DRIVABLE
 from .history import IMPORT_USERS
-from .spatial import within
+from .spatial import vertices, within
 
 # The accounts and the days of the first import.
 FIRST_IMPORT = ("2007-08-03T00:00:00Z", "2008-05-04T00:00:00Z")
+# What a route may start and end on.
+ROUTED = tuple(h for h in DRIVABLE if h != "service")
 
 
 def harvest(ways: DataFrame) -> DataFrame:
@@ -68,17 +71,29 @@ def issues_by_element(issues: DataFrame) -> DataFrame:
     return issues.groupBy("id").agg(F.min("uuid").alias("issue"), F.count("*").alias("matches"))
 
 
-def nearest_other(points: DataFrame, vertices: DataFrame, radii: tuple[float, ...] = (240.0, 480.0, 800.0)) -> DataFrame:
-    """(id, distance, other): for a point of a way (id, lat, lon) the nearest vertex of another way, in widening rings; none beyond the last."""
+def nearest_other(points: DataFrame, roads: DataFrame, radii: tuple[float, ...] = (240.0, 480.0, 800.0), keys: tuple[str, ...] = ("id",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, distance, other, carry): for a point of a way (keys with id, lat, lon) the nearest vertex of another way, in widening rings; none beyond the last."""
     out, rest = None, points
     for metres in radii:
-        near = within(rest, vertices.withColumnRenamed("id", "other"), metres, ["other"]).where("id <> other")
-        best = near.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("b")).select("id", "b.*")
+        near = within(rest, roads.withColumnRenamed("id", "other"), metres, ["other", *carry]).where("id <> other")
+        best = near.groupBy(*keys).agg(F.min(F.struct("distance", "other", *carry)).alias("b")).select(*keys, "b.*")
         out = best if out is None else out.unionByName(best)
-        rest = rest.join(best.select("id"), "id", "left_anti")
+        rest = rest.join(best.select(*keys), list(keys), "left_anti")
     return out
 
 
+def route_ends(ways: DataFrame) -> DataFrame:
+    """(id, origin, destination) of every way with two vertices or more: the vertices of other drivable ways nearest to its start and its end, as (lat, lon). Both are null where either is missing."""
+    g = F.col("geometry")
+    ends = ways.where("size(geometry) >= 2").select("id", F.explode(F.array(F.struct(F.lit(0).alias("end"), geo.first(g).alias("p")), F.struct(F.lit(1).alias("end"), geo.last(g).alias("p")))).alias("e"))
+    ends = ends.select("id", "e.end", F.col("e.p.lat").alias("lat"), F.col("e.p.lon").alias("lon"))
+    roads = vertices(ways.where(F.col("highway").isin(*ROUTED)), "id").withColumn("at", geo.point(F.col("lat"), F.col("lon")))
+    near = nearest_other(ends, roads, keys=("id", "end"), carry=("at",))
+    both = ends.join(near.select("id", "end", "at"), ["id", "end"], "left").groupBy("id").agg(F.max(F.when(F.col("end") == 0, F.col("at"))).alias("o"), F.max(F.when(F.col("end") == 1, F.col("at"))).alias("d"))
+    found = F.col("o").isNotNull() & F.col("d").isNotNull()
+    return both.select("id", F.when(found, F.col("o")).alias("origin"), F.when(found, F.col("d")).alias("destination"))
+
+
 def way_xml(id_: Column, version: Column, tags: Column) -> Column:
     """A way of a change set with its tags in the map's order."""
     quoted = lambda x: xml_escape(x)

@@ -98,6 +98,11 @@ def flt_21_layers(x):
     return classified(x).where(F.col("defect_class").isin("A", "AB", "B")).select("id", "defect_class")
 
 
+@query("select way1_id, way2_id, name_key from gaps", "gaps")
+def flt_15_all_gap_tasks(x):
+    return reports.gap_tasks(gaps(x)).select("way1_id", "way2_id", "name_key")
+
+
 # joins
 
 
@@ -118,6 +123,12 @@ def jn_15_nearest_other_way(x):
     return payloads.nearest_other(start, roads).select("id", geo.rounded(F.col("distance"), 1).alias("distance_m"))
 
 
+@query()
+def jn_15_route_ends(x):
+    o, d = F.col("origin"), F.col("destination")
+    return payloads.route_ends(x.ways).select("id", o["lat"].alias("origin_lat"), o["lon"].alias("origin_lon"), d["lat"].alias("destination_lat"), d["lon"].alias("destination_lon"))
+
+
 # reports
 
 
@@ -170,6 +181,11 @@ def prj_22_cache_keys(x):
     return x.table("orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("id"), F.left(F.sha2(F.to_json(F.struct(F.col("o_orderkey").alias("a"), F.lit("x").alias("b"))), 256), F.lit(16)).alias("k"))
 
 
+@query("select o_orderkey id, substr(sha256('{\"a\":'||cast(o_orderkey as varchar)||',\"b\":\"x\"}'),1,16) k from orders")
+def prj_22_all_cache_keys(x):
+    return x.table("orders").select(F.col("o_orderkey").alias("id"), F.left(F.sha2(F.to_json(F.struct(F.col("o_orderkey").alias("a"), F.lit("x").alias("b"))), 256), F.lit(16)).alias("k"))
+
+
 @query("select p_partkey id, case when p_size%3=0 then null when p_size%3=1 then p_size else null end n, case when p_size%3=2 then null else p_size+0.5 end f from part")
 def prj_25_tolerant_casts(x):
     s = F.col("p_size").cast("string")
