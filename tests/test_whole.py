@@ -48,3 +48,28 @@ def test_whole_tables(spark, sf):
     keys, lanes = registry.QUERIES["prj_22_all_cache_keys"](spark, sf), registry.QUERIES["flt_15_all_gap_tasks"](spark, sf)
     assert keys.count() == spark.read.parquet(f"{sf}/orders.parquet").count() and keys.where("id >= 1000").count()
     assert lanes.where("name_key not like '%lane'").count()
+
+
+def test_stops_far_from_every_road(spark):
+    road = [(1, "residential", None, [{"lat": 39.0, "lon": -84.0}, {"lat": 39.001, "lon": -84.0}]), (2, "residential", None, [{"lat": -17.0, "lon": 179.9999}])]
+    ways = spark.createDataFrame(road, f"id long, highway string, service string, geometry {LINE}")
+    stops = [(1, 0.0, 0.0), (2, -84.0, 39.0), (3, 39.0, -84.0), (4, 39.0, -90.0), (5, -17.0, -179.9999), (6, None, 1.0), (7, 0.0, 0.0), (8, 89.9, 10.0), (9, 139.0, -84.0)]
+    got = {r.id: r.distance_m for r in detectors.misplaced_stops(spark.createDataFrame(stops, "id long, lat double, lon double"), ways).collect()}
+    spots = [(p["lat"], p["lon"]) for w in road for p in w[3]]
+    want = {i: min(hav((a, b), q) for q in spots) for i, a, b in stops if a is not None}
+    assert set(got) == {i for i, d in want.items() if d > 20} == {1, 2, 4, 5, 7, 8, 9}
+    assert all(abs(got[i] - want[i]) < 1e-3 for i in got)
+
+
+def test_nearest_anywhere(spark):
+    import random
+
+    from waymeter.operators import spatial
+
+    rnd = random.Random(1)
+    points = lambda n: [(i, rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for i in range(n)]
+    a, b = points(60), points(40) + [(100 + i, 39 + rnd.random() / 10, -84 + rnd.random() / 10) for i in range(300)]
+    got = {r.id: (r.nearest.k, r.distance) for r in spatial.nearest(spark.createDataFrame(a, "id int, lat double, lon double"), spark.createDataFrame(b, "k int, lat double, lon double"), "id", ["k"]).collect()}
+    for i, lat, lon in a:
+        d, k = min((hav((lat, lon), q[1:]), q[0]) for q in b)
+        assert got[i][0] == k and abs(got[i][1] - d) < 1e-3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geo
 
@@ -26,15 +27,57 @@ def within(left: DataFrame, right: DataFrame, metres: float, right_cols: list[st
     return a.join(b, ["_band", "_cell"]).withColumn("distance", d).where(F.col("distance") <= metres).drop("_band", "_cell", "_lat", "_lon")
 
 
+#: Cells of the unit ball for :func:`anywhere`: sides of 1/2 for the widest, then of an eighth of the side before.
+LEVELS, SIDE = 4, 0.5
+_AXES = ("x", "y", "z")
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, right_cols: list[str], radii: tuple[float, ...] = (60.0, 600.0, 6_000.0, 60_000.0)) -> DataFrame:
-    """(key, distance, nearest: struct of ``right_cols``) of the nearest right row, ties to its columns in order. Rings widen for rows that have found none; beyond the last there is none."""
+    """(key, distance, nearest: struct of ``right_cols``) of the nearest right row, ties to its columns in order. Rings widen for rows that have found none; beyond the last the whole globe is searched. Only rows without a point have none."""
     out, rest = None, left.select(key, "lat", "lon")
     whole = right.select(F.struct(*right_cols).alias("_it"), "lat", "lon")
     for metres in radii:
-        best = within(rest, whole, metres, ["_it"]).groupBy(key).agg(F.min(F.struct("distance", F.col("_it").alias("nearest"))).alias("b")).select(key, "b.*")
+        # grid cells end at the date line and the poles: what is near them leaves the rings out
+        inner = rest.where((F.abs("lat") <= 80) & (F.abs("lon") <= 176))
+        best = within(inner, whole, metres, ["_it"]).groupBy(key).agg(F.min(F.struct("distance", F.col("_it").alias("nearest"))).alias("b")).select(key, "b.*")
         out = best if out is None else out.unionByName(best)
         rest = rest.join(best.select(key), key, "left_anti")
-    return out
+    far = anywhere(rest, whole, key)
+    return far if out is None else out.unionByName(far)
+
+
+def _on_ball(df: DataFrame) -> DataFrame:
+    """``df`` with its points' x, y, z on the unit ball; angles out of range are carried round."""
+    a, b = F.radians("lat"), F.radians("lon")
+    return df.withColumns({"x": F.cos(a) * F.cos(b), "y": F.cos(a) * F.sin(b), "z": F.sin(a)})
+
+
+def anywhere(points: DataFrame, whole: DataFrame, key: str) -> DataFrame:
+    """(key, distance, nearest) of the right row (_it, lat, lon) nearest to each point (key, lat, lon), however far.
+
+    Occupied cells of the ball are split level by level: of each point's cells those stay that are no farther at their nearest
+    corner than the best cell is at its farthest, and only rows in the last ones are measured.
+    """
+    fine = SIDE / 8 ** (LEVELS - 1)
+    spots = _on_ball(whole.where(geo.valid(F.col("lat"), F.col("lon")))).select("_it", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), *(F.floor((F.col(c) + 1) / fine).alias(f"_{c}") for c in _AXES))
+    rows = _on_ball(points.where("lat + lon is not null and abs(lat + lon) < 1e9")).select(key, "lat", "lon", *_AXES)
+    for c in _AXES:
+        rows = rows.withColumn(f"_{c}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(2 / SIDE)).cast("long"))))
+    cells = [f"_{c}" for c in _AXES]
+    for level in range(LEVELS):
+        side, shift = SIDE / 8**level, 3 * (LEVELS - 1 - level)
+        here = spots.select(*(F.shiftright(c, shift).alias(c) for c in cells)).distinct()
+        if level == 0:
+            rows = rows.join(here, cells)
+        else:
+            here = here.select(*(F.shiftright(c, 3).alias(c) for c in cells), *(F.col(c).alias(f"{c}1") for c in cells))
+            rows = rows.join(here, cells).select(key, "lat", "lon", *_AXES, *(F.col(f"{c}1").alias(c) for c in cells))
+        low = {c: F.col(f"_{c}") * side - 1 - F.col(c) for c in _AXES}
+        least = sum((F.pow(F.greatest(F.lit(0.0), d, -d - side), 2) for d in low.values()), F.lit(0.0))
+        most = sum((F.pow(F.greatest(F.abs(d), F.abs(d + side)), 2) for d in low.values()), F.lit(0.0))
+        rows = rows.withColumn("_least", least).withColumn("_best", F.min(most).over(Window.partitionBy(key, "lat", "lon"))).where("_least <= _best + 1e-12").drop("_least", "_best")
+    d = geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    return rows.join(spots, cells).groupBy(key).agg(F.min(F.struct(d.alias("distance"), F.col("_it").alias("nearest"))).alias("b")).select(key, "b.*")
 
 
 def vertices(lines: DataFrame, *cols: str) -> DataFrame:
