@@ -4,6 +4,7 @@ The index holds a posting (term, document, position) for every corpus token that
 words, or a shorter item) is looked up by its rarest term over the whole corpus: that term's postings, less its offset, are
 candidate alignments. The remaining terms' postings of those documents, shifted alike, are intersected with them; runs of
 consecutive hits as long as a window are exact phrases. Windows with a term that the corpus lacks are never looked up.
+Proximity matches are items of whose words a share stands near its place; their candidates come from each item's rarest words.
 
 The vocabulary and the anchors join by broadcast while their measured size is small, otherwise by a shuffle. A phrase that a third
 of all documents share costs a row for each occurrence of its rarest term.
@@ -20,6 +21,8 @@ from .common import discard, few, materialise, release
 WINDOW = 13
 #: The least share of a document's words, 1 in so many, that makes it contaminated.
 SHARE = 20
+#: Proximity: the words that one may stand away from its place, and the share of an item's words that must be there.
+SLOP, NEAR = 3, 0.8
 #: Bytes of terms that may be broadcast.
 TERM_BYTES = 16 << 20
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -89,19 +92,44 @@ def phrase_matches(postings: DataFrame, spelt: DataFrame, aligned: DataFrame) ->
     return runs.where(F.col("size") >= F.least("n", F.lit(WINDOW))).select("id", "v", "k", (F.col("diag") + F.col("lo")).alias("first"), "size")
 
 
-def proximity_matches(postings: DataFrame, spelt: DataFrame, aligned: DataFrame, slop: int = 3, share: float = 0.8) -> DataFrame:
+def near_candidates(postings: DataFrame, spelt: DataFrame, freq: DataFrame, slop: int, share: float, sure: int = 3) -> DataFrame:
+    """Every alignment (id, v, k, diag) at which ``share`` of an item's words may stand within ``slop`` words of their place.
+
+    Of an item's n words so many, say a, may be missing. Of its a + ``sure`` rarest words, those that the corpus lacks among them,
+    at least ``sure`` must then be in place, so the postings of these words alone tell which alignments are possible.
+    """
+    width, missing = 2 * slop + 1, F.col("n") - F.ceil(share * F.col("n"))
+    order = F.row_number().over(Window.partitionBy("k").orderBy("freq", "pos"))
+    rare = spelt.join(freq, "term", "left").withColumn("freq", F.coalesce("freq", F.lit(0))).withColumn("r", order)
+    rare = rare.where(F.col("r") <= missing + sure).select("k", F.col("pos").alias("ipos"), "term", (F.least(F.col("n"), missing + sure) - missing).alias("least"))
+    size = rare.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
+    met = postings.join(F.broadcast(rare) if size <= TERM_BYTES else rare, "term").withColumn("b", F.floor((F.col("pos") - F.col("ipos")) / width).cast("int"))
+    # words within slop of one alignment lie in two neighbouring bins of diagonals
+    bins = met.select("id", "v", "k", "least", "ipos", F.explode(F.array(F.col("b") - 1, F.col("b"))).alias("b"))
+    bins = bins.groupBy("id", "v", "k", "b").agg(F.countDistinct("ipos").alias("found"), F.first("least").alias("least")).where("found >= least")
+    low = F.col("b") * width + slop
+    return bins.select("id", "v", "k", F.explode(F.sequence(low, low + width - 1)).alias("diag"))
+
+
+def proximity_matches(postings: DataFrame, spelt: DataFrame, aligned: DataFrame, slop: int = SLOP, share: float = NEAR) -> DataFrame:
     """(id, v, k, diag, found): alignments at which at least ``share`` of the item's words stand within ``slop`` words of their place."""
-    expected = aligned.join(spelt, "k").select("id", "v", "k", "diag", "n", F.col("pos").alias("ipos"), "term", F.explode(F.sequence(F.col("diag") + F.col("pos") - slop, F.col("diag") + F.col("pos") + slop)).alias("at"))
-    own = postings.select(F.col("id").alias("_id"), F.col("v").alias("_v"), F.col("pos").alias("at"), "term")
-    hits = expected.join(own, ["at", "term"]).where(F.col("id").eqNullSafe(F.col("_id")) & (F.col("v") == F.col("_v")))
+    width = 2 * slop + 1
+    docs = few(aligned.select("id", "v").distinct())
+    own = postings.join(docs, postings["id"].eqNullSafe(docs["id"]) & (postings["v"] == docs["v"]), "left_semi")
+    own = own.select(F.col("id").alias("_id"), F.col("v").alias("_v"), F.col("pos").alias("at"), F.col("term").alias("_term"), F.floor(F.col("pos") / width).alias("_b"))
+    place = F.col("diag") + F.col("ipos")
+    expected = aligned.join(spelt, "k").select("id", "v", "k", "diag", "n", F.col("pos").alias("ipos"), "term")
+    expected = expected.select("*", F.explode(F.sequence(F.floor((place - slop) / width), F.floor((place + slop) / width))).alias("b"))
+    hits = expected.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("v") == F.col("_v")) & (F.col("term") == F.col("_term")) & (F.col("b") == F.col("_b"))).where(F.abs(F.col("at") - place) <= slop)
     return hits.groupBy("id", "v", "k", "diag", "n").agg(F.countDistinct("ipos").alias("found")).where(F.col("found") >= share * F.col("n")).drop("n")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", near: bool = False) -> DataFrame:
     """(id, n_words, n_hit, n_items, items, contaminated) for each row of ``docs``; ``items`` are the item ids, as sorted strings.
 
     Null or empty texts and items have no words. Rows equal in id and text are judged alike, rows of one id with other texts each by
     itself, rows with a null id too. Items that share an id count once; an item without an id makes hits but is not listed.
+    ``near`` adds near_items, the ids of items found by proximity as a whole (an exact window alone is not enough); ``contaminated`` stays exact.
     """
     spark = docs.sparkSession
     items, spelt = _items(benchmark, item_col, item_text_col)
@@ -110,6 +138,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     freq = postings.groupBy("term").agg(F.count("*").alias("freq"))
     aligned = materialise(candidates(postings, _windows(spelt, freq)), "aligned")
     phrases = materialise(phrase_matches(postings, spelt, aligned), "phrases")
+    if near:
+        possible = materialise(near_candidates(postings, spelt, freq, SLOP, NEAR), "possible")
+        close = materialise(proximity_matches(postings, spelt, possible).select("id", "v", "k").distinct(), "close")
+        discard(possible)
     discard(postings, aligned)
     release(spark)
     hit = phrases.select("id", "v", F.explode(F.expr("sequence(first, first + size - 1)")).alias("pos")).distinct().groupBy("id", "v").agg(F.count("*").alias("n_hit"))
@@ -117,5 +149,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = hit.join(named, hit["id"].eqNullSafe(named["id"]) & (hit["v"] == named["v"])).select(hit["id"].alias("_id"), hit["v"].alias("_v"), "n_hit", "items")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("v"), word_count(F.col(text_col)).alias("n_words"))
     out = rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("v") == F.col("_v")), "left")
+    more = []
+    if near:
+        close = close.join(items, "k").groupBy("id", "v").agg(F.array_sort(F.collect_set("item_id")).alias("near_items"))
+        close = close.select(F.col("id").alias("_id1"), F.col("v").alias("_v1"), "near_items")
+        out = out.join(close, F.col("id").eqNullSafe(F.col("_id1")) & (F.col("v") == F.col("_v1")), "left")
+        more = [F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items")]
     n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(F.col("id").alias(id_col), "v", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select(F.col("id").alias(id_col), "v", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"), *more)

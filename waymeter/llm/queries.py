@@ -40,6 +40,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_proximity_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), near=True)
+    digest = lambda c: F.sha2(F.array_join(c, ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest("items").alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"), digest("near_items").alias("near_items_sha256"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract(read(spark, sf_dir, "pages"), carry=["page_id", "url"])
     return out.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -68,5 +74,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_two_pass_sharding, op3_minhash_near_dedup, op4_toxicity, op5_benchmark_decontamination, op6_html_extraction, op7_chat_formatting, op8_nearest_neighbours, op9_byte_bpe, op10_substring_dedup)
+    for f in (op1_license_scan, op2_two_pass_sharding, op3_minhash_near_dedup, op4_toxicity, op5_benchmark_decontamination, op5_proximity_decontamination, op6_html_extraction, op7_chat_formatting, op8_nearest_neighbours, op9_byte_bpe, op10_substring_dedup)
 }
