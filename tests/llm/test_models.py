@@ -50,6 +50,21 @@ def test_counterfactual_pairing_frees_identity_terms():
     assert moved[1] < 0.5 * moved[0]
 
 
+def test_pairing_acts_on_the_given_tables(spark, monkeypatch):
+    """Weights differ with and without the penalty, and with it held-out texts move less when their identity terms are swapped."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    with_it = toxicity.classifier(docs, labels)
+    monkeypatch.setattr(toxicity, "PAIRING", 0.0)
+    without = toxicity.classifier(docs, labels)
+    assert np.abs(with_it - without).max() > 0.05 and (with_it[toxicity.KEPT] != without[toxicity.KEPT]).any()
+    texts = [r.text for r in docs.join(labels, "doc_id").where(toxicity.held_out()).select("text").collect()]
+    pairs = [(toxicity.features(t), toxicity.counterfactual(t)) for t in texts]
+    score = lambda w, f: 1 / (1 + np.exp(-np.clip(w[f].sum(dtype=float) + w[-1], -30, 30)))
+    moved = [np.mean([abs(score(w, a) - score(w, b)) for a, b in pairs]) for w in (with_it, without)]
+    assert moved[0] < 0.8 * moved[1]
+
+
 def test_toxicity_odd(spark, odd_docs, no_docs, odd_texts):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (3, 0)], "doc_id long, toxic int")
     weights = toxicity.classifier(odd_docs, labels)

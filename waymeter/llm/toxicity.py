@@ -1,21 +1,24 @@
 """A toxicity classifier whose scores don't move when identity terms are swapped (counterfactual logit pairing).
 
-Features of a text are the distinct hashes of its words, of the first letters of its longer words (``PREFIXES``), and of those
-beginnings that several of its words share. A logistic regression is
-fitted by full-batch gradient steps on a bounded sample of labelled rows (``FIT_ROWS``, least hashes first, half of them toxic as
-far as there are any) with the usual log loss, an L2 term, and ``PAIRING`` times the mean squared difference between the scores of
-a labelled text and of the same text with its identity terms swapped for others. Texts without an identity term take part with a
-neutral mention added, against the text as it is: the pairs exist whether or not the corpus names groups. Each step leaves out a
-share ``DROP`` of the features, so that single ones become evidence enough. The model is an array of
-``2**BITS`` floats, broadcast to the tasks that score every row.
+Features of a text are the distinct hashes of its words, of the first letters of its longer words (``PREFIXES``), of those
+beginnings that two or three of its words share, and three marks of its surface (symbols, capitals, repeats). A logistic regression
+is fitted by full-batch gradient steps on a bounded sample of labelled rows (``FIT_ROWS``, least hashes first, half of them toxic
+as far as there are any) with the usual log loss, an L2 term, and ``PAIRING`` times the mean squared difference between the scores
+of a labelled text and of the same text with its identity terms swapped for others. Texts without an identity term take part with
+a neutral mention added, against the text as it is: the pairs exist whether or not the corpus names groups. Each step leaves out a
+share ``DROP`` of the features, so that single ones become evidence enough.
+
+Features that are surely commoner in either class are learnt, for and against; those of identity terms, of their beginnings and of
+the surface always are, so that the pairing has hold of them. The model is an array of ``2**BITS`` floats, nearly all 0; its other
+entries are broadcast to the tasks that score every row.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +28,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import bound_batches, discard, materialise
+from .words import U, mix
 
 #: Labelled rows of either class that the classifier is fitted on at most.
 FIT_ROWS = 6000
 #: Bytes of features (of those that are evidence) that the fit takes at most; rows beyond it, in the order of their hashes, are left out.
 FIT_BYTES = 128 << 20
-BITS, STEPS, RATE, L2, PAIRING, DROP = 20, 400, 0.1, 1e-5, 1.0, 0.2
+BITS, STEPS, RATE, L2, PAIRING, DROP = 22, 400, 0.1, 1e-4, 5.0, 0.2
 #: Letters of the beginnings of words.
 PREFIXES = (4, 5, 6, 7)
-#: Standard errors by which a feature's log-odds ratio must exceed 0 to be evidence.
-Z = 3.0
+#: Standard errors by which a feature's log-odds ratio must differ from 0 to be evidence.
+Z = 2.5
+#: The share of a text's words from which on a mark of its surface counts.
+OFTEN = 0.1
 PREDICT_FROM = 0.7
 # Identity terms; each group's terms are swapped for one another.
 IDENTITY = (
@@ -52,6 +58,7 @@ IDENTITY = (
 _GROUP = {term: group for group in IDENTITY for term in group}
 _TERMS = tuple(_GROUP)
 _TOKEN = re.compile(r"\w+")
+_SYMBOLS = re.compile(r"[^\w\s]{2,}|\|")
 
 
 def _other(term: str) -> str:
@@ -60,28 +67,49 @@ def _other(term: str) -> str:
 
 
 def _hash(kind: str, x: str) -> int:
-    return xxhash.xxh64_intdigest(kind + x) & ((1 << BITS) - 1)
+    return xxhash.xxh64_intdigest(kind + x)
 
 
-def _features_of(vocabulary: set[str]) -> np.ndarray:
-    found = {_hash("w", w) for w in vocabulary}
-    begins = Counter(w[:k] for w in vocabulary for k in PREFIXES if len(w) > k)
-    found.update(_hash("p", p) for p in begins)
-    found.update(_hash("q", p) for p, n in begins.items() if n > 1)
-    return np.fromiter(found, np.int32, len(found))
+def _parts(word: str) -> tuple[int, ...]:
+    """Hashes of a word and of its beginnings."""
+    return _hash("w", word), *(_hash("p", word[:k]) for k in PREFIXES if len(word) > k)
+
+
+_parts_of_short = lru_cache(maxsize=1 << 16)(_parts)
+
+
+def _surface(text: str) -> list[int]:
+    """Which of three marks the text shows: symbols in or between words, words in capitals, a word said again at once."""
+    said = text.split()
+    marks = (
+        ("symbols", (1 for w in said if _SYMBOLS.search(w))),
+        ("capitals", (1 for w in said if w.isupper() and len(w) > 1)),
+        ("repeats", (1 for a, b in zip(said, said[1:], strict=False) if a == b)),
+    )
+    return [_hash("s", name) for name, found in marks if said and sum(found) >= OFTEN * len(said)]
+
+
+def _features_of(vocabulary: set[str], surface: list[int]) -> np.ndarray:
+    parts = chain.from_iterable(_parts_of_short(w) if len(w) <= 32 else _parts(w) for w in vocabulary)
+    h, n = np.unique(np.fromiter(parts, U), return_counts=True)
+    found = np.concatenate([h, mix(h[n > 1], 2), mix(h[n > 2], 3), np.array(surface, U)])
+    return np.unique(found & U((1 << BITS) - 1)).astype(np.int32)
+
+
+#: Features that are always learnt: of identity terms and of the surface.
+KEPT = np.unique(np.array([h & ((1 << BITS) - 1) for h in chain(*map(_parts, _TERMS), (_hash("s", m) for m in ("symbols", "capitals", "repeats")))], np.int32))
 
 
 def features(text: str | None) -> np.ndarray:
-    return _features_of(set(_TOKEN.findall((text or "").lower())))
+    return _features_of(set(_TOKEN.findall((text or "").lower())), _surface(text or ""))
 
 
 def counterfactual(text: str | None) -> np.ndarray:
     """Features of the text with identity terms swapped; without any, with one mentioned."""
     vocabulary = set(_TOKEN.findall((text or "").lower()))
     named = vocabulary & _GROUP.keys()
-    if named:
-        return _features_of((vocabulary - named) | {_other(t) for t in named})
-    return _features_of(vocabulary | {_TERMS[xxhash.xxh32_intdigest(text or "") % len(_TERMS)]})
+    other = (vocabulary - named) | {_other(t) for t in named} if named else vocabulary | {_TERMS[xxhash.xxh32_intdigest(text or "") % len(_TERMS)]}
+    return _features_of(other, _surface(text or ""))
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,26 +137,24 @@ class _Rows:
 
 
 def _only(rows: list[bytes], use: np.ndarray) -> _Rows:
-    """Of ``rows`` the columns in ``use``, numbered anew; a row's others are never held as numbers beside those of other rows."""
-    number = (np.cumsum(use) - 1).astype(np.int32)
-    return _Rows([number[r[use[r]]] for r in (np.frombuffer(x, np.int32) for x in rows)], int(use.sum()))
+    """Of ``rows`` the columns in ``use``, which is sorted, numbered anew; a row's others are never held as numbers beside those of other rows."""
+    return _Rows([np.flatnonzero(np.isin(use, np.frombuffer(x, np.int32))).astype(np.int32) for x in rows], len(use))
 
 
-def evidence(counts: np.ndarray, toxic: float, others: float) -> np.ndarray:
-    """Features that are surely commoner in toxic rows: a one-sided test of the log-odds ratio (smoothed by a half). ``counts``: of other rows, then of toxic ones."""
-    down, up = counts
-    ratio = np.log((up + 0.5) / (toxic - up + 0.5)) - np.log((down + 0.5) / (others - down + 0.5))
-    return ratio >= Z * np.sqrt(1 / (up + 0.5) + 1 / (down + 0.5))
+def evidence(up, down, toxic, others, m=np):
+    """Whether features are surely commoner in either class: a two-sided test of the log-odds ratio (smoothed by a half). ``up``, ``down``: rows of ``toxic`` toxic and of ``others`` that show them; ``m``: numpy, or Spark's functions for columns."""
+    ratio = m.log((up + 0.5) / (toxic - up + 0.5)) - m.log((down + 0.5) / (others - down + 0.5))
+    return m.abs(ratio) >= Z * m.sqrt(1 / (up + 0.5) + 1 / (down + 0.5))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many rows of either class a feature is in, one row per feature, class and task."""
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
         for y, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             counts[y, np.frombuffer(x.as_buffer(), np.int32)] += 1
     y, h = np.nonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(h.astype(np.int32)), pa.array(counts[y, h])], ["y", "h", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(h.astype(np.int32)), pa.array(counts[y, h].astype(np.int64))], ["y", "h", "n"])
 
 
 def fit(rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
@@ -139,10 +165,10 @@ def fit(rows: list[tuple[int, bytes, bytes]]) -> np.ndarray:
         weights[-1] = 9.0 if len(y) and y[0] else -9.0
         return weights
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    counts = np.zeros((2, 1 << BITS))
-    for toxic, own, _ in rows:
-        counts[int(toxic), np.frombuffer(own, np.int32)] += 1
-    use = evidence(counts, y.sum(), len(y) - y.sum())
+    seen = [np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r[1], np.int32) for r in rows if r[0] == k)]) for k in (0, 1)]
+    every = np.unique(np.concatenate([*seen, KEPT]))
+    down, up = (np.bincount(np.searchsorted(every, s), minlength=len(every)) for s in seen)
+    use = every[evidence(up, down, y.sum(), len(y) - y.sum()) | np.isin(every, KEPT)]
     x, c = (_only([r[i] for r in rows], use) for i in (1, 2))
     w = np.append(np.zeros(x.n), -3.0)
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -166,8 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fits on at most ``FIT_ROWS`` ids of either class, those with the least hashes; rows with a null id or label are left out.
 
     Only ids and labels are sorted and cut to that bound; the sample is then small enough to be broadcast to the texts. Features are
-    counted in Spark, and the driver gets ``2**BITS`` counts of either class at most and the sample's features that are evidence. Of rows
-    that share an id the least text counts; an id with both labels is learnt as both.
+    counted and tested in Spark; the driver gets those that are evidence (``2**BITS`` at most) and the sample's rows cut to them. Of
+    rows that share an id the least text counts; an id with both labels is learnt as both.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     there = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").distinct().join(own.select("id"), "id", "left_semi").withColumn("k", F.xxhash64("id"))
@@ -175,14 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = F.broadcast(materialise(chosen, "chosen"))
     texts = own.join(chosen, "id").groupBy("id", "y", "k").agg(F.min("t").alias("t"))
     every = materialise(texts.select("y", "k", "t").mapInArrow(_sample, "y int, k long, x binary, c binary"), "features")
-    counts, sizes = np.zeros((2, 1 << BITS)), dict(every.groupBy("y").count().collect())
-    sums = every.select("y", "x").mapInArrow(_counts, "y int, h int, n long").groupBy("y", "h").agg(F.sum("n").alias("n")).toArrow()
-    counts[sums.column("y").to_numpy(), sums.column("h").to_numpy()] = sums.column("n").to_numpy()
-    use = docs.sparkSession.sparkContext.broadcast(evidence(counts, sizes.get(1, 0), sizes.get(0, 0)))
+    sizes = dict(every.groupBy("y").count().collect())
+    sums = every.select("y", "x").mapInArrow(_counts, "y int, h int, n long").groupBy("h").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(n) for y, n in ((1, "up"), (0, "down"))))
+    sure = sums.where(evidence(F.col("up"), F.col("down"), F.lit(sizes.get(1, 0)), F.lit(sizes.get(0, 0)), F)).select("h").toArrow()
+    use = docs.sparkSession.sparkContext.broadcast(np.union1d(sure.column("h").to_numpy(), KEPT).astype(np.int32))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, c = ([(f := np.frombuffer(v.as_buffer(), np.int32))[use.value[f]].tobytes() for v in column] for column in batch.columns[2:])
+            x, c = ([(f := np.frombuffer(v.as_buffer(), np.int32))[np.isin(f, use.value)].tobytes() for v in column] for column in batch.columns[2:])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.binary()), pa.array(c, pa.binary())], ["y", "k", "x", "c"])
 
     rows = materialise(every.mapInArrow(told, every.schema), "evidence")
@@ -204,10 +230,13 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", carry: l
     Null and empty texts get the score of a text without words. Rows are scored each by itself.
     """
     bound_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(weights)
+    some = np.flatnonzero(weights).astype(np.int32)
+    model = docs.sparkSession.sparkContext.broadcast((len(weights), some, weights[some]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = model.value
+        size, at, values = model.value
+        w = np.zeros(size, np.float32)
+        w[at] = values
         for batch in batches:
             z = np.array([w[features(t.as_py())].sum(dtype=float) + w[-1] for t in batch.column(1)], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["row", "score"])
