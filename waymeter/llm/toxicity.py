@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -70,34 +70,30 @@ def _hash(kind: str, x: str) -> int:
     return xxhash.xxh64_intdigest(kind + x)
 
 
-def _parts(word: str) -> tuple[int, ...]:
-    """Hashes of a word and of its beginnings."""
-    return _hash("w", word), *(_hash("p", word[:k]) for k in PREFIXES if len(word) > k)
+def _parts(word: str) -> bytes:
+    """Hashes of a word and of its beginnings, packed."""
+    return np.array([_hash("w", word), *(_hash("p", word[:k]) for k in PREFIXES if len(word) > k)], U).tobytes()
 
 
 _parts_of_short = lru_cache(maxsize=1 << 16)(_parts)
 
 
 def _surface(text: str) -> list[int]:
-    """Which of three marks the text shows: symbols in or between words, words in capitals, a word said again at once."""
+    """Which of three marks the text shows: runs of symbols, words in capitals, a word said again at once."""
     said = text.split()
-    marks = (
-        ("symbols", (1 for w in said if _SYMBOLS.search(w))),
-        ("capitals", (1 for w in said if w.isupper() and len(w) > 1)),
-        ("repeats", (1 for a, b in zip(said, said[1:], strict=False) if a == b)),
-    )
-    return [_hash("s", name) for name, found in marks if said and sum(found) >= OFTEN * len(said)]
+    marks = (("symbols", len(_SYMBOLS.findall(text))), ("capitals", sum(map(str.isupper, said))), ("repeats", sum(map(eq, said, said[1:]))))
+    return [_hash("s", name) for name, found in marks if said and found >= OFTEN * len(said)]
 
 
 def _features_of(vocabulary: set[str], surface: list[int]) -> np.ndarray:
-    parts = chain.from_iterable(_parts_of_short(w) if len(w) <= 32 else _parts(w) for w in vocabulary)
-    h, n = np.unique(np.fromiter(parts, U), return_counts=True)
+    long = {w for w in vocabulary if len(w) > 32}
+    h, n = np.unique(np.frombuffer(b"".join([*map(_parts_of_short, vocabulary - long), *map(_parts, long)]), U), return_counts=True)
     found = np.concatenate([h, mix(h[n > 1], 2), mix(h[n > 2], 3), np.array(surface, U)])
     return np.unique(found & U((1 << BITS) - 1)).astype(np.int32)
 
 
 #: Features that are always learnt: of identity terms and of the surface.
-KEPT = np.unique(np.array([h & ((1 << BITS) - 1) for h in chain(*map(_parts, _TERMS), (_hash("s", m) for m in ("symbols", "capitals", "repeats")))], np.int32))
+KEPT = np.unique(np.concatenate([np.frombuffer(b"".join(map(_parts, _TERMS)), U), np.array([_hash("s", m) for m in ("symbols", "capitals", "repeats")], U)]) & U((1 << BITS) - 1)).astype(np.int32)
 
 
 def features(text: str | None) -> np.ndarray:
