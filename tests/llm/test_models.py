@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -100,6 +101,39 @@ def test_boilerplate():
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 10, None) == "deep"
 
 
+def test_pieces_are_decoded_one_by_one():
+    assert html_text.main_text("<p>a &l<i>t</i>; b &amp<b>;lt;</b> &lt;i&gt; &eacute;", None) == "a &lt; b &;lt; <i> é"
+
+
+def test_article_keeps_what_its_classes_describe():
+    body = "<p>" + "long text of the article " * 9 + "</p>"
+    page = f"<main>{body}<p class='foot-note'>one<p class=warning>two<p class=share>three<span class=print>four</span><p class=side>five<ul><li class=related>six</ul><div class=social-share>no</div><div class='comment-list'>no</div><p class=ad>no</main>"
+    assert html_text.main_text(page, None).removeprefix("long text of the article " * 9) == "one two threefour five six"
+
+
+@pytest.mark.parametrize("bad", ["<div></b>", '<a "', "<a x='", "<p><span>", "<li><i>", "<b", "</", "<!-", "<td><tr>", "<svg", "&amp", "<a b=\"c>", '<p class="x' + "y" * 100 + '">'])
+def test_long_bad_pages_take_linear_time(bad):
+    began = time.process_time()
+    text = html_text.main_text("<p>start</p>" + bad * ((1 << 20) // len(bad)), None)
+    assert text.startswith("start") and time.process_time() - began < 5
+
+
+def test_unclosed_quotes_lose_no_text():
+    assert html_text.main_text('<p>a<a href="x>b</a><p>c<i>d</i>', None) == "abc d".replace("bc", "b c").replace("c d", "cd")
+    assert html_text.main_text("<p>a<a title='x>y' href=z>b</a> <a 'q>c</a>", None) == "ab c"
+
+
+def test_pages_of_all_hosts(spark):
+    test_pages(spark, "/root/testdata/sf0.1")
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "http://h/", "<article>" + "some words " * 5 + "</article>", "r", "h", "p", "t", "o", None), (1, "http://h/", None, "r", "h", "p", "t", "o", 3), (1, "http://h/", None, "r", "h", "p", "t", "o", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, row string, host string, path string, text string, h string, votes int")
+    got = html_text.extract(pages).select("row.*", F.col("text").alias("found")).collect()
+    assert sorted(r.found for r in got) == ["", "", " ".join(["some words"] * 5)] and all(r.row == "r" and r.host == "h" and r.path == "p" and r.h == "o" for r in got)
+
+
 def test_consensus(spark):
     body = "<p>" + "long text of the article " * 8 + "</p>"
     rows = [(i, "http://h.example/x", f"<body><div class=story{i}>{body}</div><div class=other><p>short</p></div></body>") for i in range(5)]

@@ -4,8 +4,9 @@ Every page scores its containers: letters of running text inside, less what its
 votes, by its path of tags and generalised classes, for its host; votes are summed in Spark. Each page is then read again and the
 containers on its host's winning path give the text; a page without one falls back on its own best container.
 
-A page is parsed with one scanner over its tags that knows which elements close by themselves; ancestors are kept as parent
-numbers, so that a page costs time in proportion to its length.
+A page is parsed with one scanner over its tags that knows which elements close by themselves and where the open ones of each name
+stand; ancestors are kept as parent numbers and paths as hashes of 32 characters, so that a page costs time in proportion to its
+length whatever its markup.
 """
 
 from __future__ import annotations
@@ -27,16 +28,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "select")
 BLOCK = frozenset("html body address article aside blockquote br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 ENDS_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
-CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 SKIP = frozenset("nav header footer aside form button menu dialog head".split())
-NOISE = frozenset("ad ads adv advert advertisement adverts advertising adbox banner banners sponsor sponsored promo promotion cookie cookies consent notice notices alert alerts warning disclaimer sidebar sidebars side aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs toc pagination pager footer foot header masthead topbar toolbar comment comments reply replies respond disqus discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay skip hidden print".split())
+NOISE = frozenset("ad ads adv advert advertisement adverts advertising adbox banner banners sponsor sponsored promo promotion cookie cookies consent notice notices sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comments disqus newsletter subscribe subscription signup login popup modal".split())
+#: Words that mark boilerplate on containers alone: on paragraphs, items and the like they describe what an article says.
+LOOSE_NOISE = frozenset("alert alerts widget widgets toc comment reply replies respond discussion share sharing social related recommended overlay skip hidden".split())
+CONTAINERS = frozenset("div section ul ol table center details fieldset hgroup".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
-SCAN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
-    re.S | re.I,
-)
+# A tag ends at the first '>' that is in no quoted value; quotes are values only after '='.
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
+_OTHER = r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])ATTRS.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>ATTRS)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|(?P<open></?(?=[a-zA-Z]))"
+SCAN, SCAN_LOOSE = (re.compile(_OTHER.replace("ATTRS", attrs), re.S | re.I) for attrs in (_ATTRS, r"[^>]*+>"))
 ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)""", re.I)
-DEPTH = 48
+KEEPS_P = ("table", "td", "th", "button", "li", "div", "section", "article", "blockquote")
 
 
 @dataclass
@@ -56,7 +60,8 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
     for m in ATTR.finditer(attrs) if attrs else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            noise |= not NOISE.isdisjoint(re.split(r"[^a-z]+", value))
+            said = re.split(r"[^a-z]+", value)
+            noise |= not NOISE.isdisjoint(said) or (tag in CONTAINERS and not LOOSE_NOISE.isdisjoint(said))
             if name == "class":
                 classes = sorted({c for x in value.split() if (c := re.sub(r"\d+", "", x))})
         elif name == "role":
@@ -66,49 +71,71 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
     return ".".join([tag, *classes]), noise and tag not in ("body", "html", "article", "main")
 
 
+def _tags(text: str) -> Iterator[re.Match]:
+    """Tags, comments and raw elements, each part of the text read a bounded number of times.
+
+    A tag that no '>' ends outside its quotes shows that a quote is never closed: from there on quotes protect nothing. A tag
+    without any '>' after it takes the rest of the page with it.
+    """
+    for m in SCAN.finditer(text):
+        if m["open"] is None:
+            yield m
+            continue
+        for m in SCAN_LOOSE.finditer(text, m.start()):
+            if m["open"] is not None:
+                m = re.compile(r".*", re.S).match(text, m.start())
+                yield m
+                return
+            yield m
+        return
+
+
 def parse(text: str) -> Page:
+    """The page's elements and pieces of text, references decoded piece by piece. In time proportional to its length."""
     page, open_, at = Page(), [0], 0
+    places: dict[str, list[int]] = {}
 
-    def close(names: str | frozenset, stop: tuple[str, ...]) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if page.tag[open_[i]] in names:
-                del open_[i:]
-                return
-            if page.tag[open_[i]] in stop:
-                return
+    def close(names: tuple[str, ...], stop: tuple[str, ...] = ()) -> None:
+        """Closes the innermost open element of ``names``, and what is open in it, unless one of ``stop`` is inside of it."""
+        last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+        depth = last(names)
+        if depth > last(stop):
+            for i in open_[depth:]:
+                places[page.tag[i]].pop()
+            del open_[depth:]
 
-    for m in SCAN.finditer(text):
+    def said(piece: str) -> None:
+        page.pieces.append((open_[-1], html.unescape(piece) if "&" in piece else piece))
+
+    for m in _tags(text):
         if m.start() > at:
-            page.pieces.append((open_[-1], text[at : m.start()]))
+            said(text[at : m.start()])
         at = m.end()
-        if not m["tag"]:
+        if not (m.re.groups and m["tag"]):
             continue
         tag = m["tag"].lower()
+        if tag in BLOCK:
+            said(" ")
         if m["end"]:
-            if tag in BLOCK:
-                page.pieces.append((open_[-1], " "))
-            close((tag,), ())
+            close((tag,))
             continue
-        if tag in BLOCK:
-            page.pieces.append((open_[-1], " "))
         if tag in VOID:
             continue
         if tag in ENDS_P:
-            close(("p",), ("table", "td", "th", "button", "li", "div", "section", "article", "blockquote"))
+            close(("p",), KEEPS_P)
         if tag in CLOSES:
-            close(CLOSES[tag][0].split(), CLOSES[tag][1])
+            close(*CLOSES[tag])
         up = open_[-1]
-        label, noise = _label(tag, m["attrs"])
-        base = page.path[up]
-        if base.count(">") >= DEPTH:
-            base = "#" + xxhash.xxh64_hexdigest(base)
+        label, noise = _label(tag, m["attrs"][:-1])
         page.parent.append(up)
         page.tag.append(tag)
-        page.path.append(base if tag in ("html", "body") else f"{base}>{label}")
+        # paths are chained hashes: as short for a page of any depth and any classes
+        page.path.append(page.path[up] if tag in ("html", "body") else xxhash.xxh3_128_hexdigest(f"{page.path[up]}>{label}"))
         page.noise.append(page.noise[up] or noise)
+        places.setdefault(tag, []).append(len(open_))
         open_.append(len(page.tag) - 1)
     if at < len(text):
-        page.pieces.append((open_[-1], text[at:]))
+        said(text[at:])
     return page
 
 
@@ -138,7 +165,7 @@ def text_of(page: Page, roots: list[int]) -> str:
         inside[i] = True
     for i in range(1, len(inside)):
         inside[i] = inside[i] or inside[page.parent[i]]
-    return " ".join(html.unescape("".join(piece for i, piece in page.pieces if inside[i] and not page.noise[i])).split())
+    return " ".join("".join(piece for i, piece in page.pieces if inside[i] and not page.noise[i]).split())
 
 
 def main_text(source: str, path: str | None) -> str:
@@ -181,7 +208,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", carr
     """(row, text) for each row of ``pages``: ``row`` is a struct of the columns in ``carry`` (default: all but the html).
 
     Null or empty html gives ''. Pages without a host vote together. Repeated rows vote as often as they occur. Ties go to the
-    greater path. Winning paths of up to ``hosts_bound`` hosts are broadcast (a path has at most a few kB); of more they are joined.
+    greater path. Winning paths of up to ``hosts_bound`` hosts are broadcast (about 100 bytes each); of more they are joined.
     """
     bound_batches(pages.sparkSession)
     carry = carry or [c for c in pages.columns if c != html_col]
