@@ -16,20 +16,25 @@ from waymeter.llm.queries import RANKS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below ``toxicity.PREDICT_FROM``, by a classifier learnt from the labels of these documents that aren't held out."""
+    """Documents scored below ``toxicity.PREDICT_FROM``, by a classifier learnt from the labels of these documents that aren't held out.
+
+    Null and empty texts are scored as texts without words, rows are judged one by one, and an empty table stays empty.
+    """
     weights = toxicity.classifier(docs, read(spark, sf_dir, "labels"))
     return toxicity.score(docs, weights).where(F.col("score") < toxicity.PREDICT_FROM).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows equal in id go or stay together."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialise(gone, "gone")
-    return docs.join(few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of near-duplicates the document with the smallest id; rows equal in id go or stay together.
+
+    Texts without words and rows without an id are in no group and stay; an empty table stays empty.
+    """
+    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(few(materialise(gone, "gone")), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; those that lose words become the words left, joined by one space, with ``n_chars`` to match. Others stay as they are."""
+    """All documents; those that lose words become the words left, joined by one space, with ``n_chars`` to match. Others stay as they are, null and empty texts too."""
     out = substring_dedup.remove_repeats(docs, carry=docs.columns)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     chars = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("row.n_chars"))
@@ -37,14 +42,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark's passages don't contaminate."""
+    """Documents that the benchmark's passages don't contaminate. Null and empty texts have no words and stay; rows of one id are judged each by its text."""
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark")).where("contaminated")
-    found = materialise(found.select(F.col("doc_id").alias("_id"), F.col("v").alias("_v")).distinct(), "contaminated")
-    return docs.join(few(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_v")), "left_anti")
+    found = materialise(found.select("doc_id", "v").distinct(), "contaminated")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("of"))
+    return rows.join(few(found), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("v")), "left_anti").select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document left."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document left; null text is empty text."""
     out = bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
