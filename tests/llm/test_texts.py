@@ -66,6 +66,19 @@ def test_shards(documents, odd_docs, no_docs):
     assert shard.shards(no_docs).count() == 0
 
 
+def test_written_shards_keep_all_columns(spark, odd_docs, documents, tmp_path):
+    docs = odd_docs.withColumnRenamed("h", "id").withColumnRenamed("key", "row").withColumnRenamed("pos", "bucket")
+    shard.write_shards(docs, str(tmp_path / "odd"), 3, bucket_bytes=1000)
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert sorted(r["shard"] for r in back.select("shard").distinct().collect()) == [0, 1, 2]
+    shard.write_shards(documents.select("doc_id", "text"), str(tmp_path / "two"), 2)
+    sizes = spark.read.parquet(str(tmp_path / "two")).groupBy("shard").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n")).collect()
+    assert all(r.a == 0 and r.b + 1 == r.n for r in sizes) and len(sizes) == 2
+    with pytest.raises(ValueError):
+        shard.write_shards(documents.withColumn("slot", F.lit(1)), str(tmp_path / "no"))
+
+
 def test_hot_rows_are_dealt_out(spark):
     df = spark.range(600).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same text").alias("text"))
     check_shards(df, 7, bucket_bytes=200)

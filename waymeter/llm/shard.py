@@ -41,18 +41,19 @@ def _fisher_yates(seed: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("h", "ascending"), ("h2", "ascending")])  # the same start whatever order rows came in
         rng = np.random.default_rng([seed, key[0].as_py()])
-        order = np.arange(len(table))
-        for i, j in zip(range(len(table) - 1, 0, -1), rng.integers(0, np.arange(len(table), 1, -1)), strict=True):
+        order = list(range(len(table)))
+        for i, j in zip(range(len(table) - 1, 0, -1), rng.integers(0, np.arange(len(table), 1, -1)).tolist(), strict=True):
             order[i], order[j] = order[j], order[i]
         return table.take(pa.array(order)).drop_columns(["h", "h2"]).append_column("place", pa.array(np.arange(len(table))))
 
     return run
 
 
-def shuffled(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The shuffled buckets as written to the shared folder: (id, t, size, bucket, place), place from 0 in each bucket."""
-    rows = scatter(docs, seed, id_col, text_col, bucket_bytes).drop("row").withColumns({"h": F.xxhash64(F.lit(seed), "id", "t"), "h2": F.xxhash64("t")})
-    out = rows.select("id", "t", "size", "bucket", "h", "h2")
+def shuffled(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """The shuffled buckets as written to the shared folder: (id, t, size, bucket, place), place from 0 in each bucket; with ``carry`` also ``row``, a struct of those columns."""
+    rows = scatter(docs, seed, id_col, text_col, bucket_bytes).withColumns({"h": F.xxhash64(F.lit(seed), "id", "t"), "h2": F.xxhash64("t")})
+    more = [F.struct(*(F.col(f"row.`{c}`") for c in carry)).alias("row")] if carry else []
+    out = rows.select("id", "t", "size", "bucket", *more, "h", "h2")
     schema = out.drop("h", "h2").schema.add("place", "long")
     return materialise(out.groupBy("bucket").applyInArrow(_fisher_yates(seed), schema), "shuffled")
 
@@ -67,12 +68,12 @@ def _offsets(counts: DataFrame) -> DataFrame:
     return blocks.withColumn("inner", F.coalesce(inner, F.lit(0))).join(before, "block").select(F.col("bucket").alias("_bucket"), (F.col("inner") + F.col("before")).alias("base"))
 
 
-def shards(docs: DataFrame, n: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All rows as (id, t, size, shard, slot): shard 0 to n - 1, slot gapless from 0 in each.
+def shards(docs: DataFrame, n: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """All rows as (id, t, size, shard, slot): shard 0 to n - 1, slot gapless from 0 in each; with ``carry`` also ``row``, a struct of those columns.
 
     Null texts are kept, of size 1; null ids too. Repeated rows are rows like any others. An empty table gives no rows.
     """
-    rows = shuffled(docs, seed, id_col, text_col, bucket_bytes)
+    rows = shuffled(docs, seed, id_col, text_col, bucket_bytes, carry)
     release(docs.sparkSession)
     counts = materialise(rows.groupBy("bucket").agg(F.count("*").alias("n")), "buckets")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -83,10 +84,18 @@ def shards(docs: DataFrame, n: int = 8, seed: int = 17, id_col: str = "doc_id",
     wide = r * (q + 1)
     shard = F.when(F.col("rank") < wide, F.expr(f"rank div {q + 1}")).otherwise(F.expr(f"{r} + (rank - {wide}) div {max(q, 1)}"))
     slot = F.when(F.col("rank") < wide, F.col("rank") % (q + 1)).otherwise((F.col("rank") - wide) % max(q, 1))
-    return placed.select("id", "t", "size", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return placed.select("id", "t", "size", shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), *(["row"] if carry else []))
 
 
-def write_shards(docs: DataFrame, path: str, n: int = 8, **options) -> None:
-    """Writes the shards as Parquet folders ``shard=0`` ... under ``path``; inside a folder rows are in files by ranges of slots, in order."""
-    out = shards(docs, n, **options)
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n: int = 8, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
+    """Writes the shards, with all columns of ``docs``, as Parquet folders ``shard=0`` ... under ``path``; inside a folder rows are in files by ranges of slots, in order.
+
+    ``docs`` may have no columns named shard or slot. Other columns than id and text travel beside them, so that a text is carried once.
+    """
+    if clash := {c.lower() for c in docs.columns} & {"shard", "slot"}:
+        raise ValueError(f"columns are named as those of shards: {sorted(clash)}")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    out = shards(docs, n, id_col=id_col, text_col=text_col, carry=others, **options)
+    kept = [F.col("id").alias(c) if c == id_col else F.col("t").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    out = out.select(*kept, "shard", "slot").repartitionByRange("shard", "slot")
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
