@@ -8,7 +8,7 @@ with similarity 0.75 shares none of the 32 bands with probability 5e-6.
 Cost and skew. Equal sets become one class first (an aggregate on a fingerprint), so exact copies never meet. In a band's bucket
 members are checked against a few pivots of the bucket, one row each, never all against all; what is connected already is not
 compared again. Only members that are in a different component from most of their bucket are compared with all of it, which is
-exact. Sets travel as binary columns of sorted 64-bit shingle hashes and only for documents that share a bucket.
+exact and split into blocks of members, so that no task holds a bucket. Sets travel as binary columns of sorted 64-bit shingle hashes and only for documents that share a bucket.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ T, ROWS = 128, 4
 #: Coordinates of the finer sketch, and how many bits of it may differ: at 0.75, five standard deviations more than expected.
 FINE = 2048
 APART = int(FINE * 0.125 + 5 * (FINE * 0.125 * 0.875) ** 0.5)
+#: Members of a bucket that are compared with one another in one place; larger buckets are compared block by block.
+BLOCK = 2048
 _SEED = mix(np.arange(2 * FINE, dtype=U), 11)
 
 
@@ -138,8 +140,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return materialise(links.unionByName(_verified(candidates.select("a", "b"), sets)), "linked")
 
     lanes = [f"b{i}" for i in range(FINE // 64)]
-    bits = sets.groupBy("id").agg(F.first("bits").alias("bits")).select("id", *(F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(lanes)))
-    bits = materialise(bits, "bits")
+    # an id with several texts has several rows: a pair is looked at if any two of them are alike
+    bits = sets.select("id", *(F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(lanes)))
 
     def differ(x: str, y: str) -> Column:
         return reduce(Column.__add__, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in lanes])
@@ -149,22 +151,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = members.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("first", "probe1", "probe2"))).alias("b")).where("a <> b").distinct()
     apart = same(same(spread, "a", labels), "b", labels).where("of_a <> of_b")
     likely = apart.select("a", "b").alias("p").join(bits.alias("x"), F.col("p.a") == F.col("x.id")).join(bits.alias("y"), F.col("p.b") == F.col("y.id")).where(differ("x", "y") <= APART)
-    links = further(likely.select("p.a", "p.b"), links)
+    links = further(likely.select("p.a", "p.b").distinct(), links)
     release(spark)
 
     # what is still apart from most of its bucket meets all of it, once, in the least bucket that both share
     labels = components(links)
     placed = materialise(same(members.select("key", "rep", "n"), "rep", labels), "placed")
-    sizes = placed.groupBy("key", "of_rep").count().groupBy("key").agg(F.max_by("of_rep", F.struct("count", "of_rep")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    each = placed.groupBy("key", "of_rep").count()
+    sizes = each.groupBy("key").agg(F.max_by("of_rep", F.struct("count", "of_rep")).alias("most"), F.count("*").alias("labels"), F.sum("count").alias("all"), F.max("count").alias("in_most")).where("labels > 1")
+    # a bucket of many rows is compared block by block: odd members meet each block of members, and members each block of odd ones
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("key", "most", blocks(F.col("all")).alias("blocks"), blocks(F.col("all") - F.col("in_most")).alias("odd_blocks"))
     profiles = classes.select("rep", "keys").join(bits.withColumnRenamed("id", "rep"), "rep")
-    mixed = materialise(placed.join(sizes, "key").withColumn("odd", F.col("of_rep") != F.col("most")).drop("most").join(profiles, "rep"), "mixed")
-    x, y = mixed.where("odd").alias("x"), mixed.alias("y")
+    mixed = placed.join(sizes, "key").withColumn("odd", F.col("of_rep") != F.col("most")).drop("most").join(profiles, "rep")
+    mixed = materialise(mixed.withColumns({"block": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "odd_block": F.pmod(F.xxhash64("rep"), F.col("odd_blocks")).cast("int")}), "mixed")
+    every = lambda n, c: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(c)
+    x = mixed.where("odd").drop("block").select("*", every("blocks", "block")).alias("x")
+    y = mixed.drop("odd_block").select("*", every("odd_blocks", "odd_block")).alias("y")
     close = (THRESHOLD[0] * F.col("x.n") <= THRESHOLD[1] * F.col("y.n")) & (THRESHOLD[0] * F.col("y.n") <= THRESHOLD[1] * F.col("x.n"))
     once = (~F.col("y.odd") | (F.col("x.rep") < F.col("y.rep"))) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.of_rep") != F.col("y.of_rep")) & close & (differ("x", "y") <= APART) & once).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    meet = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "block", "odd_block")])
+    rest = x.join(y, meet & (F.col("x.of_rep") != F.col("y.of_rep")) & close & (differ("x", "y") <= APART) & once).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     links = further(rest, links)
     labels = components(links)
-    discard(sets, members, placed, mixed, bits)
+    discard(sets, members, placed, mixed)
     release(spark)
 
     of = same(classes.where("many").select("n", "f1", "f2", "rep"), "rep", labels).select("n", "f1", "f2", F.col("of_rep").alias("of_class"))
