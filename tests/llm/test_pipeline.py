@@ -69,6 +69,19 @@ def test_stages_take_odd_rows(spark, sf, odd_docs, no_docs):
         docs.collect()
 
 
+def test_stages_take_clashing_columns(spark, sf, odd_docs):
+    """Columns named as inner ones come out of every stage as they went in, in place, whatever it removes."""
+    names = ["_gone", "_id", "_v", "id", "v", "t", "row", "score", "kept", "uid", "near", "of", "of_class", "component_id", "bucket", "starts"]
+    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{c} of "), F.coalesce("text", F.lit(""))).alias(c) for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, sf)
+        assert docs.columns == before.columns
+        rows = docs.collect()
+        said = {tuple(r[c] for c in names) for r in before.collect()}
+        assert all(tuple(r[c] for c in names) in said for r in rows)
+    assert corpus_pipeline.token_ids(spark, docs, sf).count() == len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(name, spark, sf):
     con = duckdb.connect()

@@ -6,8 +6,10 @@ cover at once, so two equal windows always contain one aligned pair of equal anc
 thirteen words are hashed and shuffled. Anchors that occur twice extend to the windows around them; those windows are hashed in
 full (96 bits) and all but the first occurrence of each are covered.
 
-Skew: a repeated line or passage meets in each chunk of rows first. Of each anchor or window one row per chunk is shuffled; what
-repeats inside a chunk is decided there. No task sees more rows of a key than there are chunks.
+Skew: a repeated line or passage meets in each chunk of rows first, and a task remembers what it has sent in ``SLOTS`` slots. Of an
+anchor two rows a task are shuffled under its own key, of a window those that come earlier than all before in the task; of both a
+few more where a slot was needed for another in between. What else repeats is decided where it is read and travels under keys of
+its own, so that a key that a third of all rows hold has a few rows for each task that read it.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .words import U, mix, words
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 CHUNK = 1 << 20
+#: Slots of what a task remembers of the anchors or windows it has sent.
+SLOTS = 1 << 18
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -47,6 +51,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, twice = np.zeros(SLOTS, U), np.zeros(SLOTS, bool)
     for batch in batches:
         all_ids = batch.column(0).to_numpy(zero_copy_only=False)
         for w in words(batch.column(1), chunk_bytes=CHUNK):
@@ -57,12 +62,19 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, ids, pos = w.windows(ANCHOR)[at], all_ids[w.first + row[at]], pos[at]
             if len(at):
                 first, repeats = _groups(h)
-                # rows that are known to repeat and need not tell other chunks travel under keys of their own
-                key = np.where(first, h, mix(ids.astype(np.int64).view(U) ^ mix(pos.astype(U), 17)))
+                # a task tells others of an anchor twice at most, as far as it remembers: with the second time all know that it repeats
+                slot = (h & U(SLOTS - 1)).astype(np.int64)
+                known = last[slot] == h
+                tell = first & ~(known & twice[slot])
+                repeats |= known
+                last[slot[tell]], twice[slot[tell]] = h[tell], known[tell]
+                # rows that are known to repeat and need not tell others travel under keys of their own
+                key = np.where(tell, h, mix(ids.astype(np.int64).view(U) ^ mix(pos.astype(U), 17)))
                 yield pa.RecordBatch.from_arrays([_long(key), pa.array(ids, pa.int64()), pa.array(pos.astype(np.int32) * 2 + repeats)], ["h", "id", "p"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, check, last_id, last_start = np.zeros(SLOTS, U), np.zeros(SLOTS, U), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
     for batch in batches:
         all_ids = batch.column(0).to_numpy(zero_copy_only=False)
         near = batch.column(2)
@@ -84,6 +96,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, start, at = ids[order], start[order], at[order]
             one, two = w.windows(WINDOW)[at], w.windows(WINDOW, 1)[at] >> U(32)
             first, _ = _groups(one, two)
+            # so is one of which the task remembers, and has told, an earlier occurrence
+            slot = (one & U(SLOTS - 1)).astype(np.int64)
+            first &= ~((last[slot] == one) & (check[slot] == two) & ((last_id[slot] < ids) | ((last_id[slot] == ids) & (last_start[slot] < start))))
+            told = slot[first]
+            last[told], check[told], last_id[told], last_start[told] = one[first], two[first], ids[first], start[first]
             spread = mix(ids.astype(np.int64).view(U) ^ mix(start.astype(U), 23))
             place = np.where(first, two, U(0)) << U(32) | start.astype(U) << U(1) | first.astype(U)
             yield pa.RecordBatch.from_arrays([_long(np.where(first, one, spread)), pa.array(ids, pa.int64()), _long(place)], ["k", "id", "p"])
@@ -135,7 +152,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = materialise(again.groupBy("id").agg(F.collect_set(F.expr("p div 2").cast("int")).alias("near")), "near")
     release(spark)
 
-    some = texts.select(F.col("uid").alias("id"), "t").join(near.hint("shuffle_hash"), "id").mapInArrow(_windows, "k long, id long, p long")
+    # a merge join gives each task its texts in the order of ids: the same rows whenever it has to be run again
+    some = texts.select(F.col("uid").alias("id"), "t").join(near.hint("merge"), "id").mapInArrow(_windows, "k long, id long, p long")
     # p: 32 more bits of the window's hash, its start, and whether other chunks may hold an earlier one; it is shuffled in one piece
     start, check = F.shiftright("p", 1).bitwiseAND(2**31 - 1).cast("int"), F.shiftright("p", 32)
     some = some.repartition("k").select("k", check.alias("c"), "id", start.alias("start"), (F.col("p") % 2 != 0).alias("open"))
