@@ -255,6 +255,51 @@ def check_search(df, exact=True):
     return hits / max(total, 1)
 
 
+def test_curves_alone_find_what_has_structure(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((80, 48))
+    rows = [(i, [float(x) for x in np.float32(centres[i % 80] + 0.1 * rng.standard_normal(48))], 0, "c") for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, c string")
+    assert check_search(df, exact=False) >= 0.9
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6, 1e-7])
+def test_ties_are_those_of_sequential_sums(spark, scale):
+    """Vectors of thirds, whose products tie or differ by rounding alone: places are those of sums in the order of components."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-2, 3, (1500, 8)) / 3.0 * scale
+    x[0] = scale
+    ids = [i for i in range(1500) if any(x[i])]
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(1500)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.search(df).collect()}
+    for q in [i for i in ids if i % 20 == 0]:
+        s = np.zeros(1500)
+        for j in range(8):
+            s = s + x[:, j] * x[q, j]
+        want = sorted((-s[i], i) for i in ids if i != q)[:20]
+        assert [got[q, k + 1] for k in range(20)] == [(i, -v) for v, i in want]
+
+
+def test_far_blocks_are_left_out(spark):
+    rng = np.random.default_rng(10)
+    centres = 9 * rng.standard_normal((40, 16))
+    rows = [(i, [float(v) for v in centres[i % 40] + 0.01 * rng.standard_normal(16)]) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    seen = []
+    before = neighbours.reaching
+    try:
+        neighbours.reaching = lambda blocks, groups, count: seen.append((out := before(blocks, groups, count)).count() / (blocks.count() * groups.count())) or out
+        got = neighbours.search(df).where("query_id < 400").collect()
+    finally:
+        neighbours.reaching = before
+    x = np.array([r[1] for r in rows])
+    for q in range(0, 400, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert sorted(r.vec_id for r in got if r.query_id == q) == sorted(np.argsort(-s)[:20].tolist())
+    assert 0 < seen[0] < 0.5
+
+
 def test_neighbours(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     assert check_search(df) > 0.999

@@ -5,9 +5,11 @@ distance. Each of ``CURVES`` orderings rotates and projects them to ``DIMS`` coo
 by range partitions. A query is compared with the blocks of ``BLOCK`` vectors around its own place on every curve, and the results
 are merged. That alone finds what is near in projection; on vectors without structure it is far from all.
 
-The rest is exact: the best score found so far bounds what may be missing, and every block of the first curve whose bound (the
-query times the block's centre, plus the query's length times the block's radius) reaches it is compared too. Queries are packed
-in blocks, as are vectors, and each pair of blocks is one matrix product.
+The rest is exact. Blocks of the first curve are balls (a centre and a radius), ``FAN`` of them are in a larger one, and so on up.
+Queries lie in balls too, each with the least of its queries' last scores found so far. A group of queries comes down from the
+widest balls to those, level by level, in which some product may still reach that score; only the balls travel, and only pairs of
+a group and a block that are left at the end are shipped as matrices, each one matrix product. Products tell what may be among the
+best, within the bound of their rounding errors; sums in the order of components decide.
 
 Equal vectors are one class with its smallest ids, so that a vector that a third of all rows share is compared once.
 """
@@ -18,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, materialise, ranked, release
 
-CURVES, DIMS, BITS, BLOCK = 4, 6, 10, 512
+CURVES, DIMS, BITS, BLOCK, FAN = 4, 6, 10, 512, 32
 #: Vectors that the scale of the projections is taken from.
 SAMPLE = 10_000
 
@@ -83,32 +85,94 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _best(q_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> list[pa.Array]:
-    """For each query the ``k`` highest scores, ties to smaller ids."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-    return [pa.array(np.repeat(q_ids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())]
+def _sums(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed one component after another, as a sequential sum rounds them."""
+    total = np.zeros(len(q))
+    for j in range(q.shape[1] if len(q) else 0):
+        total = total + q[:, j] * x[:, j]
+    return total
 
 
-def _tiles(k: int, bounded: bool):
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, least: np.ndarray) -> pa.RecordBatch:
+    """For each query its ``k`` highest scores that reach ``least``, ties to smaller ids. Whatever rounding in the matrix product may have put below them is summed again."""
+    scores = q @ x.T
+    slack = 4 * (q.shape[1] + 2) * np.finfo(float).eps * np.sqrt((q * q).sum(1) * (x * x).sum(1).max())
+    last = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(q), -np.inf)
+    row, at = np.nonzero(scores >= np.maximum(last, least)[:, None] - slack[:, None])
+    found = _sums(q[row], x[at])
+    order = np.lexsort((ids[at], -found, row))
+    row, at, found = row[order], at[order], found[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = (place < k) & (found >= least[row])
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[row[keep]]), pa.array(ids[at[keep]]), pa.array(found[keep])], ["q", "c", "s"])
+
+
+def _tiles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
                 ids, q_ids = (np.asarray(batch.column(c)[r].values) for c in ("ids", "q_ids"))
                 x, q = (np.asarray(batch.column(c)[r].values, float).reshape(len(i), -1) for c, i in (("m", ids), ("q", q_ids)))
-                if bounded:
-                    centre = x.mean(0)
-                    radius = np.sqrt(((x - centre) ** 2).sum(1).max())
-                    may = q @ centre + np.sqrt((q * q).sum(1)) * radius >= np.asarray(batch.column("least")[r].values, float) - 1e-9
-                    q, q_ids = q[may], q_ids[may]
-                    floor = np.asarray(batch.column("least")[r].values, float)[may] - 1e-9
-                if len(q_ids):
-                    best = pa.RecordBatch.from_arrays(_best(q_ids, q @ x.T, ids, k), ["q", "c", "s"])
-                    # of the rest only what reaches the last score found so far is worth a row
-                    yield best.filter(pa.array(best.column("s").to_numpy() >= np.repeat(floor, len(best) // len(q_ids)))) if bounded else best
+                least = np.asarray(batch.column("least")[r].values, float)
+                centre = x.mean(0)
+                radius = np.sqrt(((x - centre) ** 2).sum(1).max())
+                length = np.sqrt((q * q).sum(1))
+                may = q @ centre + length * radius + 1e-9 * length * (radius + np.sqrt((centre * centre).sum())) >= least
+                if may.any():
+                    yield _best(q_ids[may], q[may], ids, x, k, least[may])
 
     return run
 
 
+def _balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed vectors (n, m) the ball around their mean: centre, radius, and the greatest length of a vector."""
+    for batch in batches:
+        centres, radii, lengths = [], [], []
+        for n, m in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            x = np.asarray(m.values, float).reshape(n, -1)
+            centres.append(x.mean(0))
+            radii.append(np.sqrt(((x - centres[-1]) ** 2).sum(1).max()))
+            lengths.append(np.sqrt((x * x).sum(1).max()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64()), pa.array(lengths, pa.float64())], ["node", "centre", "radius", "longest"])
+
+
+_BALL = "node long, centre array<double>, radius double, longest double"
+
+
+def _wider(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of balls packed by ``FAN`` (node, centres, radii) the ball that holds them."""
+    for batch in batches:
+        centres, radii = [], []
+        for m, r in zip(batch.column(1), batch.column(2), strict=True):
+            r = np.asarray(r.values, float)
+            x = np.asarray(m.values, float).reshape(len(r), -1)
+            centres.append(x.mean(0))
+            radii.append((np.sqrt(((x - centres[-1]) ** 2).sum(1)) + r).max())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], ["node", "centre", "radius"])
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def reaching(blocks: DataFrame, groups: DataFrame, count: int) -> DataFrame:
+    """(g, node): the blocks (node, centre, radius), numbered below ``count``, in which a query of a group (g, centre, radius, longest, least) may score ``least`` or more."""
+    levels = [blocks]
+    while count > FAN:
+        above = levels[-1].groupBy(F.expr(f"node div {FAN}").alias("node")).agg(F.flatten(F.collect_list("centre")).alias("m"), F.collect_list("radius").alias("r"))
+        levels.append(materialise(above.mapInArrow(_wider, "node long, centre array<double>, radius double"), "balls"))
+        count = -(-count // FAN)
+    left = groups.withColumn("node", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, count - 1)).cast("long"))))
+    for level in reversed(range(len(levels))):
+        ball = levels[level].select("node", F.col("centre").alias("c"), F.col("radius").alias("r"))
+        met = left.join(ball, "node").withColumn("far", F.sqrt(_dot("c", "c")))
+        most = _dot("centre", "c") + F.col("radius") * F.col("far") + F.col("longest") * F.col("r")
+        left = met.where(most + 1e-9 * F.col("longest") * (F.col("far") + F.col("r")) >= F.col("least")).drop("c", "r", "far")
+        if level:
+            left = materialise(left.withColumn("node", F.explode(F.expr(f"sequence(node * {FAN}, node * {FAN} + {FAN - 1})"))), "left")
+    return left.select("g", "node")
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("q", "c").agg(F.max("s").alias("s"))
     return best.withColumn("_r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).where(F.col("_r") <= k).drop("_r")
@@ -154,17 +218,22 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_
     blocks = materialise(pack(on, "ids", "m"), "blocks")
     queries = materialise(on.join(asked.select(F.col("q").alias("c")).distinct(), "c", "left_semi"), "queries")
     around = queries.withColumn("block", F.explode(F.expr("sequence(block - 1, block + 1)")))
-    found = blocks.join(pack(around, "q_ids", "q"), ["curve", "block"]).mapInArrow(_tiles(k + 1, False), "q long, c long, s double")
+    around = pack(around, "q_ids", "q").withColumn("least", F.transform("q_ids", lambda _: F.lit(float("-inf"))))
+    found = blocks.join(around, ["curve", "block"]).mapInArrow(_tiles(k + 1), "q long, c long, s double")
     found = materialise(_top(found, k + 1), "found")
     if exact:
         least = found.groupBy("q").agg(F.when(F.count("*") > k, F.min("s")).otherwise(F.lit(float("-inf"))).alias("least"))
         own_q = queries.where("curve = 0").join(least.withColumnRenamed("q", "c"), "c", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-        # blocks of queries, as they lie on the first curve; each meets each block of vectors
-        group = own_q.groupBy(F.expr("block div 8").alias("g")).agg(F.collect_list(F.struct("c", "v", "least")).alias("all")).select(F.col("all.c").alias("q_ids"), F.flatten("all.v").alias("q"), F.col("all.least").alias("least"))
-        last = max(0, (total - 1) // BLOCK)
-        meets = group.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
-        rest = blocks.where("curve = 0").drop("curve").join(meets, "block").mapInArrow(_tiles(k + 1, True), "q long, c long, s double")
+        # groups of queries, as they lie on the first curve
+        packed = own_q.groupBy(F.expr("block div 8").alias("g")).agg(F.collect_list(F.struct("c", "v", "least")).alias("all")).select("g", F.col("all.c").alias("q_ids"), F.flatten("all.v").alias("q"), F.col("all.least").alias("least"))
+        packed = materialise(packed, "groups")
+        first = blocks.where("curve = 0").drop("curve")
+        balls = materialise(first.select("block", F.size("ids"), "m").mapInArrow(_balls, _BALL).drop("longest"), "balls")
+        around = packed.select("g", F.size("q_ids"), "q").mapInArrow(_balls, _BALL).withColumnRenamed("node", "g").join(packed.select("g", F.array_min("least").alias("least")), "g")
+        left = reaching(balls, materialise(around, "around"), max(1, -(-total // BLOCK)))
+        rest = left.join(packed, "g").join(first, F.col("node") == F.col("block")).mapInArrow(_tiles(k + 1), "q long, c long, s double")
         found = materialise(_top(rest.unionByName(found), k + 1), "found")
+        discard(packed, balls)
     discard(blocks, on)
     release(spark)
     # scores of the pairs left, summed one way
