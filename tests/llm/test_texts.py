@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 import zlib
 
@@ -34,6 +35,35 @@ def test_known_texts_match_in_any_dress(spark):
     assert got[None].license_id == "CC-BY-NC-4.0"
 
 
+def test_files_as_they_are_found(spark, tmp_path):
+    text = dict((i, t) for i, t in licences.KNOWN if len(t) > 200)
+    bsd = text["BSD-3-Clause"]
+    files = {
+        "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License\n\nCopyright Jane Doe 2020\n\n' + bsd,
+        "BSD-3-Clause ": "Copyright (c) 2001, A.\n" + bsd.replace("\n1. ", "\n   * ").replace("\n2. ", "\n   * ").replace("\n3. ", "\n   * "),
+        "BSD-3-Clause  ": bsd.replace("\n1. ", "\n(a) ").replace("\n2. ", "\n b) ").replace("\n3. ", "\n3) "),
+        "ISC": "ISC License\n\nCopyright 2019 B\n" + text["ISC"],
+        "MIT": "The MIT License (MIT)\n\nCOPYRIGHT: © Someone\n" + text["MIT"].replace(" sublicense,", " sub-licence,").replace("copyright notice", "copyright\nnotice"),
+        "Zlib": text["Zlib"].replace("\n1. ", " 1. ") + " licence licence",
+    }
+    docs = spark.createDataFrame(list(files.items()), "doc_id string, text string")
+    got = {r.doc_id: r.license_id for r in licences.scan(docs).collect()}
+    assert got == {k: None if k == "Zlib" else k.strip() for k in files}
+    # spelt alike words side by side are all spelt anew
+    pair = spark.createDataFrame([("licence licence licence",), ("license license license",)], "t string").select(licences.canonical(F.col("t"))).distinct().collect()
+    assert [r[0] for r in pair] == ["license license license"]
+    (tmp_path / "OWN-1.0.txt").write_text("Do as you like.\n")
+    own = licences.read_known(spark, str(tmp_path))
+    got = licences.scan(spark.createDataFrame([(1, "do AS you like"), (2, "no")], "doc_id long, text string"), own).collect()
+    assert {r.doc_id: r.license_id for r in got} == {1: "OWN-1.0", 2: None}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_long_licences(spark):
+    known = {r.digest for r in licences.read_known(spark, "/usr/share/common-licenses/*").collect()}
+    assert len(known & {d for _, d in licences.LONG}) >= 5
+
+
 def test_licences_odd(odd_docs, no_docs, odd_texts):
     assert licences.scan(odd_docs).count() == len(odd_texts)
     assert licences.scan(no_docs).count() == 0

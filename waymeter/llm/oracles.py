@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licences import COPYRIGHT_LINE, KNOWN, OTHER, SPELLINGS
+from .licences import HEADINGS, KNOWN, LONG, SPELLINGS  # the tables of licences and spellings, no patterns
 
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,15 +15,25 @@ def _lower(x: str) -> str:
     return f"translate({x}, '{_A}', '{_Z}')"
 
 
+_YEAR = "(19|20)[0-9][0-9]"
+_RIGHTS = rf"^[^a-z0-9]*(copyright[ :].*(\(c\)|©|{_YEAR}|[<{{]y(ear|yyy)|\[y(ear|yyy))|copyright[ :]*y(ear|yyy)|copyright(\(c\)|©|y(ear|yyy))|©|\(c\) *[0-9][0-9][0-9][0-9]|all rights reserved)"
+_ITEM = r"^[^a-z0-9\x80-\x{10FFFF}]*([0-9]|[0-9][0-9]|[a-z])[.)][ \t]"
+
+
 def _canonical(x: str) -> str:
-    words = f"' '||trim(regexp_replace(regexp_replace({_lower(f'coalesce({x},$$$$)')}, {_q(COPYRIGHT_LINE)}, chr(10), 'g'), {_q(OTHER)}, ' ', 'g'))||' '"
+    """Line by line, then word by word: each word is looked up, pairs of words are put together."""
+    lines = f"list_transform(string_split({_lower(f'coalesce({x},$$$$)')}, chr(10)), lambda l: case when regexp_matches(l, {_q(_RIGHTS)}) then '' else regexp_replace(l, {_q(_ITEM)}, '') end)"
+    words = f"list_filter(regexp_split_to_array(array_to_string({lines}, ' '), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+'), lambda w: w<>'')"
+    out = f"chr(1)||array_to_string({words}, chr(1)||chr(1))||chr(1)"
     for said, meant in SPELLINGS:
-        words = f"replace({words}, ' {said} ', ' {meant} ')"
-    return f"sha256(trim({words}))"
+        mark = lambda t: "'||chr(1)||'" + t.replace(" ", "'||chr(1)||chr(1)||'") + "'||chr(1)||'"
+        out = f"replace({out}, '{mark(said)}', '{mark(meant)}')"
+    return f"sha256(trim(replace(replace({out}, chr(1)||chr(1), ' '), chr(1), '')))"
 
 
-_TEXTS = ", ".join(f"({_q(i)}, {_q(t)})" for i, t in KNOWN)
-OP1 = f"""with known as (select {_canonical("t")} digest, min(i) license_id from (values {_TEXTS}) k(i,t) group by 1),
+_TEXTS = ", ".join(f"({_q(i)}, {_q(t)})" for i, t in [*KNOWN, *((i, f"{h}\n{t}") for i, t in KNOWN for h in HEADINGS.get(i, ()) if len(t) > 200)])
+_DIGESTS = ", ".join(f"({_q(i)}, {_q(d)})" for i, d in LONG)
+OP1 = f"""with known as (select {_canonical("t")} digest, min(i) license_id from (values {_TEXTS}) k(i,t) group by 1 union all select d, i from (values {_DIGESTS}) l(i,d)),
 lines as (select doc_id, unnest(string_split(text, chr(10))) line from documents),
 found as (select doc_id, string_agg(distinct license_id, ',' order by license_id) notices from lines join known on digest={_canonical("line")} group by 1)
 select d.doc_id, d.digest, license_id, coalesce(notices,'') notices from (select doc_id, {_canonical("text")} digest from documents) d left join known using(digest) left join found using(doc_id)"""
