@@ -104,7 +104,7 @@ def destination(p: Column, heading: Column, metres: Column) -> Column:
     return point(F.degrees(lat), F.degrees(lon))
 
 
-def envelope(line: Column, grow: float = 0.0) -> dict[str, Column]:
+def envelope(line: Column, grow: float | Column = 0.0) -> dict[str, Column]:
     side = lambda f, c, by: f(F.transform(line, lambda p: p[c])) + F.lit(by)
     return {"s": side(F.array_min, "lat", -grow), "w": side(F.array_min, "lon", -grow), "n": side(F.array_max, "lat", grow), "e": side(F.array_max, "lon", grow)}
 

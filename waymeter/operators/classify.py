@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..functions.tables import written
 from ..functions.text import blank, norm_name, oneway_truthy, unnamed_label
+from .spatial import within
 
 # Fixed values.
 CLASS_A_HIGHWAYS = ("residential", "unclassified", "tertiary", "service")
@@ -52,32 +53,49 @@ def streets(classified: DataFrame) -> DataFrame:
 
 
 def gap_pairs(classified: DataFrame, within_m: float = 30.0, touching_m: float = 0.01) -> DataFrame:
-    """Pairs of ways of one street whose nearest ends are apart, but by no more than ``within_m``: way1 < way2, street, distance_m, lat, lon (between the ends)."""
-    ends = classified.where("segments >= 2 and size(geometry) >= 2").select("name_key", "name_display", "id", F.array(geo.first(F.col("geometry")), geo.last(F.col("geometry"))).alias("ends"))
-    a, b = (ends.select("name_key", *(F.col(c).alias(f"{c}{i}") for c in ("name_display", "id", "ends"))) for i in (1, 2))
-    pairs = a.join(b, (a["name_key"] == b["name_key"]) & (F.col("id1") < F.col("id2"))).drop(b["name_key"])
-    each = [(i, j) for i in (0, 1) for j in (0, 1)]
-    d = lambda i, j: F.struct(geo.between(F.col("ends1")[i], F.col("ends2")[j]).alias("d"), F.lit(2 * i + j).alias("o"), F.col("ends1")[i].alias("p"), F.col("ends2")[j].alias("q"))
-    best = pairs.withColumn("best", F.array_min(F.array(*(d(i, j) for i, j in each)))).where((F.col("best.d") > touching_m) & (F.col("best.d") <= within_m))
-    return best.select("name_key", F.col("name_display1").alias("street"), F.col("id1").alias("way1_id"), F.col("id2").alias("way2_id"), F.col("best.d").alias("distance_m"), ((F.col("best.p.lat") + F.col("best.q.lat")) / 2).alias("lat"), ((F.col("best.p.lon") + F.col("best.q.lon")) / 2).alias("lon"))
+    """Pairs of ways of one street whose nearest ends are apart, but by no more than ``within_m``: way1 < way2, street, distance_m, lat, lon (between the ends).
+
+    Ends meet by street and grid cell, so that a name that a third of all ways bear is spread over the map's cells.
+    """
+    rows = classified.where("segments >= 2 and size(geometry) >= 2")
+    ends = rows.select("name_key", "name_display", "id", F.posexplode(F.array(geo.first(F.col("geometry")), geo.last(F.col("geometry")))).alias("end", "p"))
+    ends = ends.select("name_key", "name_display", "id", "end", "p", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
+    other = ends.select("name_key", "lat", "lon", F.col("id").alias("id2"), F.col("end").alias("end2"), F.col("p").alias("q"))
+    met = within(ends, other, within_m, ["id2", "end2", "q"], on=("name_key",)).where("id < id2")
+    best = met.groupBy("name_key", "id", "id2").agg(F.min(F.struct(F.col("distance").alias("d"), (2 * F.col("end") + F.col("end2")).alias("o"), "p", "q", "name_display")).alias("best")).where(F.col("best.d") > touching_m)
+    return best.select("name_key", F.col("best.name_display").alias("street"), F.col("id").alias("way1_id"), F.col("id2").alias("way2_id"), F.col("best.d").alias("distance_m"), ((F.col("best.p.lat") + F.col("best.q.lat")) / 2).alias("lat"), ((F.col("best.p.lon") + F.col("best.q.lon")) / 2).alias("lon"))
 
 
 def cluster_gaps(gaps: DataFrame, within_m: float = 5.0) -> DataFrame:
-    """Gaps that are not within ``within_m`` of a kept smaller gap of their street. Sequential in each street, whose gaps are few; ties in the order of ids."""
-    import numpy as np
-    import pandas as pd
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_d=np.floor(pdf.distance_m * 10 + 0.5)).sort_values(["_d", "way1_id", "way2_id"], kind="stable")
-        lat, lon, kept = np.radians(pdf.lat.to_numpy()), np.radians(pdf.lon.to_numpy()), []
-        for i in range(len(pdf)):
-            k = np.array(kept, int)
-            a = np.sin((lat[k] - lat[i]) / 2) ** 2 + np.cos(lat[k]) * np.cos(lat[i]) * np.sin((lon[k] - lon[i]) / 2) ** 2
-            if not (2 * geo.EARTH_M * np.arcsin(np.sqrt(np.minimum(a, 1))) <= within_m).any():
-                kept.append(i)
-        return pdf.iloc[kept].drop(columns="_d")
-
-    return gaps.groupBy("name_key").applyInPandas(keep, gaps.schema)
+    """Gaps that are not within ``within_m`` of a kept smaller gap of their street, ties in the order of ids.
+
+    Decided in rounds: gaps without an undecided smaller neighbour are kept and take out their neighbours. No street is gathered.
+    """
+    place = F.struct(F.floor(F.col("distance_m") * 10 + 0.5).alias("d"), "way1_id", "way2_id")
+    a = gaps.select("name_key", "lat", "lon", place.alias("lo"))
+    near = within(a, a.withColumnRenamed("lo", "hi"), within_m, ["hi"], on=("name_key",)).where("lo < hi")
+    left, gone = written(near.select("lo", "hi"), "near"), None
+    while not left.isEmpty():
+        kept = left.select("lo").join(left.select(F.col("hi").alias("lo")), "lo", "left_anti").distinct()
+        out = written(left.join(kept, "lo").select("hi").distinct(), "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        decided = kept.unionByName(out.withColumnRenamed("hi", "lo"))
+        left = written(left.join(decided, "lo", "left_anti").join(out, "hi", "left_anti").select("lo", "hi"), "near")
+    if gone is None:
+        return gaps
+    return gaps.join(gone.select("hi.way1_id", "hi.way2_id"), ["way1_id", "way2_id"], "left_anti").select(*gaps.columns)
+
+
+#: Kinds of findings and what their counts are called in a summary.
+COUNTED = {"oneway_minus_one": "findings_oneway_minus_one", "oneway_conflict": "findings_oneway_conflicts", "access_blocked": "findings_access_blocked", "barrier_unqualified": "findings_barriers_unqualified", "broken_turn_restriction": "findings_broken_turn_restrictions", "arterial_named_residential": "findings_arterial_named_residential", "missing_maxspeed": "findings_missing_maxspeed", "bus_stop_misplaced": "findings_bus_stops_misplaced"}
+
+
+def whole_summary(classified: DataFrame, gaps: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row: :func:`summary`, the number of gaps, of findings of each kind, and of all findings. Each table is read once; the three rows are put side by side."""
+    kinds = findings.agg(*(F.count_if(F.col("kind") == k).alias(c) for k, c in COUNTED.items()), F.count("*").alias("findings_total"))
+    parts = [summary(classified), gaps.agg(F.count("*").alias("gaps_found")), kinds]
+    rows = [p.select(F.lit(1).alias("_one"), "*") for p in parts]
+    return rows[0].join(rows[1], "_one").join(rows[2], "_one").drop("_one")
 
 
 def summary(classified: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from .spatial import nearest, vertices, within
 DRIVABLE = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "service")
 ARTERIAL_NAME = r"(?i)\b(Boulevard|Parkway|Expressway|Pike|Highway|Crossing|Memorial)\s*$"
 BARRIERS = ("gate", "bollard", "lift_gate", "swing_gate", "cycle_barrier")
+CORRIDOR_M = 25.0
 QUALIFIERS = ("access", "motor_vehicle", "bicycle", "foot")
 
 
@@ -33,7 +34,7 @@ def blocked_access(ways: DataFrame) -> DataFrame:
 
 
 def arterial_names(ways: DataFrame) -> DataFrame:
-    return _found(ways.where((F.col("highway") == "residential") & F.coalesce(F.col("name").rlike(ARTERIAL_NAME), F.lit(False))), "arterial_as_residential", "MEDIUM", 3, "name")
+    return _found(ways.where((F.col("highway") == "residential") & F.coalesce(F.col("name").rlike(ARTERIAL_NAME), F.lit(False))), "arterial_named_residential", "MEDIUM", 3, "name")
 
 
 def missing_maxspeed(ways: DataFrame) -> DataFrame:
@@ -56,15 +57,22 @@ def broken_restrictions(relations: DataFrame) -> DataFrame:
     return _found(rows, "broken_turn_restriction", "HIGH", 4, "problems")
 
 
-def conflicts(ways: DataFrame, near_m: float = 50.0, apart_m: float = 5.0, same_way: float = 0.7, abreast: float = 1.5) -> DataFrame:
-    """Pairs of parallel one-ways of one street that run the same way, side by side: id < id_other; lat and lon of the first's middle vertex."""
+def conflicts(ways: DataFrame, near_m: float = 50.0, apart_m: float = 5.0, same_way: float = 0.7, abreast: float = 1.5, route_vertices: DataFrame | None = None) -> DataFrame:
+    """Pairs of parallel one-ways of one street that run the same way, side by side: id < id_other; lat and lon of the first's middle vertex.
+
+    Candidates meet by street and grid cell: both ends of one way lie near vertices of the other, so its first end does. With
+    ``route_vertices`` a column transit_corridor says whether the first way is on a bus route.
+    """
     key = norm_name(F.col("name"))
     one = ways.where(oneway_truthy(F.col("oneway")) & (F.size("geometry") >= 2)).withColumn("key", key).where("key is not null")
     sign = F.when(strip(F.col("oneway")) == "-1", -1.0).otherwise(1.0)
     one = one.withColumn("u", geo.unit_vector(F.col("geometry"))).select("key", "id", "name", F.col("geometry").alias("g"), F.struct((F.col("u.x") * sign).alias("x"), (F.col("u.y") * sign).alias("y")).alias("u"))
-    a, b = (one.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("id", "name", "g", "u"))) for i in (1, 2))
+    starts = one.select("key", "id", geo.first(F.col("g"))["lat"].alias("lat"), geo.first(F.col("g"))["lon"].alias("lon"))
+    spots = vertices(one.select("key", F.col("id").alias("other"), F.col("g").alias("geometry")), "key", "other")
+    near = within(starts, spots, near_m, ["other"], on=("key",)).where("id <> other").select(F.least("id", "other").alias("id1"), F.greatest("id", "other").alias("id2")).distinct()
+    a, b = (one.select(*(F.col(c).alias(f"{c}{i}") for c in ("id", "name", "g", "u"))) for i in (1, 2))
     p, q, g1, g2, u, v = (F.col(c) for c in ("p", "q", "g1", "g2", "u1", "u2"))
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("id1") < F.col("id2"))).drop(b["key"])
+    pairs = near.join(a, "id1").join(b, "id2")
     pairs = pairs.where(u["x"] * v["x"] + u["y"] * v["y"] >= same_way)
     # of each end the distance from the other way's nearest vertex
     pairs = pairs.withColumn("d", F.array(*(geo.vertex_distance(f(x), y) for x, y in ((g1, g2), (g2, g1)) for f in (geo.first, geo.last))))
@@ -75,7 +83,11 @@ def conflicts(ways: DataFrame, near_m: float = 50.0, apart_m: float = 5.0, same_
     dx, dy = q["lon"] - p["lon"], q["lat"] - p["lat"]
     along, across = F.abs(dx * u["x"] + dy * u["y"]), F.abs(dx * u["y"] - dy * u["x"])
     rows = pairs.where(along <= abreast * across).withColumn("id", F.col("id1"))
-    return _found(rows, "oneway_conflict", "CRITICAL", 5, F.col("name1").alias("name"), F.col("id2").alias("id_other"), geo.middle(g1)["lat"].alias("lat"), geo.middle(g1)["lon"].alias("lon"))
+    out = _found(rows, "oneway_conflict", "CRITICAL", 5, F.col("name1").alias("name"), F.col("id2").alias("id_other"), geo.middle(g1)["lat"].alias("lat"), geo.middle(g1)["lon"].alias("lon"))
+    if route_vertices is None:
+        return out
+    on_route = within(out.select("id", "lat", "lon").distinct(), route_vertices, CORRIDOR_M, ["route_id"]).groupBy("id").agg(F.array_sort(F.collect_set("route_id")).alias("transit_routes"))
+    return out.join(on_route, "id", "left").withColumn("transit_corridor", F.col("transit_routes").isNotNull())
 
 
 def misplaced_stops(stops: DataFrame, ways: DataFrame, transit_stops: DataFrame | None = None, off_m: float = 20.0, known_m: float = 30.0) -> DataFrame:
@@ -93,7 +105,16 @@ def suppressed(rows: DataFrame, stops: DataFrame, metres: float) -> DataFrame:
     return rows.join(within(rows.select("id", "lat", "lon"), stops, metres, []).select("id").distinct(), "id", "left_anti")
 
 
-def corridors(ways: DataFrame, route_vertices: DataFrame, metres: float = 25.0) -> DataFrame:
+def cross_checked(found: DataFrame, stops: DataFrame, metres: float = 50.0) -> tuple[DataFrame, DataFrame]:
+    """``found`` without the misplaced stops that a transit service has a stop within ``metres`` of, and their count (n_suppressed). Other kinds, and findings without a place, stay."""
+    flagged = found.where(F.col("kind") == "bus_stop_misplaced").select("id", "lat", "lon")
+    known = within(flagged, stops, metres, []).select("id").distinct()
+    gone = found.join(known, "id", "left_semi").where(F.col("kind") == "bus_stop_misplaced")
+    kept = found.join(known.withColumn("_known", F.lit(True)), "id", "left").where(~(F.col("_known").isNotNull() & (F.col("kind") == "bus_stop_misplaced"))).select(*found.columns)
+    return kept, gone.agg(F.count("*").alias("n_suppressed"))
+
+
+def corridors(ways: DataFrame, route_vertices: DataFrame, metres: float = CORRIDOR_M) -> DataFrame:
     """(id, routes): ways whose middle vertex is within ``metres`` of a bus route's vertex, and the routes in order."""
     mid = ways.withColumn("m", geo.middle(F.col("geometry"))).select("id", F.col("m.lat").alias("lat"), F.col("m.lon").alias("lon"))
     return within(mid, route_vertices, metres, ["route_id"]).groupBy("id").agg(F.array_sort(F.collect_set("route_id")).alias("routes"))

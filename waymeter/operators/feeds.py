@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,3 +36,40 @@ def readiness(checks: DataFrame) -> DataFrame:
 def newest(files: DataFrame, group: str, keep: int = 3) -> DataFrame:
     """The ``keep`` newest rows (mtime, then path) of each group."""
     return files.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("mtime"), "path"))).where(F.col("_r") <= keep).drop("_r")
+
+
+def budget(quota: DataFrame, today: str, calls: int | None = None) -> DataFrame:
+    """``quota`` (month, remaining) of the month of ``today`` (yyyy-MM-dd) with days_left, today among them, per_day and, for a run of ``calls``, fits and its share of what remains in per cent (null of nothing)."""
+    day = F.lit(today).cast("date")
+    left = F.datediff(F.last_day(day), day) + 1
+    out = quota.where(F.col("month") == F.date_format(day, "yyyy-MM")).select("month", "remaining", left.alias("days_left"), F.floor(F.col("remaining") / left).alias("per_day"))
+    if calls is None:
+        return out
+    return out.withColumns({"fits": F.col("remaining") >= calls, "share_pct": F.try_divide(F.lit(100.0 * calls), F.col("remaining"))})
+
+
+def once(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of rows that share ``key`` the first in the order of ``order``; rows without a key are one."""
+    cols = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("r")).select(key, "r.*").select(*rows.columns)
+
+
+def cache_key(payload: Column, digits: int = 16) -> Column:
+    """A request's place in a cache: the first hexadecimal digits of the SHA-256 of its JSON."""
+    return F.left(F.sha2(F.to_json(payload), 256), F.lit(digits))
+
+
+def positive_int(said: Column) -> Column:
+    """A whole number above 0, or null."""
+    n = F.trim(said).try_cast("int")
+    return F.when(n > 0, n)
+
+
+def number(said: Column) -> Column:
+    """A number, or null."""
+    return F.trim(said).try_cast("double")
+
+
+def moment(said: Column) -> Column:
+    """An ISO time, or null."""
+    return F.try_to_timestamp(F.trim(said))

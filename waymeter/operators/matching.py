@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
-from ..functions.text import blank, expand_abbrev, norm_name, plain_similarity, with_similarity
+from ..functions.ranking import numbered
+from ..functions.tables import written
+from ..functions.text import blank, norm_name, plain_similarity, with_similarity
 from .spatial import overlapping
 
 # Fixed values.
-BUFFER_M, FALLBACK_M, HIGH, REVIEW = 30.0, 100.0, 0.85, 0.60
+BUFFER_M, FALLBACK_M, HIGH, REVIEW, NAME_MATCH = 30.0, 100.0, 0.85, 0.60, 0.85
 WEIGHTS = (0.5, 0.3, 0.2)
 FUNCTIONAL_CLASS = {1: "interstate", 2: "arterial", 3: "collector", 4: "minor_collector", 5: "local", 6: "ramp", 7: "service"}
 HIGHWAY_OF_CODE = {"S1100": "motorway", "S1200": "primary", "S1500": "unclassified", "S1640": "service", "S1730": "service", "S1740": "service"}
@@ -72,24 +76,51 @@ def _best(pairs: DataFrame) -> DataFrame:
     return best.select("id", "b.*")
 
 
-def fallback_pairs(ways: DataFrame, centerlines: DataFrame, fuzzy: bool = True, reach: float = 0.02) -> DataFrame:
-    """For ways without a pair that passes: the centerlines nearest, in degrees, to the first, middle and last vertex, as far as ``reach`` degrees, scored with a wider limit and at most ``REVIEW``."""
+def sampled_places(line: Column) -> Column:
+    """Where a line is looked at: its first, middle and last vertex, each place once."""
+    return F.array_distinct(F.array(F.lit(0), F.floor(F.size(line) / 2).cast("int"), F.size(line) - 1))
+
+
+def _sampled(ways: DataFrame, centerlines: DataFrame, reach: Column, cell: float) -> DataFrame:
+    """(ways' id, name, geometry, centerlines' columns, source): the centerlines nearest, in degrees, to a way's first, middle and last vertex, as far as ``reach`` degrees; ties to the smaller source_id, each centerline once."""
     own = ways.where(F.size("geometry") >= 2).select("id", "name", "geometry")
     cols = [c for c in centerlines.columns if c != "geometry"]
-    near = overlapping(own, centerlines, reach, cols)
-    seg = lambda p, a, b: _planar(p, a, b)
-    line = F.col("source")
-    away = lambda p: F.array_min(F.transform(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), lambda b, i: seg(p, F.get(line, i), b)))
-    g = F.col("geometry")
-    probes = near.select("*", F.posexplode(F.array(geo.first(g), geo.middle(g), geo.last(g))).alias("at", "p"))
-    probes = probes.withColumn("away", away(F.col("p"))).where(F.col("away") <= reach)
-    first = F.row_number().over(Window.partitionBy("id", "at").orderBy("away", "source_id"))
-    chosen = probes.withColumn("_r", first).where("_r = 1").drop("_r", "at", "p", "away").dropDuplicates(["id", "source_id"])
-    chosen = chosen.withColumn("hausdorff_m", geo.directed_hausdorff(g, line))
+    line, g = F.col("source"), F.col("geometry")
+    away = lambda p: F.array_min(F.transform(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), lambda b, i: _planar(p, F.get(line, i), b)))
+    near = overlapping(own.withColumn("_reach", reach), centerlines, F.col("_reach"), cols, cell)
+    at = lambda i: F.struct(i.alias("at"), F.get(g, i).alias("p"))
+    # a short way's middle vertex may be its first or last: each place is looked at once
+    probes = near.select("*", F.inline(F.transform(sampled_places(g), at))).withColumn("away", away(F.col("p"))).where(F.col("away") <= F.col("_reach"))
+    whole = F.struct("name", "geometry", "source", *cols)
+    nearest = probes.groupBy("id", "at").agg(F.min_by(whole, F.struct("away", "source_id")).alias("b"))
+    return nearest.groupBy("id", F.col("b.source_id").alias("_s")).agg(F.first("b").alias("b")).select("id", "b.*")
+
+
+def fallback_pairs(ways: DataFrame, centerlines: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """For ways without a pair that passes: the centerlines nearest to the first, middle and last vertex, scored with a wider limit and at most ``REVIEW``.
+
+    Only a line within ``FALLBACK_M`` of every vertex can pass, so no farther one is looked for: that many metres in degrees of the
+    way's latitude.
+    """
+    lat = F.array_max(F.transform("geometry", lambda p: F.abs(p["lat"])))
+    chosen = _sampled(ways, centerlines, F.lit(FALLBACK_M / 110_000) / F.cos(F.radians(F.least(lat, F.lit(89.0)))), 0.004)
+    chosen = chosen.withColumn("hausdorff_m", geo.directed_hausdorff(F.col("geometry"), F.col("source")))
     out = scores(_similar(chosen, fuzzy), FALLBACK_M)
     return out.withColumn("confidence", F.least("confidence", F.lit(REVIEW)))
 
 
+def nearest_lines(ways: DataFrame, centerlines: DataFrame, rings: tuple[float, ...] = (0.002, 0.016, 0.13, 1.0)) -> DataFrame:
+    """(id, nearest_distance_m): the least distance of a way's vertices from the centerlines nearest to its first, middle and last one. Rings, in degrees, widen for ways that have found none; beyond the last there is none."""
+    out, rest = None, ways
+    for reach in rings:
+        found = _sampled(rest, centerlines, F.lit(reach), 2 * reach)
+        least = F.array_min(F.transform("geometry", lambda p: geo.line_distance(p, F.col("source"))))
+        found = written(found.groupBy("id").agg(F.min(least).alias("nearest_distance_m")), "nearest")
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(found.select("id"), "id", "left_anti")
+    return out
+
+
 def _planar(p: Column, a: Column, b: Column) -> Column:
     dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
     t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((p["lon"] - a["lon"]) * dx + (p["lat"] - a["lat"]) * dy, dx * dx + dy * dy))), F.lit(0.0))
@@ -105,34 +136,107 @@ def match(ways: DataFrame, centerlines: DataFrame, fallback: bool = True, symmet
     return best.unionByName(_best(fallback_pairs(rest, centerlines, fuzzy)).withColumn("via_fallback", F.lit(True)))
 
 
+def gated(ways: DataFrame, primary: DataFrame, centerlines: DataFrame, everywhere: bool = False, **how: bool) -> DataFrame:
+    """Matches in a second source, made as :func:`match` is told to, only of ways that ``primary`` has no match of ``REVIEW`` or more for; of all ways with ``everywhere``."""
+    if not everywhere:
+        ways = ways.join(primary.where(F.col("confidence") >= REVIEW).select("id"), "id", "left_anti")
+    return match(ways, centerlines, **how)
+
+
+def beside(ways: DataFrame, primary: DataFrame, second: DataFrame) -> DataFrame:
+    """``ways`` with what fixes ask for: the primary match's columns and, as other_*, the second source's; null where there is none. The second source's functional_class is other_code."""
+    a = primary.select("id", "confidence", "source_name", "name_similarity", "source_oneway", "speed_limit")
+    b = second.select("id", F.col("confidence").alias("other_confidence"), F.col("source_name").alias("other_name"), F.col("name_similarity").alias("other_similarity"), F.col("functional_class").alias("other_code"))
+    return ways.drop("confidence").join(a, "id", "left").join(b, "id", "left")
+
+
 def band(confidence: Column) -> Column:
     return F.when(confidence >= HIGH, "HIGH").when(confidence >= REVIEW, "REVIEW").when(confidence.isNotNull(), "LOW").otherwise("NONE")
 
 
+def investigations(matched: DataFrame) -> DataFrame:
+    """``matched`` (confidence) with ``list``: review, unmatched or other."""
+    said = F.when(band(F.col("confidence")) == "REVIEW", "review").when(F.col("confidence").isNull(), "unmatched").otherwise("other")
+    return matched.withColumn("list", said)
+
+
 def diagnose(ways: DataFrame, centerlines: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """(id, bucket, candidates, hausdorff_m, confidence) of every way: why it matches or doesn't."""
+    """(id, bucket, candidates, hausdorff_m, confidence, nearest_distance_m, length_m) of every way: why it matches or doesn't. The nearest distance is of ways without a candidate."""
     pairs = scored_pairs(ways, centerlines, fuzzy=fuzzy)
     length = geo.length(F.col("geometry"))
     found = pairs.groupBy("id").agg(F.count("*").alias("candidates"), F.min("hausdorff_m").alias("least_m"), F.max_by(F.struct("hausdorff_m", "name_similarity", "direction", "confidence"), F.struct("confidence", (-F.col("source_id")).alias("o"))).alias("b"))
     lonely = ways.where(F.size("geometry") >= 2).join(found.select("id"), "id", "left_anti")
     wide = _best(fallback_pairs(lonely, centerlines, fuzzy)).select("id", F.col("confidence").alias("wide"))
-    all_ = ways.select("id", "geometry", length.alias("length_m")).join(found, "id", "left").join(wide, "id", "left")
+    away = nearest_lines(lonely, centerlines)
+    all_ = ways.select("id", "geometry", length.alias("length_m")).join(found, "id", "left").join(wide, "id", "left").join(away, "id", "left")
     n, g, d = F.col("b.name_similarity"), 1 - F.col("b.hausdorff_m") / BUFFER_M, F.col("b.direction")
     short = (F.col("length_m") < 50) & (d < 0.5) & ((0.5 * n + 0.3 * g) / 0.8 >= REVIEW)
     bucket = (
         F.when(F.size("geometry") < 2, "F1_NO_CANDIDATE")
         .when(F.col("candidates").isNull(), F.when(F.col("wide").isNotNull(), "MATCHED_FALLBACK_REVIEW").otherwise("F1_NO_CANDIDATE"))
-        .when(F.col("b.confidence").isNull(), "F3_GEOMETRY")
+        .when(F.col("b.confidence").isNull(), "F3_GEOMETRY_FAIL")
         .when(F.col("b.confidence") >= HIGH, "MATCHED_HIGH").when(F.col("b.confidence") >= REVIEW, "MATCHED_REVIEW")
-        .when(short, "F4_SHORT_DIRECTION").when((n < 0.5) & (g >= 0.5) & (d >= 0.5), "F2_NAME").otherwise("MIXED_LOW")
+        .when(short, "F4_DIRECTION_DRAG").when((n < 0.5) & (g >= 0.5) & (d >= 0.5), "F2_NAME_FAIL").otherwise("MIXED_LOW")
     )
-    return all_.select("id", bucket.alias("bucket"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(F.col("b.confidence").isNull(), F.col("least_m")).otherwise(F.col("b.hausdorff_m")).alias("hausdorff_m"), F.coalesce("b.confidence", "wide").alias("confidence"))
+    return all_.select("id", bucket.alias("bucket"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(F.col("b.confidence").isNull(), F.col("least_m")).otherwise(F.col("b.hausdorff_m")).alias("hausdorff_m"), F.coalesce("b.confidence", "wide").alias("confidence"), "nearest_distance_m", "length_m")
+
 
+def upper_medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median): of each group's n values, nulls left out, that at place n div 2 from 0. Values are ranked inside range partitions; no group is gathered."""
+    known = rows.where(F.col(value).isNotNull()).select(group, value)
+    ranks = numbered(known, [group, value])
+    sizes = known.groupBy(group).agg(F.count("*").alias("_n"))
+    first = F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1))
+    at = sizes.select(group, (F.coalesce(first, F.lit(0)) + F.floor(F.col("_n") / 2)).alias("rank"))
+    return ranks.join(at, [group, "rank"]).select(group, F.col(value).alias("median"))
 
-def diagnosis_summary(diagnosed: DataFrame) -> DataFrame:
-    """(bucket, n, least_m, median_m, most_m): the upper median."""
-    s = F.array_sort(F.collect_list("hausdorff_m"))
-    return diagnosed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("hausdorff_m").alias("least_m"), F.get(s, F.floor(F.size(s) / 2).cast("int")).alias("median_m"), F.max("hausdorff_m").alias("most_m"))
+
+def diagnosis_summary(diagnosed: DataFrame, value: str = "hausdorff_m") -> DataFrame:
+    """(bucket, n, least_m, median_m, most_m) of a value: the upper median."""
+    counts = diagnosed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(value).alias("least_m"), F.max(value).alias("most_m"))
+    return counts.join(upper_medians(diagnosed, "bucket", value), "bucket", "left").select("bucket", "n", "least_m", F.col("median").alias("median_m"), "most_m")
+
+
+#: What is measured of the ways in a bucket of misses.
+MEASURED = {"F1_NO_CANDIDATE": "nearest_distance_m", "F3_GEOMETRY_FAIL": "hausdorff_m", "F4_DIRECTION_DRAG": "length_m"}
+
+
+def headline(diagnosed: DataFrame) -> DataFrame:
+    """(metric, value): totals of matched buckets, and shares in per cent, to two digits; 0 of no ways."""
+    of = lambda *b: F.count_if(F.col("bucket").isin(*b))
+    high, review, fallback = "MATCHED_HIGH", "MATCHED_REVIEW", "MATCHED_FALLBACK_REVIEW"
+    share = lambda n: geo.rounded(F.coalesce(F.try_divide(100.0 * n, F.count("*")), F.lit(0.0)), 2)
+    facts = {"total_ways": F.count("*"), "matched_high": of(high), "matched_review": of(review), "matched_fallback_review": of(fallback), "match_rate_pct": share(of(high, review, fallback)), "auto_submit_rate_pct": share(of(high)), "review_queue_pct": share(of(review, fallback))}
+    return diagnosed.agg(*(c.cast("double").alias(k) for k, c in facts.items())).unpivot([], list(facts), "metric", "value")
+
+
+def miss_statistics(diagnosed: DataFrame) -> DataFrame:
+    """(bucket, n, least, median, most) of what ``MEASURED`` says of a miss, to two digits; ways without that measure are left out."""
+    value = reduce(lambda a, kv: F.when(F.col("bucket") == kv[0], F.col(kv[1])).otherwise(a), MEASURED.items(), F.lit(None).cast("double"))
+    rows = diagnosed.select("bucket", value.alias("value")).where("value is not null")
+    s = diagnosis_summary(rows, "value")
+    return s.select("bucket", "n", *(geo.rounded(F.col(f"{c}_m"), 2).alias(c) for c in ("least", "median", "most")))
+
+
+def headline_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, a, b, delta) of two diagnoses."""
+    j = headline(before).withColumnRenamed("value", "a").join(headline(after).withColumnRenamed("value", "b"), "metric")
+    return j.select("metric", "a", "b", (F.col("b") - F.col("a")).alias("delta"))
+
+
+def alerts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(alert, first, second): what looks wrong between two diagnoses. REGRESSION: sure matches grew while those to review shrank by more than half as much. WARNING: sure matches and misses by geometry both grew. NOTICE: the number of ways moved by more than a tenth; first and second are the two changes, or the two totals."""
+    changes = bucket_changes(before, after)
+    delta = lambda b: F.coalesce(F.max(F.when(F.col("bucket") == b, F.col("delta"))), F.lit(0))
+    one = changes.agg(delta("MATCHED_HIGH").alias("high"), delta("MATCHED_REVIEW").alias("review"), delta("F3_GEOMETRY_FAIL").alias("f3"), F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+    high, review, f3, a, b = (F.col(c) for c in ("high", "review", "f3", "a", "b"))
+    row = lambda name, x, y: F.struct(F.lit(name).alias("alert"), x.cast("long").alias("first"), y.cast("long").alias("second"))
+    rules = F.array(
+        F.when((high > 0) & (review < 0) & (-review > high * 0.5), row("REGRESSION", high, review)),
+        F.when((high > 0) & (f3 > 0), row("WARNING", high, f3)),
+        F.when((a > 0) & (F.abs(b - a) > 0.1 * a), row("NOTICE", a, b)),
+    )
+    return one.select(F.inline(F.array_compact(rules)))
 
 
 def bucket_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -142,5 +246,11 @@ def bucket_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("*", (F.col("b") - F.col("a")).alias("delta"), F.when(F.col("a") > 0, 100.0 * (F.col("b") - F.col("a")) / F.col("a")).when(F.col("b") > 0, 100.0).otherwise(0.0).alias("delta_pct"))
 
 
-def name_differs(a: Column, b: Column) -> Column:
-    return ~blank(a) & ~blank(b) & (expand_abbrev(norm_name(a)) != expand_abbrev(norm_name(b)))
+def name_match(a: Column, b: Column, similarity: Column) -> Column:
+    """Whether two names, both there, are as similar as one name in two spellings."""
+    return ~blank(norm_name(a)) & ~blank(norm_name(b)) & (F.coalesce(similarity, F.lit(0.0)) >= NAME_MATCH)
+
+
+def new_name(own: Column, said: Column, similarity: Column) -> Column:
+    """Whether a source names a way otherwise than it is: also where it has no name."""
+    return ~blank(norm_name(said)) & ~name_match(own, said, similarity) & ~norm_name(own).eqNullSafe(norm_name(said))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..functions.ranking import numbered
 from ..functions.text import oneway_truthy
 from .classify import class_rank
 
@@ -68,9 +68,83 @@ def viewport(ways: DataFrame, s: float, w: float, n: float, e: float) -> DataFra
 
 
 def page(rows: DataFrame, order: list, number: int, size: int = 50) -> DataFrame:
-    """A page, from 1: only as many rows as come before its end are sorted out."""
-    head = rows.orderBy(*order).limit(number * size)
-    return head.withColumn("_r", F.row_number().over(Window.orderBy(*order))).where(F.col("_r") > (number - 1) * size).drop("_r")
+    """A page, from 1. Places are counted inside range partitions, so that a deep page is no more work than the first."""
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = rows.withColumns(dict(zip(names, (F.col(o) if isinstance(o, str) else o for o in order), strict=True)))
+    first = (number - 1) * size
+    return numbered(keyed, names, "_r").where((F.col("_r") >= first) & (F.col("_r") < first + size)).drop("_r", *names)
+
+
+def ordinals(rows: DataFrame, order: list[str]) -> DataFrame:
+    """A sheet's rows with their number from 1."""
+    return numbered(rows, order, "n").withColumn("n", F.col("n") + 1)
+
+
+def row_count(lines: DataFrame) -> DataFrame:
+    """(n) of a CSV file's lines, its header left out."""
+    return lines.agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("n"))
+
+
+#: Columns of the export of ways.
+EXPORTED = ("id", "name", "highway", "oneway", "defect_class", "severity", "review_status", "review_confidence", "version", "user", "timestamp")
+
+
+def exported(classified: DataFrame) -> DataFrame:
+    """The export's eleven columns; null where the ways have none of them. The name is the displayed one."""
+    own = {"name": "name_display", "review_status": "status", "review_confidence": "confidence", "user": "usr"}
+    return classified.select(*((F.col(own.get(c, c)) if own.get(c, c) in classified.columns else F.lit(None).cast("string")).alias(c) for c in EXPORTED))
+
+
+def csv_line(row: DataFrame) -> DataFrame:
+    """(line) of each row: fields with a comma, a quote or a line break in quotes, quotes doubled, nulls empty."""
+    field = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    quoted = lambda x: F.when(x.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
+    return row.select(F.concat_ws(",", *(quoted(field(c)) for c in row.columns)).alias("line"))
+
+
+def largest_streets(classified: DataFrame, n: int = 25) -> DataFrame:
+    """Streets of most segments."""
+    return classified.where("name_key is not null").groupBy("name_key").agg(F.count("*").alias("segments")).orderBy(F.desc("segments"), "name_key").limit(n)
+
+
+def ledger(entries: DataFrame, keep: int = 500) -> DataFrame:
+    """The newest entries (seq), as a ledger keeps them."""
+    return entries.orderBy(F.desc("seq")).limit(keep)
+
+
+def investigations(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """Ways (id, list) to look into, by the largest impact of their findings, then id."""
+    return impact_by_way(listed.where(F.col("list").isin("review", "unmatched")), found).orderBy(F.desc("impact"), "id")
+
+
+def heat_weight(k: Column) -> Column:
+    return F.when(k == "AB", 1.0).when(k == "A", 0.7).otherwise(0.4)
+
+
+def priority(k: Column) -> Column:
+    return F.when(k == "AB", 0).when(k == "A", 1).otherwise(2)
+
+
+def way_url(id_: Column) -> Column:
+    return F.concat(F.lit("https://www.openstreetmap.org/way/"), id_.cast("string"))
+
+
+def tasks(matched: DataFrame) -> DataFrame:
+    """(id, title, instruction, priority, feature) of ways (name_display, oneway, defect_class, geometry; of their match confidence, source_id, source_oneway): what a mapper is asked, by how sure the match is: to review, weak, or none."""
+    said = F.format_string("Way %d (%s) is tagged oneway=%s. Class %s: the tag may come from an import alone.", "id", "name_display", F.coalesce("oneway", F.lit("")), "defect_class")
+    c = F.col("confidence")
+    match = F.when(c >= 0.6, F.format_string(" Centerline %s says oneway=%s with confidence %.2f: remove the tag if traffic runs both ways.", F.col("source_id").cast("string"), "source_oneway", c))
+    match = match.when(c.isNotNull(), F.format_string(" A centerline matches with confidence %.2f only, a weak sign: judge by imagery.", c)).otherwise(F.lit(" No centerline lies within 100 m: judge by imagery."))
+    rows = matched.where("size(geometry) >= 2").select("*", F.format_string("Way %d: %s (Class %s)", "id", "name_display", "defect_class").alias("title"), F.concat(said, match, F.lit(" "), way_url(F.col("id"))).alias("instruction"), priority(F.col("defect_class")).alias("priority"))
+    shape = F.struct(F.lit("LineString").alias("type"), F.transform("geometry", lambda p: F.array(p["lon"], p["lat"])).alias("coordinates"))
+    props = F.struct(F.col("title").alias("task_name"), F.col("instruction").alias("task_instruction"), way_url(F.col("id")).alias("osm_link"), F.col("id").alias("way_id"), "defect_class", "priority")
+    return rows.select("id", "title", "instruction", "priority", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), props.alias("properties"))).alias("feature"))
+
+
+def challenge(tasks: DataFrame, name: str) -> DataFrame:
+    """One row of facts about a set of tasks: its name and how many there are of each priority."""
+    n = lambda p: F.count_if(F.col("priority") == p)
+    return tasks.agg(F.lit(name).alias("name"), F.count("*").alias("tasks"), n(0).alias("high"), n(1).alias("medium"), n(2).alias("low"))
 
 
 def feature_lines(ways: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..functions.tables import written
 
 
 def _lon_width(band: Column, h: float) -> Column:
@@ -14,17 +15,17 @@ def _lon_width(band: Column, h: float) -> Column:
     return F.lit(h) / F.cos(F.radians(F.least(F.lit(89.0), (F.abs(band) + 2) * h)))
 
 
-def within(left: DataFrame, right: DataFrame, metres: float, right_cols: list[str]) -> DataFrame:
-    """Pairs of rows whose points (lat, lon) lie within ``metres``, with ``distance``: the left columns and ``right_cols``, which must have other names. Points that are null or out of range meet nothing; nothing meets across the date line."""
+def within(left: DataFrame, right: DataFrame, metres: float, right_cols: list[str], on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows, equal in the columns ``on``, whose points (lat, lon) lie within ``metres``, with ``distance``: the left columns and ``right_cols``, which must have other names. Points that are null or out of range meet nothing; nothing meets across the date line."""
     h = metres / 110_000
     ok = lambda df: df.where(geo.valid(F.col("lat"), F.col("lon")))
     band = F.floor(F.col("lat") / h)
     a = ok(left).withColumn("_band", band).withColumn("_cell", F.floor(F.col("lon") / _lon_width(F.col("_band"), h)))
-    b = ok(right).select(*right_cols, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.sequence(band - 1, band + 1)).alias("_band"))
+    b = ok(right).select(*on, *right_cols, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.sequence(band - 1, band + 1)).alias("_band"))
     cell = F.floor(F.col("_lon") / _lon_width(F.col("_band"), h))
     b = b.select("*", F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"))
     d = geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    return a.join(b, ["_band", "_cell"]).withColumn("distance", d).where(F.col("distance") <= metres).drop("_band", "_cell", "_lat", "_lon")
+    return a.join(b, ["_band", "_cell", *on]).withColumn("distance", d).where(F.col("distance") <= metres).drop("_band", "_cell", "_lat", "_lon")
 
 
 #: Cells of the unit ball for :func:`anywhere`: sides of 1/2 for the widest, then of an eighth of the side before.
@@ -34,14 +35,17 @@ _AXES = ("x", "y", "z")
 
 def nearest(left: DataFrame, right: DataFrame, key: str, right_cols: list[str], radii: tuple[float, ...] = (60.0, 600.0, 6_000.0, 60_000.0)) -> DataFrame:
     """(key, distance, nearest: struct of ``right_cols``) of the nearest right row, ties to its columns in order. Rings widen for rows that have found none; beyond the last the whole globe is searched. Only rows without a point have none."""
-    out, rest = None, left.select(key, "lat", "lon")
+    out, rest = None, left.select(key, "lat", "lon").where("lat + lon is not null")
     whole = right.select(F.struct(*right_cols).alias("_it"), "lat", "lon")
     for metres in radii:
         # grid cells end at the date line and the poles: what is near them leaves the rings out
         inner = rest.where((F.abs("lat") <= 80) & (F.abs("lon") <= 176))
         best = within(inner, whole, metres, ["_it"]).groupBy(key).agg(F.min(F.struct("distance", F.col("_it").alias("nearest"))).alias("b")).select(key, "b.*")
+        best = written(best, "ring")
         out = best if out is None else out.unionByName(best)
-        rest = rest.join(best.select(key), key, "left_anti")
+        rest = written(rest.join(best.select(key), key, "left_anti"), "rest")
+        if rest.isEmpty():
+            return out
     far = anywhere(rest, whole, key)
     return far if out is None else out.unionByName(far)
 
@@ -84,7 +88,7 @@ def vertices(lines: DataFrame, *cols: str) -> DataFrame:
     return lines.select(*cols, F.explode("geometry").alias("_p")).select(*cols, F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"))
 
 
-def overlapping(left: DataFrame, right: DataFrame, grow: float, right_cols: list[str], cell: float = 0.004) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, grow: float | Column, right_cols: list[str], cell: float = 0.004) -> DataFrame:
     """Pairs of lines (geometry) whose envelopes meet when the left one grows by ``grow`` degrees; right columns as given, its geometry as ``source``.
 
     Both are spread over the cells of their envelopes and meet in the one cell where both begin, so that a pair comes once.
@@ -99,6 +103,13 @@ def overlapping(left: DataFrame, right: DataFrame, grow: float, right_cols: list
     return a.join(b, ["_x", "_y"]).where(meet & once).drop(*"_x _y _e _f _x0 _y0 _x1 _y1".split())
 
 
+def clip_counts(points: DataFrame, rings: Column, by: str) -> DataFrame:
+    """(by, kept, dropped, no_centroid): rows (lat, lon) inside a polygon, outside of it, and without a point."""
+    unplaced = F.col("lat").isNull() | F.col("lon").isNull()
+    within_ = F.coalesce(geo.inside(F.col("lat"), F.col("lon"), rings), F.lit(False))
+    return points.groupBy(by).agg(F.count_if(~unplaced & within_).alias("kept"), F.count_if(~unplaced & ~within_).alias("dropped"), F.count_if(unplaced).alias("no_centroid"))
+
+
 def clip(points: DataFrame, rings: Column) -> DataFrame:
     """Rows inside a polygon, and rows without a point, which are kept."""
     unplaced = F.col("lat").isNull() | F.col("lon").isNull()

@@ -25,13 +25,14 @@ class Inputs:
     route_vertices: DataFrame | None = None
     versions: DataFrame | None = None
     centerlines: DataFrame | None = None
+    second_lines: DataFrame | None = None
 
 
 @dataclass
 class Audit:
     ways: DataFrame
     gaps: DataFrame
-    findings: DataFrame
+    findings: DataFrame | None
     summary: DataFrame
     matches: DataFrame | None = None
     fixes: DataFrame | None = None
@@ -44,7 +45,7 @@ DETECTORS: dict[str, Callable[[Inputs], DataFrame | None]] = {
     "blocked_access": lambda x: detectors.blocked_access(x.ways),
     "arterial_names": lambda x: detectors.arterial_names(x.ways),
     "missing_maxspeed": lambda x: detectors.missing_maxspeed(x.ways),
-    "conflicts": lambda x: detectors.conflicts(x.ways),
+    "conflicts": lambda x: detectors.conflicts(x.ways, route_vertices=x.route_vertices),
     "barriers": lambda x: None if x.nodes is None else detectors.unqualified_barriers(x.nodes),
     "restrictions": lambda x: None if x.relations is None else detectors.broken_restrictions(x.relations),
     "bus_stops": lambda x: None if x.bus_stops is None else detectors.misplaced_stops(x.bus_stops, x.ways, x.transit_stops),
@@ -69,12 +70,13 @@ def run_audit(x: Inputs, only: list[str] | None = None) -> Audit:
             if part is not None:
                 parts.append(part)
     gaps = classify.cluster_gaps(classify.gap_pairs(ways))
-    out = Audit(ways, gaps, detectors.findings(*parts), classify.summary(ways), failed=failed)
+    found = detectors.findings(*parts) if parts else None
+    out = Audit(ways, gaps, found, classify.summary(ways) if found is None else classify.whole_summary(ways, gaps, found), failed=failed)
     if x.centerlines is not None:
         out.matches = matching.match(x.ways, x.centerlines)
-        m = ways.join(out.matches.select("id", "confidence", "source_name", "source_oneway", "speed_limit"), "id", "left") if "confidence" not in ways.columns else ways.drop("confidence").join(out.matches.select("id", "confidence", "source_name", "source_oneway", "speed_limit"), "id", "left")
-        none = {c: F.lit(None).cast(t) for c, t in (("other_confidence", "double"), ("other_name", "string"), ("other_code", "string"))}
-        out.fixes = fixes.proposals(m.withColumns(none))
+        none = out.matches.limit(0)
+        second = none if x.second_lines is None else matching.gated(x.ways, out.matches, x.second_lines)
+        out.fixes = fixes.proposals(matching.beside(ways, out.matches, second))
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import history, matching, payloads, reports, routes, spatial
+from ..operators import feeds, history, matching, payloads, reports, routes, spatial
 from ..sources.landed import decode_polyline, issue_elements
 from .oracles import TRUTHY, hav, r
 from .registry import classified, gaps, query
@@ -75,9 +75,9 @@ def flt_14_unverified_ways(x):
     return reports.unverified(classified(x).join(m, "id", "left")).select("id")
 
 
-@query("select way1_id, way2_id, name_key from gaps where name_key like '%lane'", "gaps")
+@query("select way1_id, way2_id, name_key from gaps", "gaps")
 def flt_15_gap_tasks(x):
-    return reports.gap_tasks(gaps(x)).where("name_key like '%lane'").select("way1_id", "way2_id", "name_key")
+    return reports.gap_tasks(gaps(x)).select("way1_id", "way2_id", "name_key")
 
 
 @query("select id, kind, decision='real' graduated from decided where decision<>'noisy'", "decided")
@@ -89,8 +89,7 @@ def flt_16_graduated(x):
 @query("select id, case when conf>=0.6 and conf<0.85 then 'review' when conf is null then 'unmatched' else 'other' end list from cls left join best using(id)", "cls", "best")
 def flt_18_investigations(x):
     m = matching.match(x.ways, matching.centerline_records(x.centerline_shapes), fallback=False, fuzzy=False).select("id", "confidence")
-    c = F.col("confidence")
-    return x["ways_attr"].select("id").join(m, "id", "left").select("id", F.when((c >= 0.6) & (c < 0.85), "review").when(c.isNull(), "unmatched").otherwise("other").alias("list"))
+    return matching.investigations(x["ways_attr"].select("id").join(m, "id", "left")).select("id", "list")
 
 
 @query("select id, defect_class from cls where defect_class in ('A','AB','B')", "cls")
@@ -113,12 +112,12 @@ def jn_13_issues(x):
 
 
 @query(
-    f"""select id, {r("min(d)", 1)} distance_m from (select e.id, {hav("e.lat0", "e.lon0", "v.lat", "v.lon")} d from ends e join way_vertices v on v.id<>e.id and abs(v.lat-e.lat0)<0.01 join ways_attr w on w.id=v.id and w.highway<>'service' where e.n>=2 and e.id%50=0) group by 1 having min(d)<=800""",
+    f"""select id, {r("min(d)", 1)} distance_m from (select e.id, {hav("e.lat0", "e.lon0", "v.lat", "v.lon")} d from ends e join way_vertices v on v.id<>e.id and abs(v.lat-e.lat0)<0.0075 and abs(v.lon-e.lon0)<0.0097 join ways_attr w on w.id=v.id and w.highway<>'service' where e.n>=2) group by 1 having min(d)<=800""",
     "ends", "way_vertices", "ways_attr",
 )
 def jn_15_nearest_other_way(x):
     g = F.col("geometry")
-    start = x.ways.where("size(geometry) >= 2 and id % 50 = 0").select("id", geo.first(g)["lat"].alias("lat"), geo.first(g)["lon"].alias("lon"))
+    start = x.ways.where("size(geometry) >= 2").select("id", geo.first(g)["lat"].alias("lat"), geo.first(g)["lon"].alias("lon"))
     roads = spatial.vertices(x.ways.where("highway <> 'service'"), "id")
     return payloads.nearest_other(start, roads).select("id", geo.rounded(F.col("distance"), 1).alias("distance_m"))
 
@@ -144,7 +143,7 @@ def top_3_streets_by_gaps(x):
 
 @query("select name_key, count(*) segments from cls where name_key is not null group by 1 order by 2 desc, 1 limit 25", "cls")
 def top_4_streets_by_size(x):
-    return classified(x).where("name_key is not null").groupBy("name_key").agg(F.count("*").alias("segments")).orderBy(F.desc("segments"), "name_key").limit(25)
+    return reports.largest_streets(classified(x))
 
 
 @query("select kind, count(*) filter (k) as inside, count(*) filter (not k) as outside from (select case when id%2=0 then 'even' else 'odd' end kind, lat between 39.17 and 39.235 k from mid) group by 1", "mid")
@@ -162,7 +161,7 @@ def snk_9_change_xml(x):
 
 @query("select id, kind from (select id, kind, row_number() over (order by id desc) k from routes) where k<=500", "routes")
 def snk_11_edit_ledger(x):
-    return x["routes"].orderBy(F.desc("id")).limit(500).select("id", "kind")
+    return reports.ledger(x["routes"].withColumn("seq", F.col("id"))).select("id", "kind")
 
 
 # projections
@@ -176,14 +175,18 @@ def prj_20_class_codes(x):
     return x.table("part").select(k.alias("code"), matching.lookup(matching.HIGHWAY_OF_CODE, c).alias("highway"), (c == "S1400").alias("ambiguous")).distinct()
 
 
-@query("select o_orderkey id, substr(sha256('{\"a\":'||cast(o_orderkey as varchar)||',\"b\":\"x\"}'),1,16) k from orders where o_orderkey<1000")
+def prj_22_rows(orders):
+    return orders.select(F.col("o_orderkey").alias("id"), feeds.cache_key(F.struct(F.col("o_orderkey").alias("a"), F.lit("x").alias("b"))).alias("k"))
+
+
+@query("select o_orderkey id, substr(sha256('{\"a\":'||cast(o_orderkey as varchar)||',\"b\":\"x\"}'),1,16) k from orders")
 def prj_22_cache_keys(x):
-    return x.table("orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("id"), F.left(F.sha2(F.to_json(F.struct(F.col("o_orderkey").alias("a"), F.lit("x").alias("b"))), 256), F.lit(16)).alias("k"))
+    return prj_22_rows(x.table("orders"))
 
 
 @query("select o_orderkey id, substr(sha256('{\"a\":'||cast(o_orderkey as varchar)||',\"b\":\"x\"}'),1,16) k from orders")
 def prj_22_all_cache_keys(x):
-    return x.table("orders").select(F.col("o_orderkey").alias("id"), F.left(F.sha2(F.to_json(F.struct(F.col("o_orderkey").alias("a"), F.lit("x").alias("b"))), 256), F.lit(16)).alias("k"))
+    return prj_22_rows(x.table("orders"))
 
 
 @query("select p_partkey id, case when p_size%3=0 then null when p_size%3=1 then p_size else null end n, case when p_size%3=2 then null else p_size+0.5 end f from part")
@@ -199,15 +202,12 @@ def prj_12_13_line_distance(x):
     return own.select("id", geo.rounded(geo.line_distance(geo.first(F.col("geometry")), F.col("line")), 3).alias("distance_m"))
 
 
-@query(f"select id, {r('confidence', 4)} confidence from (select id, case when oneway='yes' then 0.9 when oneway='true' then 0.7 end confidence from ways_attr) where confidence is not null", "ways_attr")
-def flt_17_bands(x):
-    c = F.when(F.col("oneway") == "yes", 0.9).when(F.col("oneway") == "true", 0.7)
-    return x["ways_attr"].select("id", geo.rounded(c, 4).alias("confidence")).where("confidence is not null")
-
-
-@query()
+@query("select n_nationkey id, [3,1,0,2][n_nationkey%4+1] n, [38.5,0.00001,null,38.5][n_nationkey%4+1] lat, [-120.2,-0.00001,null,-120.2][n_nationkey%4+1] lon from nation")
 def prj_21_polylines(x):
-    return x.table("nation").select("n_nationkey", F.size(decode_polyline(5)(F.lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@"))).alias("n"))
+    said = F.array(*map(F.lit, ("_p~iF~ps|U_ulLnnqC_mqNvxq`@", "A@", "", "_p~iF~ps|U_ulLnnqC")))
+    line = decode_polyline(5)(F.get(said, (F.col("n_nationkey") % 4).cast("int")))
+    p = geo.first(F.col("line"))
+    return x.table("nation").select(F.col("n_nationkey").alias("id"), line.alias("line")).select("id", F.size("line").alias("n"), p["lat"].alias("lat"), p["lon"].alias("lon"))
 
 
 @query("select n_nationkey id, 'alert '||cast(n_nationkey as varchar) said from nation union all select n_nationkey, 'more' from nation where n_nationkey%2=0")
@@ -217,14 +217,12 @@ def prj_29_alerts(x):
     return payloads.alerts(raw).select("id", F.col("title").alias("said"))
 
 
-@query("select fix, count(*) n from (select case kind when 'oneway_minus_one' then 'tested' when 'oneway_conflict' then 'tested' else 'skipped' end fix from routes) group by 1", "routes")
-def fix_11_route_impact(x):
-    return x["routes"].groupBy(F.when(F.col("kind").isin("oneway_minus_one", "oneway_conflict"), "tested").otherwise("skipped").alias("fix")).agg(F.count("*").alias("n"))
-
-
 @query("select s3 tag, count(*) n from (select unnest(case event_id%4 when 0 then ['surface','lanes','tiger:cfcc'] when 1 then ['lit'] else [] end) s3 from events) where s3 in ('surface','lanes','lit') group by 1")
 def set_3_7_tag_sets(x):
     k = F.col("event_id") % 4
     now = F.when(k == 0, F.array(*map(F.lit, ("surface", "lanes", "tiger:cfcc", "name")))).when(k == 1, F.array(*map(F.lit, ("lit", "name")))).otherwise(F.array(F.lit("name")))
     added = F.array_intersect(F.array_except(now, F.array(F.lit("name"))), F.array(*map(F.lit, history.REVIEW_TAGS)))
     return x.table("events").select(F.explode(added).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+from . import whole  # noqa: E402, F401  its queries register themselves

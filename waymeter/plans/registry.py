@@ -205,29 +205,60 @@ def jn_9_best_match(x):
     return m.select("id", "source_id", geo.rounded(F.col("confidence"), 4).alias("confidence"), matching.band(F.col("confidence")).alias("band"))
 
 
-@query()
+_KNOWN = "select id, source_id, conf, false via from kbest union all select id, source_id, conf, true from kwide"
+
+
+@query(f"select id, source_id, {r('conf', 4)} confidence, via via_fallback from ({_KNOWN})", "kwide", "kbest")
 def jn_9_10_match(x):
-    return matching.match(x.ways, matching.centerline_records(x.centerline_shapes))
+    m = matching.match(x.known_ways, matching.centerline_records(x.known_centerlines))
+    return m.select("id", "source_id", geo.rounded(F.col("confidence"), 4).alias("confidence"), "via_fallback")
 
 
-@query()
+@query("select id, id source_id, 1.0 direction, 0.0 hausdorff_m from ends where n>=2 and (lat0<>lat1 or lon0<>lon1)", "ends")
 def jn_11_symmetric_match(x):
-    return matching.match(x.ways, matching.centerline_records(x.centerline_shapes), fallback=False, symmetric=True)
+    """Ways against centerlines drawn along them, under the same unique names: seen from both sides only one's own is that near."""
+    own = x.ways.where("size(geometry) >= 2").withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string")))
+    lines = own.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.lit("no").alias("source_oneway"), F.lit("local").alias("functional_class"), F.lit(None).cast("int").alias("speed_limit"), "geometry")
+    m = matching.match(own, lines, fallback=False, symmetric=True, fuzzy=False)
+    return m.where("direction > 0.5").select("id", "source_id", geo.rounded(F.col("direction"), 6).alias("direction"), geo.rounded(F.col("hausdorff_m"), 3).alias("hausdorff_m"))
 
 
-@query()
+def diagnosed(x: Roads) -> DataFrame:
+    return matching.diagnose(x.known_ways, matching.centerline_records(x.known_centerlines))
+
+
+@query(f"select id, bucket, candidates, {r('h', 2)} hausdorff_m, {r('conf', 4)} confidence, {r('nd', 2)} nearest_distance_m from diag", "diag")
 def diag_buckets(x):
-    return matching.diagnose(x.ways, matching.centerline_records(x.centerline_shapes))
+    return diagnosed(x).select("id", "bucket", "candidates", geo.rounded(F.col("hausdorff_m"), 2).alias("hausdorff_m"), geo.rounded(F.col("confidence"), 4).alias("confidence"), geo.rounded(F.col("nearest_distance_m"), 2).alias("nearest_distance_m"))
 
 
-@query(f"select bucket, count(*) n, {r('min(h)', 1)} least_m, {r('list_sort(list(h))[count(*)//2+1]', 1)} median_m, {r('max(h)', 1)} most_m from (select id, h, case when conf>=0.85 then 'MATCHED_HIGH' when conf>=0.6 then 'MATCHED_REVIEW' else 'LOW' end bucket from best) group by 1", "best")
+@query(f"select bucket, count(*) n, {r('min(h)', 1)} least_m, {r('list_sort(list(h) filter (h is not null))[count(h)//2+1]', 1)} median_m, {r('max(h)', 1)} most_m from diag group by 1", "diag")
 def agg_4_diagnosis_summary(x):
-    m = matching.match(x.ways, matching.centerline_records(x.centerline_shapes), fallback=False, fuzzy=False)
-    b = F.when(F.col("confidence") >= 0.85, "MATCHED_HIGH").when(F.col("confidence") >= 0.6, "MATCHED_REVIEW").otherwise("LOW")
-    s = matching.diagnosis_summary(m.select(b.alias("bucket"), "hausdorff_m"))
+    s = matching.diagnosis_summary(diagnosed(x))
     return s.select("bucket", "n", *(geo.rounded(F.col(c), 1).alias(c) for c in ("least_m", "median_m", "most_m")))
 
 
+_SHARE = "floor(100.0*count(*) filter ({})/count(*)*100+0.5)/100"
+
+
+@query(
+    f"""unpivot (select cast(count(*) as double) total_ways, cast(count(*) filter (bucket='MATCHED_HIGH') as double) matched_high, cast(count(*) filter (bucket='MATCHED_REVIEW') as double) matched_review, cast(count(*) filter (bucket='MATCHED_FALLBACK_REVIEW') as double) matched_fallback_review,
+ {_SHARE.format("bucket like 'MATCHED%'")} match_rate_pct, {_SHARE.format("bucket='MATCHED_HIGH'")} auto_submit_rate_pct, {_SHARE.format("bucket in ('MATCHED_REVIEW','MATCHED_FALLBACK_REVIEW')")} review_queue_pct from diag) on columns(*) into name metric value value""",
+    "diag",
+)
+def agg_4_headline(x):
+    return matching.headline(diagnosed(x))
+
+
+@query(
+    f"""select bucket, count(*) n, {r('min(v)', 2)} least, {r('list_sort(list(v))[count(*)//2+1]', 2)} median, {r('max(v)', 2)} most from
+ (select bucket, case bucket when 'F1_NO_CANDIDATE' then nd when 'F3_GEOMETRY_FAIL' then h when 'F4_DIRECTION_DRAG' then len end v from diag) where v is not null group by 1""",
+    "diag",
+)
+def agg_4_miss_statistics(x):
+    return matching.miss_statistics(diagnosed(x))
+
+
 @query(f"""select coalesce(a.bucket,b.bucket) bucket, coalesce(a,0) a, coalesce(b,0) b, coalesce(b,0)-coalesce(a,0) delta, {r("case when coalesce(a,0)>0 then 100.0*(coalesce(b,0)-coalesce(a,0))/a when b>0 then 100.0 else 0.0 end", 3)} delta_pct from
  (select defect_class bucket, count(*) a from cls where id%2=0 and defect_class<>'C' group by 1) a full outer join (select defect_class bucket, count(*) b from cls where id%3<>0 and defect_class<>'A' group by 1) b on a.bucket=b.bucket""", "cls")
 def agg_5_jn_19_bucket_changes(x):
@@ -319,25 +350,27 @@ def win_2_history(x):
 
 
 def _matched(x: Roads) -> DataFrame:
-    m = matching.match(x.ways, matching.centerline_records(x.centerline_shapes), fallback=False, fuzzy=False)
+    m = matching.match(x.known_ways, matching.centerline_records(x.known_centerlines), fallback=False)
     code = F.when(F.col("id") % 4 == 0, "S1200").when(F.col("id") % 4 == 1, "S1400").otherwise("S1730")
     other = F.when(F.col("id") % 6 == 1, 0.9).when(F.col("id") % 6 == 2, 0.7)
-    c = classified(x).join(m.select("id", "confidence", "source_name", "source_oneway", "speed_limit"), "id", "left")
-    return c.withColumns({"other_confidence": other, "other_name": F.concat(F.lit("Other "), F.col("id").cast("string")), "other_code": code})
+    own = classified(x).drop("name").join(x.known_ways.select("id", "name"), "id")
+    c = own.join(m.select("id", "confidence", "source_name", "name_similarity", "source_oneway", "speed_limit"), "id", "left")
+    alike = F.when(F.col("id") % 5 == 0, 0.9).otherwise(0.4)
+    return c.withColumns({"other_confidence": other, "other_name": F.concat(F.lit("Other "), F.col("id").cast("string")), "other_similarity": alike, "other_code": code})
 
 
-_FIX = f"""m as (select c.id, c.name, highway, oneway, maxspeed, defect_class, coalesce(conf,0) conf, label, case when b.id is null then '' when trvl_dir=1 then 'yes' when trvl_dir=-1 then '-1' else 'no' end gt, speed, {TRUTHY} truthy,
- case c.id%6 when 1 then 0.9 when 2 then 0.7 else 0 end oc, 'Other '||cast(c.id as varchar) oname, case c.id%4 when 0 then 'primary' when 1 then null else 'service' end mapped from cls c left join best b on b.id=c.id)
+_FIX = f"""m as (select c.id, case when c.id%11<>0 then repeat('k', cast(o_custkey%9+5 as int))||repeat('x', cast(c.id%4 as int)) end nm, highway, oneway, maxspeed, defect_class, coalesce(conf,0) conf, b.label, coalesce(sim,0) sim, case when b.id is null then '' when trvl_dir=1 then 'yes' when trvl_dir=-1 then '-1' else 'no' end gt, speed, {TRUTHY} truthy,
+ case c.id%6 when 1 then 0.9 when 2 then 0.7 else 0 end oc, 'Other '||cast(c.id as varchar) oname, case c.id%4 when 0 then 'primary' when 1 then null else 'service' end mapped from cls c join orders on o_orderkey=c.id left join kbest b on b.id=c.id)
 select id, 0 n, 'remove_false_oneway' kind, 'oneway' tag, cast(null as varchar) as value, not (conf>=0.85 and gt in ('','no')) review from m where defect_class in ('A','AB') and truthy
 union all select id, 1, 'remove_oneway_cagis', 'oneway', null, conf<0.85 from m where not (defect_class in ('A','AB') and truthy) and truthy and gt in ('','no') and conf>=0.6
 union all select id, 2, 'set_oneway_cagis', 'oneway', gt, conf<0.85 from m where not (defect_class in ('A','AB') and truthy) and conf>=0.6 and gt in ('yes','-1') and coalesce(oneway,'')<>gt
-union all select id, 3, 'set_name_cagis', 'name', label, true from m where conf>=0.6 and coalesce(name,'')<>'' and {expanded("lower(trim(name))")}<>{expanded("lower(trim(label))")}
+union all select id, 3, 'set_name_cagis', 'name', label, true from m where conf>=0.6 and not (nm is not null and sim>=0.85) and nm is distinct from lower(label)
 union all select id, 4, 'set_maxspeed_cagis', 'maxspeed', cast(speed as varchar)||' mph', conf<0.85 from m where conf>=0.6 and coalesce(maxspeed,'')='' and speed is not null
-union all select id, 5, 'set_name_tiger', 'name', oname, true from m where conf<0.6 and oc>=0.85
+union all select id, 5, 'set_name_tiger', 'name', oname, true from m where conf<0.6 and oc>=0.85 and not (nm is not null and id%5=0)
 union all select id, 6, 'reclass_highway_tiger', 'highway', mapped, true from m where conf<0.6 and oc>=0.6 and mapped<>highway"""
 
 
-@query(_FIX, "cls", "best")
+@query(_FIX, "cls", "kbest")
 def fix_1_7_proposals(x):
     return fixes.proposals(_matched(x)).select("id", "n", "kind", "tag", "value", "review")
 
@@ -381,7 +414,7 @@ def agg_6_decisions(x):
 
 @query(f"select kind, count(*) n, {r('avg(delta_pct)', 2)} mean_pct, {r('max(delta_pct)', 2)} most_pct from decided where decision='real' group by 1", "decided")
 def agg_7_route_impact(x):
-    d = routes.decide(x["routes"]).where("decision = 'real'").groupBy("kind").agg(F.count("*").alias("n"), F.avg("delta_pct").cast("double").alias("mean_pct"), F.max("delta_pct").cast("double").alias("most_pct"))
+    d = routes.impact_by_kind(routes.decide(x["routes"]))
     return d.select("kind", "n", geo.rounded(F.col("mean_pct"), 2).alias("mean_pct"), geo.rounded(F.col("most_pct"), 2).alias("most_pct"))
 
 
@@ -420,7 +453,7 @@ def top_7_page(x):
 
 @query("select id, 'https://www.openstreetmap.org/way/'||cast(id as varchar) url from ways_attr", "ways_attr")
 def prj_33_urls(x):
-    return x["ways_attr"].select("id", F.concat(F.lit("https://www.openstreetmap.org/way/"), F.col("id").cast("string")).alias("url"))
+    return x["ways_attr"].select("id", reports.way_url(F.col("id")).alias("url"))
 
 
 @query("select id, replace(replace(replace(replace(replace(name||' <&>','&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&apos;') name from ways_attr", "ways_attr")
@@ -431,7 +464,7 @@ def prj_28_xml(x):
 @query("select id, case defect_class when 'AB' then 1.0 when 'A' then 0.7 else 0.4 end weight, case defect_class when 'AB' then 0 when 'A' then 1 else 2 end priority from cls", "cls")
 def prj_26_30_weight(x):
     k = F.col("defect_class")
-    return classified(x).select("id", F.when(k == "AB", 1.0).when(k == "A", 0.7).otherwise(0.4).alias("weight"), F.when(k == "AB", 0).when(k == "A", 1).otherwise(2).alias("priority"))
+    return classified(x).select("id", reports.heat_weight(k).alias("weight"), reports.priority(k).alias("priority"))
 
 
 @query("select id, name_display from cls where contains(cast(id as varchar),'77') or contains(lower(name_display),'lane') order by id limit 10", "cls")

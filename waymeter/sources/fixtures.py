@@ -111,3 +111,15 @@ class Roads:
         c = self["centerlines"]
         ends = F.array(*(F.struct(F.col("lat").alias("lat"), F.col(x).alias("lon")) for x in ("lon1", "lon2")))
         return c.withColumn("geometry", ends).drop("lat", "lon1", "lon2")
+
+    @cached_property
+    def known_ways(self) -> DataFrame:
+        """``ways`` with names whose similarity to those of :attr:`known_centerlines` is known: a run of k, then one of x; of two such the ratio is twice the shorter run of k over both lengths."""
+        key = self.table("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9 + 5).cast("int").alias("_k"))
+        name = F.when(F.col("id") % 11 != 0, F.concat(F.repeat(F.lit("k"), F.col("_k")), F.repeat(F.lit("x"), (F.col("id") % 4).cast("int"))))
+        return self.ways.join(key, "id").withColumn("name", name).drop("_k")
+
+    @cached_property
+    def known_centerlines(self) -> DataFrame:
+        label = F.concat(F.repeat(F.lit("K"), (F.col("id") % 9 + 5).cast("int")), F.repeat(F.lit("Y"), (F.col("id") % 3).cast("int")))
+        return self.centerline_shapes.withColumn("label", label)

@@ -59,6 +59,47 @@ def stops(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("stop_id", F.col("stop_name").alias("name"), number("stop_lat"), number("stop_lon")).where("lat is not null and lon is not null")
 
 
+def histories(spark: SparkSession, path: str) -> DataFrame:
+    """(way_id, version, usr, timestamp, tags, nodes) of landed histories {"elements": [versions]}, one file an element. Elements that are gone have landed as empty files or without elements and give no rows; versions that landed twice count once."""
+    shape = "elements array<struct<type:string,id:bigint,version:int,user:string,timestamp:string,visible:boolean,tags:map<string,string>,nodes:array<bigint>>>"
+    e = spark.read.text(path, wholetext=True).select(F.inline(F.from_json("value", shape)["elements"])).where("id is not null and version is not null")
+    none = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
+    rows = e.select(F.col("id").alias("way_id"), "version", F.col("user").alias("usr"), "timestamp", F.coalesce("tags", none).alias("tags"), F.coalesce("nodes", F.array().cast("array<bigint>")).alias("nodes"), F.col("type").alias("element"))
+    return rows.groupBy("element", "way_id", "version").agg(*(F.first(c).alias(c) for c in ("usr", "timestamp", "tags", "nodes")))
+
+
+def routes(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, destination, nogo, length_m, duration_s) of landed answers of a routing service, JSON lines {request: {origin, destination, nogo}, answer: GeoJSON as text}. A refusal or an answer without a track stays as a row without a length: what can't be reached is known."""
+    raw = spark.read.text(path)
+    shape = "request struct<origin:string,destination:string,nogo:string>, answer string"
+    said = raw.select(F.from_json("value", shape).alias("r")).where("r.request is not null")
+    track = F.get(F.from_json("r.answer", "features array<struct<properties:map<string,string>>>")["features"], F.lit(0))["properties"]
+    value = lambda k: F.try_element_at(track, F.lit(k)).try_cast("double")
+    return said.select("r.request.origin", "r.request.destination", F.coalesce("r.request.nogo", F.lit("")).alias("nogo"), value("track-length").alias("length_m"), value("total-time").alias("duration_s"))
+
+
+def rings(spark: SparkSession, path: str) -> DataFrame:
+    """(zone, rings) of GeoJSON polygons, one file a zone: rings of struct<lat, lon>, of all polygons in one array, to be counted across."""
+    shape = "features array<struct<geometry:struct<type:string,coordinates:string>>>, geometry struct<type:string,coordinates:string>"
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]*)\.[^./]*$", 1).alias("zone"), F.from_json("value", shape).alias("f"))
+    each = raw.select("zone", F.explode(F.coalesce(F.transform("f.features", lambda x: x["geometry"]), F.array("f.geometry"))).alias("g")).where("g is not null")
+    one, many = F.from_json("g.coordinates", "array<array<array<double>>>"), F.from_json("g.coordinates", "array<array<array<array<double>>>>")
+    spots = lambda ring: F.transform(ring, lambda p: geo.point(p[1], p[0]))
+    got = F.when(F.col("g.type") == "Polygon", F.transform(one, spots)).when(F.col("g.type") == "MultiPolygon", F.transform(F.flatten(many), spots))
+    return each.select("zone", got.alias("rings")).where("rings is not null").groupBy("zone").agg(F.flatten(F.collect_list("rings")).alias("rings"))
+
+
+def manifests(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame] | None:
+    """The two newest of baseline folders, the older first, by the time that their newest file was written; None of fewer than two."""
+    if len(paths) < 2:
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "modificationTime")
+    of = lambda p: F.max(F.when(F.col("path").contains(p.removeprefix("file:").rstrip("/") + "/"), F.col("modificationTime")))
+    times = files.agg(*(of(p).alias(f"t{i}") for i, p in enumerate(paths))).first()
+    newest = sorted((t, p) for t, p in zip(times, paths, strict=True) if t is not None)[-2:]
+    return tuple(spark.read.parquet(p) for _, p in newest) if len(newest) == 2 else None
+
+
 def issue_elements(ids: Column) -> Column:
     """array<struct<type, id>> from "way1/way2" texts as QA services give them: '["way/123", "node/4"]'."""
     said = F.from_json(ids, "array<string>")
