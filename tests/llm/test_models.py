@@ -217,6 +217,30 @@ def test_chat_odd(spark):
     check_chat(spark.createDataFrame([], CONVERSATIONS))
 
 
+def test_long_and_hot_conversations(spark, monkeypatch):
+    """A conversation over several range partitions, shared beginnings and ends, and keys of more than a few rows joined by broadcast."""
+    monkeypatch.setattr(chat, "HOT", 6)
+    role = lambda i: "user" if i % 2 == 0 else "assistant"
+    rows = [(0, i, role(i), chr(97 + i % 26), "n") for i in range(400)]
+    for c in range(1, 31):
+        shared = (c * 13) % 60
+        rows += [(c, i, role(i), chr(97 + i % 26) if i < shared else f"own {c % 7} {i}", "n") for i in range(shared + c % 3 + 1)]
+    df = spark.createDataFrame(rows, CONVERSATIONS).repartition(8)
+    nodes = check_chat(df)
+    assert chat.steps_of(df).groupBy("conv_id").count().where("count = 400").count() == 1
+    # a long conversation's nodes have few intervals: one for each place where others leave it, at most
+    assert max(len(r.ancestors) for r in nodes.collect()) < 70
+
+
+def test_twenty_thousand_turns(spark):
+    df = spark.range(20_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("x").alias("text"), F.lit("n").alias("node"))
+    nodes, members = chat.prefix_tree(df)
+    r = chat.read_back(nodes, members).collect()
+    assert len(r) == 1 and r[0].n_turns == 20_000 and r[0].loss_chars == 10_000
+    spot = nodes.agg(F.max("start"), F.sum("n_tokens"), F.max(F.size("ancestors"))).first()
+    assert spot[0] + 5 == spot[1] and spot[2] == 1
+
+
 def test_template_round_trip():
     turns = [("user", "hi"), ("assistant", "a</s>b"), ("assistant", ""), ("tool", "[INST]"), ("user", "\\")]
     assert chat.parse_turns("".join(chat.format_turn(*t)[0] for t in turns)) == turns

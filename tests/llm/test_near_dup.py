@@ -73,6 +73,19 @@ def test_chains_and_large_groups(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_large_buckets_block_by_block(spark, documents, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 2)
+    check(documents)
+
+
+def test_texts_of_one_id(spark):
+    """Rows of one id with other texts: links of each of them count."""
+    base = [f"a{i} b{i} c{i} d{i}" for i in range(4)]
+    texts = [" ".join(f"{b} {k}" for k in range(40)) for b in base]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1] + " more words"), (3, texts[0] + " other words"), (4, texts[2]), (5, texts[2] + " x"), (5, texts[3]), (6, texts[3] + " y z")]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_sketch_fills_and_agrees():
     rng = np.random.default_rng(1)
     for n in (1, 2, 9, 400, 5000):

@@ -55,6 +55,21 @@ def test_small_vocabulary(spark):
     check(spark.createDataFrame([(i, " ".join(rng.choice("ab") for _ in range(200))) for i in range(30)], "doc_id long, text string"))
 
 
+def test_hot_lines_over_many_chunks(spark):
+    """A line in every document, and passages in some, over several chunks of one task: what the task remembers changes nothing."""
+    rng = random.Random(7)
+    word = lambda: f"v{rng.randrange(10**7)}"
+    hot, some = " ".join(word() for _ in range(25)), [" ".join(word() for _ in range(30)) for _ in range(5)]
+    text = lambda i: " ".join([*(word() for _ in range(900)), hot, *(word() for _ in range(i % 40)), some[i % 5] if i % 3 else "", *(word() for _ in range(300)), hot])
+    ids = list(range(250))
+    rng.shuffle(ids)
+    df = spark.createDataFrame([(i, text(i)) for i in ids], "doc_id long, text string").coalesce(1)
+    assert sum(len(r.text) for r in df.collect()) > 2 * substring_dedup.CHUNK
+    check(df)
+    marks = df.select(F.col("doc_id").alias("uid"), F.col("text").alias("t")).select("uid", "t").mapInArrow(substring_dedup._anchors, "h long, id long, p int")
+    assert marks.groupBy("h").count().agg(F.max("count")).first()[0] <= 4
+
+
 def test_cover():
     d = substring_dedup
     assert all(any((i + s) % d.PERIOD in d.COVER and (j + s) % d.PERIOD in d.COVER for s in range(d.PERIOD)) for i in range(d.PERIOD) for j in range(d.PERIOD))
