@@ -35,6 +35,8 @@ FIT_ROWS = 6000
 #: Bytes of features (of those that are evidence) that the fit takes at most; rows beyond it, in the order of their hashes, are left out.
 FIT_BYTES = 128 << 20
 BITS, STEPS, RATE, L2, PAIRING, DROP = 22, 400, 0.1, 1e-4, 5.0, 0.2
+#: Words, of up to 32 characters, that a scoring task remembers.
+WORDS_HELD = 1 << 18
 #: Letters of the beginnings of words.
 PREFIXES = (4, 5, 6, 7)
 #: Standard errors by which a feature's log-odds ratio must differ from 0 to be evidence.
@@ -66,34 +68,70 @@ def _other(term: str) -> str:
     return group[(group.index(term) + 1 + xxhash.xxh32_intdigest(term) % (len(group) - 1)) % len(group)]
 
 
-def _hash(kind: str, x: str) -> int:
-    return xxhash.xxh64_intdigest(kind + x)
+def _hash(kind: str, x: str) -> bytes:
+    return xxhash.xxh64_digest(kind + x)
 
 
 def _parts(word: str) -> bytes:
     """Hashes of a word and of its beginnings, packed."""
-    return np.array([_hash("w", word), *(_hash("p", word[:k]) for k in PREFIXES if len(word) > k)], U).tobytes()
+    return b"".join([_hash("w", word), *[_hash("p", word[:k]) for k in PREFIXES if len(word) > k]])
 
 
 _parts_of_short = lru_cache(maxsize=1 << 16)(_parts)
 
 
-def _surface(text: str) -> list[int]:
+def _surface(text: str) -> bytes:
     """Which of three marks the text shows: runs of symbols, words in capitals, a word said again at once."""
     said = text.split()
     marks = (("symbols", len(_SYMBOLS.findall(text))), ("capitals", sum(map(str.isupper, said))), ("repeats", sum(map(eq, said, said[1:]))))
-    return [_hash("s", name) for name, found in marks if said and found >= OFTEN * len(said)]
+    return b"".join([_hash("s", name) for name, found in marks if said and found >= OFTEN * len(said)])
 
 
-def _features_of(vocabulary: set[str], surface: list[int]) -> np.ndarray:
-    long = {w for w in vocabulary if len(w) > 32}
-    h, n = np.unique(np.frombuffer(b"".join([*map(_parts_of_short, vocabulary - long), *map(_parts, long)]), U), return_counts=True)
-    found = np.concatenate([h, mix(h[n > 1], 2), mix(h[n > 2], 3), np.array(surface, U)])
+def _numbers(parts: bytes, surface: bytes) -> np.ndarray:
+    """Of the hashes of a vocabulary's parts the features: each part, and the parts that two or three words share."""
+    h, n = np.unique(np.frombuffer(parts, U), return_counts=True)
+    found = np.concatenate([h, mix(h[n > 1], 2), mix(h[n > 2], 3), np.frombuffer(surface, U)])
     return np.unique(found & U((1 << BITS) - 1)).astype(np.int32)
 
 
+def _features_of(vocabulary: set[str], surface: bytes) -> np.ndarray:
+    long = {w for w in vocabulary if len(w) > 32}
+    return _numbers(b"".join([*map(_parts_of_short, vocabulary - long), *map(_parts, long)]), surface)
+
+
+class _Telling(dict):
+    """For a model, of each word the parts that have a weight, alone or shared: the others change no score."""
+
+    def __init__(self, weights: np.ndarray) -> None:
+        super().__init__()
+        self.told = weights != 0
+
+    def learn(self, words: list[str]) -> None:
+        parts = [_parts(w) for w in words]
+        h = np.frombuffer(b"".join(parts), U)
+        mask = U((1 << BITS) - 1)
+        keep = self.told[h & mask] | self.told[mix(h, 2) & mask] | self.told[mix(h, 3) & mask]
+        ends = np.cumsum([len(p) // 8 for p in parts])
+        some = np.unique(np.searchsorted(ends, np.flatnonzero(keep), "right"))
+        self.update(dict.fromkeys(words, b""))
+        for i in some.tolist():
+            own = slice(ends[i] - len(parts[i]) // 8, ends[i])
+            self[words[i]] = h[own][keep[own]].tobytes()
+
+    def features(self, text: str) -> np.ndarray:
+        vocabulary = set(_TOKEN.findall(text.lower()))
+        if len(self) > WORDS_HELD:
+            self.clear()
+        if new := list(vocabulary - self.keys()):
+            self.learn(new)
+        found = _numbers(b"".join(map(self.__getitem__, vocabulary)), _surface(text))
+        for w in [w for w in new if len(w) > 32]:
+            del self[w]
+        return found
+
+
 #: Features that are always learnt: of identity terms and of the surface.
-KEPT = np.unique(np.concatenate([np.frombuffer(b"".join(map(_parts, _TERMS)), U), np.array([_hash("s", m) for m in ("symbols", "capitals", "repeats")], U)]) & U((1 << BITS) - 1)).astype(np.int32)
+KEPT = np.unique(np.frombuffer(b"".join([*map(_parts, _TERMS), *(_hash("s", m) for m in ("symbols", "capitals", "repeats"))]), U) & U((1 << BITS) - 1)).astype(np.int32)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -132,9 +170,16 @@ class _Rows:
         return np.bincount(self.cols, np.repeat(g, np.diff(self.at)), self.n)
 
 
+def _places(found: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in ``use``, sorted and not empty, those of ``found`` are that it holds, and which of ``found`` they are."""
+    at = np.minimum(np.searchsorted(use, found), len(use) - 1)
+    held = use[at] == found
+    return at[held], held
+
+
 def _only(rows: list[bytes], use: np.ndarray) -> _Rows:
     """Of ``rows`` the columns in ``use``, which is sorted, numbered anew; a row's others are never held as numbers beside those of other rows."""
-    return _Rows([np.flatnonzero(np.isin(use, np.frombuffer(x, np.int32))).astype(np.int32) for x in rows], len(use))
+    return _Rows([_places(np.frombuffer(x, np.int32), use)[0].astype(np.int32) for x in rows], len(use))
 
 
 def evidence(up, down, toxic, others, m=np):
@@ -204,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, c = ([(f := np.frombuffer(v.as_buffer(), np.int32))[np.isin(f, use.value)].tobytes() for v in column] for column in batch.columns[2:])
+            x, c = ([(f := np.frombuffer(v.as_buffer(), np.int32))[_places(f, use.value)[1]].tobytes() for v in column] for column in batch.columns[2:])
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.binary()), pa.array(c, pa.binary())], ["y", "k", "x", "c"])
 
     rows = materialise(every.mapInArrow(told, every.schema), "evidence")
@@ -233,8 +278,9 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", carry: l
         size, at, values = model.value
         w = np.zeros(size, np.float32)
         w[at] = values
+        telling = _Telling(w[:-1])
         for batch in batches:
-            z = np.array([w[features(t.as_py())].sum(dtype=float) + w[-1] for t in batch.column(1)], float)
+            z = np.array([w[telling.features(t.as_py() or "")].sum(dtype=float) + w[-1] for t in batch.column(1)], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["row", "score"])
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns)).alias("row"), F.col(text_col).alias("_text"))
