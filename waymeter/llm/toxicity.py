@@ -122,7 +122,7 @@ class _Telling(dict):
         vocabulary = set(_TOKEN.findall(text.lower()))
         if len(self) > WORDS_HELD:
             self.clear()
-        if new := list(vocabulary - self.keys()):
+        if new := [w for w in vocabulary if w not in self]:
             self.learn(new)
         found = _numbers(b"".join(map(self.__getitem__, vocabulary)), _surface(text))
         for w in [w for w in new if len(w) > 32]:
