@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +54,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's context cleaner drop, in the background, shuffle files that no live DataFrame refers to, once their results are in a table."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's context cleaner drop shuffle files that no live DataFrame refers to, once their results are in a table.
+
+    Twice: a plan is only unreachable when the listeners have let go of it too. Without the pauses the files of one step still lie
+    beside those of the next.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def discard(*tables: DataFrame) -> None:
