@@ -109,7 +109,7 @@ def fallback_pairs(ways: DataFrame, centerlines: DataFrame, fuzzy: bool = True)
     return out.withColumn("confidence", F.least("confidence", F.lit(REVIEW)))
 
 
-def nearest_lines(ways: DataFrame, centerlines: DataFrame, rings: tuple[float, ...] = (0.002, 0.016, 0.13, 1.0)) -> DataFrame:
+def nearest_lines(ways: DataFrame, centerlines: DataFrame, rings: tuple[float, ...] = (0.002, 0.005, 0.0125, 0.03, 0.08, 0.2, 0.5, 1.25)) -> DataFrame:
     """(id, nearest_distance_m): the least distance of a way's vertices from the centerlines nearest to its first, middle and last one. Rings, in degrees, widen for ways that have found none; beyond the last there is none."""
     out, rest = None, ways
     for reach in rings:
@@ -117,7 +117,9 @@ def nearest_lines(ways: DataFrame, centerlines: DataFrame, rings: tuple[float, .
         least = F.array_min(F.transform("geometry", lambda p: geo.line_distance(p, F.col("source"))))
         found = written(found.groupBy("id").agg(F.min(least).alias("nearest_distance_m")), "nearest")
         out = found if out is None else out.unionByName(found)
-        rest = rest.join(found.select("id"), "id", "left_anti")
+        rest = written(rest.select("id", "name", "geometry").where("size(geometry) >= 2").join(found.select("id"), "id", "left_anti"), "rest")
+        if rest.isEmpty():
+            break
     return out
 
 
