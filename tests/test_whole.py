@@ -73,3 +73,15 @@ def test_nearest_anywhere(spark):
     for i, lat, lon in a:
         d, k = min((hav((lat, lon), q[1:]), q[0]) for q in b)
         assert got[i][0] == k and abs(got[i][1] - d) < 1e-3
+
+
+def test_budget_of_what_the_cap_leaves(spark):
+    from waymeter.operators import feeds
+
+    usage = spark.createDataFrame([("2024-01", 1000), ("2024-02", 4000), ("2024-03", 4999)], "month string, used long")
+    got = lambda *a: [tuple(r) for r in feeds.budget(usage, *a).collect()]
+    assert got("2024-01-11") == [("2024-01", 3000, 21, 142)]
+    assert got("2024-01-31", 3001) == [("2024-01", 3000, 1, 3000, False, 300100.0 / 3000)]
+    assert got("2024-02-29", 1) == [("2024-02", 0, 1, 0, False, math.inf)]
+    assert got("2024-03-01", 1) == [("2024-03", 0, 31, 0, False, math.inf)]
+    assert got("2024-04-01", 1) == []

@@ -38,14 +38,17 @@ def newest(files: DataFrame, group: str, keep: int = 3) -> DataFrame:
     return files.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("mtime"), "path"))).where(F.col("_r") <= keep).drop("_r")
 
 
-def budget(quota: DataFrame, today: str, calls: int | None = None) -> DataFrame:
-    """``quota`` (month, remaining) of the month of ``today`` (yyyy-MM-dd) with days_left, today among them, per_day and, for a run of ``calls``, fits and its share of what remains in per cent (null of nothing)."""
+def budget(usage: DataFrame, today: str, calls: int | None = None, quota: int = 5000, share: float = 0.8) -> DataFrame:
+    """For the month of ``today`` (yyyy-MM-dd) in ``usage`` (month, used): what remains of ``share`` of the quota, days_left, today among them, per_day and, for a run of ``calls``, fits and its share of what remains in per cent (infinite of nothing)."""
     day = F.lit(today).cast("date")
     left = F.datediff(F.last_day(day), day) + 1
-    out = quota.where(F.col("month") == F.date_format(day, "yyyy-MM")).select("month", "remaining", left.alias("days_left"), F.floor(F.col("remaining") / left).alias("per_day"))
+    month = usage.where(F.col("month") == F.date_format(day, "yyyy-MM"))
+    out = month.select("month", F.greatest(F.lit(int(quota * share)) - F.col("used"), F.lit(0)).cast("long").alias("remaining"))
+    out = out.select("month", "remaining", left.alias("days_left"), F.floor(F.col("remaining") / left).alias("per_day"))
     if calls is None:
         return out
-    return out.withColumns({"fits": F.col("remaining") >= calls, "share_pct": F.try_divide(F.lit(100.0 * calls), F.col("remaining"))})
+    part = F.when(F.col("remaining") == 0, float("inf")).otherwise(F.try_divide(F.lit(100.0 * calls), F.col("remaining")))
+    return out.withColumns({"fits": F.col("remaining") >= calls, "share_pct": part})
 
 
 def once(rows: DataFrame, key: str, order: str) -> DataFrame:

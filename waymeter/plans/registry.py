@@ -473,7 +473,11 @@ def flt_19_search(x):
     return c.where(F.col("id").cast("string").contains("77") | F.lower("name_display").contains("lane")).orderBy("id").limit(10).select("id", "name_display")
 
 
-@query()
+@query(
+    """select c.id, '{"type":"Feature","geometry":{"type":"LineString","coordinates":['||line||']},"properties":{"id":'||cast(c.id as varchar)||',"name":'||cast(to_json(name_display) as varchar)||',"defect_class":"'||defect_class||'"}}' as line
+ from cls c join (select id, string_agg('['||cast(lon as varchar)||','||cast(lat as varchar)||']', ',' order by i) as line from way_vertices group by 1) v on v.id=c.id""",
+    "cls", "way_vertices",
+)
 def snk_6_feature_lines(x):
     return reports.feature_lines(classified(x))
 

@@ -221,10 +221,11 @@ def snk_8_csv_export(x):
     return reports.csv_line(reports.exported(c))
 
 
-@query("select month, remaining, 31-k+1 days_left, remaining//(31-k+1) per_day, remaining>=900 fits, floor(90000.0/remaining*100+0.5)/100 share_pct from (select strftime(ts,'%Y-%m') as month, greatest(5000-count(*),0) remaining, 11 k from events group by 1) where month='2024-01'")
+@query("select month, remaining, 31-k+1 days_left, remaining//(31-k+1) per_day, remaining>=900 fits, case when remaining=0 then cast('infinity' as double) else floor(90000.0/remaining*100+0.5)/100 end share_pct from (select strftime(ts,'%Y-%m') as month, greatest(4000-count(*),0) remaining, 11 k from events group by 1) where month='2024-01'")
 def win_8_budget(x):
     b = feeds.budget(feeds.monthly_quota(x.table("events")), "2024-01-11", 900)
-    return b.withColumn("share_pct", geo.rounded(F.col("share_pct").cast("double"), 2))
+    share = F.col("share_pct")
+    return b.withColumn("share_pct", F.when(F.col("remaining") == 0, share).otherwise(geo.rounded(share, 2)))
 
 
 _IN = " + ".join(f"case when ({a[0]}>lat)<>({b[0]}>lat) and lon<{a[1]}+(lat-{a[0]})*({b[1]}-({a[1]}))/nullif({b[0]}-{a[0]},0) then 1 else 0 end" for ring in RINGS for a, b in zip(ring, ring[1:], strict=False))
