@@ -73,4 +73,24 @@ later as (select doc_id, i from (select doc_id, i, row_number() over (partition
 gone as (select doc_id, list(distinct p) ps from (select doc_id, unnest(range(i, i+20)) p from later) group by 1)
 select doc_id, len(w) n_words, coalesce(len(ps),0) n_removed, sha256(coalesce(array_to_string(case when ps is null then w else list_filter(w, lambda x, i: not list_contains(ps, i)) end, ' '),'')) kept_sha256 from w left join gone using(doc_id)"""
 
-ORACLES = {"op1_license_scan": OP1, "op3_minhash_near_dedup": OP3, "op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7, "op8_nearest_neighbours": OP8, "op10_substring_dedup": OP10}
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x)))=0"
+
+
+def _lloyd(rounds: int) -> str:
+    out = f"""with q as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(256*cast(x as double)) as bigint)) q from embeddings where {_FINITE}),
+p as (select vec_id, pos, list_slice(q, pos*w+1, pos*w+w) part from (select vec_id, q, len(q)//16 w, unnest(range(16)) pos from q)),
+b0 as (select pos, row_number() over (partition by pos order by vec_id)-1 entry, part c from p qualify entry<64)"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} as (select vec_id, pos, any_value(part) part, arg_min(entry, (far, entry)) entry, min(far) far from (select vec_id, pos, part, entry, list_sum(list_transform(list_zip(part, c), lambda z: (z[1]-z[2])*(z[1]-z[2]))) far from p join b{r} using(pos)) group by vec_id, pos)"""
+        if r < rounds:
+            out += f""",
+m{r} as (select pos, entry, list((s-((s%n)+n)%n)//n order by j) c from (select pos, entry, j, cast(sum(part[j]) as bigint) s, count(*) n from (select *, unnest(range(1, len(part)+1)) j from a{r}) group by all) group by all),
+b{r + 1} as (select pos, entry, coalesce(m{r}.c, b{r}.c) c from b{r} left join m{r} using(pos, entry))"""
+    return f"""{out},
+e as (select vec_id, string_agg(printf('%02x', entry), '' order by pos) code, cast(sum(far) as bigint) error from a{rounds} group by 1),
+k as (select sha256(string_agg(array_to_string(c, ','), ',' order by pos, entry)) codebooks_sha256 from b{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, codebooks_sha256 from e join q using(vec_id), k"""
+
+
+ORACLES = {"op1_license_scan": OP1, "op3_minhash_near_dedup": OP3, "op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7, "op8_nearest_neighbours": OP8, "op10_substring_dedup": OP10, "op11_vector_codes": _lloyd(2)}
