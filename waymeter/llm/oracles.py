@@ -92,5 +92,11 @@ e as (select vec_id, string_agg(printf('%02x', entry), '' order by pos) code, ca
 k as (select sha256(string_agg(array_to_string(c, ','), ',' order by pos, entry)) codebooks_sha256 from b{rounds})
 select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, codebooks_sha256 from e join q using(vec_id), k"""
 
+OP12 = f"""with v as (select vec_id id, case when vec_id%7=0 then (label+1)%10 else label end as l, list_transform(embedding, lambda x: cast(floor(256*cast(x as double)) as bigint)) q from embeddings where label is not null and {_FINITE}),
+s as (select a.id a, b.id b, a.l=b.l same, cast(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1]*z[2])) as bigint) s from v a join v b on a.id<>b.id where a.id%50=0),
+p as (select a, b positive_id, s positive_score from s where same qualify row_number() over (partition by a order by s desc, b)<=5),
+n as (select a, positive_id, positive_score, b, s, row_number() over (partition by a, positive_id order by s desc, b) k from p join s using(a) where not same and 50*positive_score<=100*s and 100*s<=95*positive_score)
+select a anchor_id, positive_id, cast(k as int) rank, b negative_id, positive_score, s negative_score from n where k<=3"""
 
-ORACLES = {"op1_license_scan": OP1, "op3_minhash_near_dedup": OP3, "op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7, "op8_nearest_neighbours": OP8, "op10_substring_dedup": OP10, "op11_vector_codes": _lloyd(2)}
+
+ORACLES = {"op1_license_scan": OP1, "op3_minhash_near_dedup": OP3, "op5_benchmark_decontamination": OP5, "op7_chat_formatting": OP7, "op8_nearest_neighbours": OP8, "op10_substring_dedup": OP10, "op11_vector_codes": _lloyd(2), "op12_hard_negatives": OP12}

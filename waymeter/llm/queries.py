@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, codes, decontaminate, html_text, licences, near_dup, neighbours, shard, substring_dedup, toxicity
+from . import bpe, chat, codes, decontaminate, html_text, licences, near_dup, negatives, neighbours, shard, substring_dedup, toxicity
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -80,7 +80,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.with_label_error(out.rows).select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return negatives.mine(negatives.prepared(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_two_pass_sharding, op3_minhash_near_dedup, op4_toxicity, op5_benchmark_decontamination, op5_proximity_decontamination, op6_html_extraction, op7_chat_formatting, op8_nearest_neighbours, op9_byte_bpe, op10_substring_dedup, op11_vector_codes)
+    for f in (op1_license_scan, op2_two_pass_sharding, op3_minhash_near_dedup, op4_toxicity, op5_benchmark_decontamination, op5_proximity_decontamination, op6_html_extraction, op7_chat_formatting, op8_nearest_neighbours, op9_byte_bpe, op10_substring_dedup, op11_vector_codes, op12_hard_negatives)
 }
