@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, codes, decontaminate, html_text, licences, near_dup, negatives, neighbours, shard, substring_dedup, toxicity
+from . import bpe, chat, codes, decontaminate, html_text, kneser_ney, licences, near_dup, negatives, neighbours, shard, substring_dedup, toxicity
 from .common import read
 from .oracles import ORACLES  # noqa: F401
 
@@ -85,7 +85,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(negatives.prepared(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    docs = read(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(~held_out))
+    out = kneser_ney.score(docs.select("doc_id", "text", held_out.alias("held_out")), model, ["doc_id", "held_out"])
+    return out.select("row.doc_id", "row.held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_two_pass_sharding, op3_minhash_near_dedup, op4_toxicity, op5_benchmark_decontamination, op5_proximity_decontamination, op6_html_extraction, op7_chat_formatting, op8_nearest_neighbours, op9_byte_bpe, op10_substring_dedup, op11_vector_codes, op12_hard_negatives)
+    for f in (op1_license_scan, op2_two_pass_sharding, op3_minhash_near_dedup, op4_toxicity, op5_benchmark_decontamination, op5_proximity_decontamination, op6_html_extraction, op7_chat_formatting, op8_nearest_neighbours, op9_byte_bpe, op10_substring_dedup, op11_vector_codes, op12_hard_negatives, op13_lm_scores)
 }
