@@ -1,6 +1,6 @@
 """Realtime transit feeds: landed protobuf messages as rows of vehicle positions and trip updates, by file, in Arrow batches.
 
-The messages are read by field number; only the fields asked for are decoded.
+The messages are read by field number; only the fields asked for are decoded. A message that can't be read gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             yield tag >> 3, varint()
             continue
         size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        if at + size > len(data):
+            raise ValueError("cut off")
         yield tag >> 3, data[at : at + size]
         at += size
 
@@ -98,6 +100,44 @@ def updates_of(message: bytes) -> Iterator[dict]:
         yield {"trip_id": _get(trip, 1, _text), "route_id": _get(trip, 5, _text), "vehicle_id": _get(who, 1, _text), "timestamp": _get(u, 4, _positive), "stop_time_updates": stops}
 
 
+def rows_of(of: Callable[[bytes], Iterator[dict]], data: bytes) -> list[dict] | None:
+    """All that a message holds; None if it can't be read, be it in part."""
+    try:
+        return list(of(data))
+    except (IndexError, KeyError, ValueError, TypeError, OverflowError, AttributeError):
+        return None
+
+
+def _number(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(n: int, value: int | float | str | bytes | None) -> bytes:
+    """A field of a message: whole numbers as varints, others as 32-bit floats, texts and messages by length; nothing for null."""
+    if value is None:
+        return b""
+    if isinstance(value, int):
+        return _number(n << 3) + _number(value & (2**64 - 1))
+    if isinstance(value, float):
+        return _number(n << 3 | 5) + struct.pack("<f", value)
+    data = value.encode() if isinstance(value, str) else value
+    return _number(n << 3 | 2) + _number(len(data)) + data
+
+
+def vehicles_message(rows: list[dict]) -> bytes:
+    """A feed message of vehicle positions, the reverse of :func:`vehicles_of`."""
+    out = _field(1, _field(1, "2.0"))
+    for k, r in enumerate(rows):
+        trip = _field(1, r.get("trip_id")) + _field(5, r.get("route_id"))
+        place = b"".join(_field(n, r.get(c)) for n, c in ((1, "lat"), (2, "lon"), (3, "bearing"), (5, "speed")))
+        vehicle = _field(1, trip) + _field(2, place) + _field(4, r.get("current_status")) + _field(5, r.get("timestamp")) + _field(7, r.get("stop_id")) + _field(8, _field(1, r.get("vehicle_id"))) + _field(9, r.get("occupancy"))
+        out += _field(2, _field(1, str(k)) + _field(4, vehicle))
+    return out
+
+
 def _read(spark: SparkSession, path: str, of: Callable[[bytes], Iterator[dict]], schema: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -108,7 +148,7 @@ def _read(spark: SparkSession, path: str, of: Callable[[bytes], Iterator[dict]],
         kind = to_arrow_schema(StructType.fromJson(wanted))
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist([{"file": name} | r for r in of(data)], kind)
+                yield pa.RecordBatch.from_pylist([{"file": name} | r for r in rows_of(of, data) or []], kind)
 
     full = f"file string, {schema}"
     wanted = spark.createDataFrame([], full).schema.jsonValue()
