@@ -10,9 +10,9 @@ from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..functions.ranking import numbered
-from ..functions.tables import written
+from ..functions.tables import discard, written
 from ..functions.text import blank, norm_name, plain_similarity, with_similarity
-from .spatial import overlapping
+from .spatial import nearest_segments, overlapping, planar
 
 # Fixed values.
 BUFFER_M, FALLBACK_M, HIGH, REVIEW, NAME_MATCH = 30.0, 100.0, 0.85, 0.60, 0.85
@@ -50,28 +50,39 @@ def _similar(pairs: DataFrame, fuzzy: bool) -> DataFrame:
     return pairs.withColumn("name_similarity", F.coalesce(plain_similarity(F.col("_n1"), F.col("_n2")), F.lit(0.0))).drop("_n1", "_n2")
 
 
+def candidates(ways: DataFrame, centerlines: DataFrame, within_m: float = BUFFER_M, symmetric: bool = False) -> DataFrame:
+    """(id, name, centerlines' columns, hausdorff_m, direction) of every way and centerline whose envelopes are near, written: distances are measured once, whoever asks, and geometry goes no further."""
+    own = written(ways.where(F.size("geometry") >= 2).select("id", "name", "geometry"), "lines")
+    cols = [c for c in centerlines.columns if c != "geometry"]
+    pairs = overlapping(own, centerlines, within_m / geo.BUFFER_DEGREE_M, cols)
+    metric = geo.hausdorff if symmetric else geo.directed_hausdorff
+    out = written(_measured(pairs, metric), "candidates")
+    discard(own)
+    return out
+
+
+def _measured(pairs: DataFrame, metric=geo.directed_hausdorff) -> DataFrame:
+    g, s = F.col("geometry"), F.col("source")
+    return pairs.withColumns({"hausdorff_m": metric(g, s), "direction": geo.alignment(geo.unit_vector(g), geo.unit_vector(s))}).drop("geometry", "source")
+
+
 def scored_pairs(ways: DataFrame, centerlines: DataFrame, within_m: float = BUFFER_M, symmetric: bool = False, fuzzy: bool = True) -> DataFrame:
-    """Every way and centerline whose envelopes are near: hausdorff_m, name_similarity, direction, confidence (null if too far apart), passes.
+    """:func:`candidates` with name_similarity, confidence (null if too far apart) and passes.
 
     ``fuzzy`` false rates names 1 or 0, without the ratio of unequal names.
     """
-    own = ways.where(F.size("geometry") >= 2).select("id", "name", "geometry")
-    cols = [c for c in centerlines.columns if c != "geometry"]
-    pairs = overlapping(own, centerlines, within_m / geo.BUFFER_DEGREE_M, cols)
-    metric = geo.hausdorff if symmetric else geo.directed_hausdorff
-    pairs = pairs.withColumn("hausdorff_m", metric(F.col("geometry"), F.col("source")))
-    return scores(_similar(pairs, fuzzy), within_m)
+    return scores(_similar(candidates(ways, centerlines, within_m, symmetric), fuzzy), within_m)
 
 
 def scores(pairs: DataFrame, within_m: float) -> DataFrame:
-    pairs = pairs.withColumns({"direction": geo.alignment(geo.unit_vector(F.col("geometry")), geo.unit_vector(F.col("source"))), "passes": F.col("hausdorff_m") <= within_m})
+    pairs = pairs.withColumn("passes", F.col("hausdorff_m") <= within_m)
     n, g, d = WEIGHTS
     conf = n * F.col("name_similarity") + g * (1 - F.col("hausdorff_m") / within_m) + d * F.col("direction")
     return pairs.withColumn("confidence", F.when(F.col("passes"), conf))
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    cols = [c for c in pairs.columns if c not in ("id", "name", "geometry", "source")]
+    cols = [c for c in pairs.columns if c not in ("id", "name")]
     best = pairs.where("passes").groupBy("id").agg(F.max_by(F.struct(*cols), F.struct("confidence", (-F.col("source_id")).alias("o"))).alias("b"))
     return best.select("id", "b.*")
 
@@ -81,19 +92,26 @@ def sampled_places(line: Column) -> Column:
     return F.array_distinct(F.array(F.lit(0), F.floor(F.size(line) / 2).cast("int"), F.size(line) - 1))
 
 
+def _probes(ways: DataFrame, *more: Column | str) -> DataFrame:
+    """(id, at, lat, lon, more): the sampled vertices of ways with two or more. A short way's middle vertex may be its first or last: each place is looked at once."""
+    at = lambda i: F.struct(i.alias("at"), F.get("geometry", i).alias("p"))
+    own = ways.where(F.size("geometry") >= 2)
+    return own.select("id", *more, F.inline(F.transform(sampled_places(F.col("geometry")), at))).select("id", "at", "p.lat", "p.lon", *(m if isinstance(m, str) else "_reach" for m in more))
+
+
 def _sampled(ways: DataFrame, centerlines: DataFrame, reach: Column, cell: float) -> DataFrame:
-    """(ways' id, name, geometry, centerlines' columns, source): the centerlines nearest, in degrees, to a way's first, middle and last vertex, as far as ``reach`` degrees; ties to the smaller source_id, each centerline once."""
-    own = ways.where(F.size("geometry") >= 2).select("id", "name", "geometry")
-    cols = [c for c in centerlines.columns if c != "geometry"]
-    line, g = F.col("source"), F.col("geometry")
-    away = lambda p: F.array_min(F.transform(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), lambda b, i: _planar(p, F.get(line, i), b)))
-    near = overlapping(own.withColumn("_reach", reach), centerlines, F.col("_reach"), cols, cell)
-    at = lambda i: F.struct(i.alias("at"), F.get(g, i).alias("p"))
-    # a short way's middle vertex may be its first or last: each place is looked at once
-    probes = near.select("*", F.inline(F.transform(sampled_places(g), at))).withColumn("away", away(F.col("p"))).where(F.col("away") <= F.col("_reach"))
-    whole = F.struct("name", "geometry", "source", *cols)
-    nearest = probes.groupBy("id", "at").agg(F.min_by(whole, F.struct("away", "source_id")).alias("b"))
-    return nearest.groupBy("id", F.col("b.source_id").alias("_s")).agg(F.first("b").alias("b")).select("id", "b.*")
+    """(id, source_id): the centerlines nearest, in degrees, to a way's first, middle and last vertex, as far as ``reach`` degrees; ties to the smaller source_id, each centerline once."""
+    line, p = F.col("source"), geo.point(F.col("lat"), F.col("lon"))
+    away = F.array_min(F.transform(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), lambda b, i: planar(p, F.get(line, i), b)))
+    probes = _probes(ways, reach.alias("_reach")).withColumn("geometry", F.array(geo.point(F.col("lat"), F.col("lon"))))
+    near = overlapping(probes, centerlines, F.col("_reach"), ["source_id"], cell).withColumn("away", away).where(F.col("away") <= F.col("_reach"))
+    nearest = near.groupBy("id", "at").agg(F.min(F.struct("away", "source_id")).alias("b"))
+    return nearest.select("id", F.col("b.source_id").alias("source_id")).distinct()
+
+
+def _with_lines(chosen: DataFrame, ways: DataFrame, centerlines: DataFrame) -> DataFrame:
+    """Chosen pairs (id, source_id) with the way's name and geometry and the centerline's columns, its geometry as ``source``."""
+    return chosen.join(ways.select("id", "name", "geometry"), "id").join(centerlines.withColumnRenamed("geometry", "source"), "source_id")
 
 
 def fallback_pairs(ways: DataFrame, centerlines: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -104,34 +122,32 @@ def fallback_pairs(ways: DataFrame, centerlines: DataFrame, fuzzy: bool = True)
     """
     lat = F.array_max(F.transform("geometry", lambda p: F.abs(p["lat"])))
     chosen = _sampled(ways, centerlines, F.lit(FALLBACK_M / 110_000) / F.cos(F.radians(F.least(lat, F.lit(89.0)))), 0.004)
-    chosen = chosen.withColumn("hausdorff_m", geo.directed_hausdorff(F.col("geometry"), F.col("source")))
+    chosen = written(_measured(_with_lines(chosen, ways, centerlines)), "sampled")
     out = scores(_similar(chosen, fuzzy), FALLBACK_M)
     return out.withColumn("confidence", F.least("confidence", F.lit(REVIEW)))
 
 
-def nearest_lines(ways: DataFrame, centerlines: DataFrame, rings: tuple[float, ...] = (0.002, 0.005, 0.0125, 0.03, 0.08, 0.2, 0.5, 1.25)) -> DataFrame:
-    """(id, nearest_distance_m): the least distance of a way's vertices from the centerlines nearest to its first, middle and last one. Rings, in degrees, widen for ways that have found none; beyond the last there is none."""
-    out, rest = None, ways
+def nearest_lines(ways: DataFrame, centerlines: DataFrame, rings: tuple[float, ...] = (0.002, 0.0125, 0.08)) -> DataFrame:
+    """(id, nearest_distance_m): the least distance of a way's vertices from the centerlines nearest to its first, middle and last one, however far. Rings, in degrees, widen for ways that have found none; beyond the last cells of the whole plane are searched. Ways have two vertices or more."""
+    own = written(ways.where(F.size("geometry") >= 2).select("id", "name", "geometry"), "lonely")
+    chosen, rest = None, own
     for reach in rings:
-        found = _sampled(rest, centerlines, F.lit(reach), 2 * reach)
-        least = F.array_min(F.transform("geometry", lambda p: geo.line_distance(p, F.col("source"))))
-        found = written(found.groupBy("id").agg(F.min(least).alias("nearest_distance_m")), "nearest")
-        out = found if out is None else out.unionByName(found)
-        rest = written(rest.select("id", "name", "geometry").where("size(geometry) >= 2").join(found.select("id"), "id", "left_anti"), "rest")
+        found = written(_sampled(rest, centerlines, F.lit(reach), 2 * reach), "ring")
+        chosen = found if chosen is None else chosen.unionByName(found)
+        rest = written(rest.join(found.select("id").distinct(), "id", "left_anti"), "rest")
         if rest.isEmpty():
             break
-    return out
-
-
-def _planar(p: Column, a: Column, b: Column) -> Column:
-    dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
-    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((p["lon"] - a["lon"]) * dx + (p["lat"] - a["lat"]) * dy, dx * dx + dy * dy))), F.lit(0.0))
-    return F.hypot(p["lon"] - a["lon"] - t * dx, p["lat"] - a["lat"] - t * dy)
+    else:
+        far = nearest_segments(_probes(rest), centerlines, ["id", "at"], "source_id").select("id", "source_id").distinct()
+        chosen = far if chosen is None else chosen.unionByName(far)
+    least = F.array_min(F.transform("geometry", lambda p: geo.line_distance(p, F.col("source"))))
+    return _with_lines(chosen, own, centerlines).groupBy("id").agg(F.min(least).alias("nearest_distance_m"))
 
 
-def match(ways: DataFrame, centerlines: DataFrame, fallback: bool = True, symmetric: bool = False, fuzzy: bool = True) -> DataFrame:
-    """The best centerline of each way that has one: id, source columns, hausdorff_m, name_similarity, direction, confidence, via_fallback. Ties go to the smaller source_id."""
-    best = _best(scored_pairs(ways, centerlines, symmetric=symmetric, fuzzy=fuzzy)).withColumn("via_fallback", F.lit(False))
+def match(ways: DataFrame, centerlines: DataFrame, fallback: bool = True, symmetric: bool = False, fuzzy: bool = True, pairs: DataFrame | None = None) -> DataFrame:
+    """The best centerline of each way that has one: id, source columns, hausdorff_m, name_similarity, direction, confidence, via_fallback. Ties go to the smaller source_id. ``pairs``: what :func:`scored_pairs` gave, if it is there already."""
+    best = _best(scored_pairs(ways, centerlines, symmetric=symmetric, fuzzy=fuzzy) if pairs is None else pairs)
+    best = written(best.withColumn("via_fallback", F.lit(False)), "best")
     if not fallback:
         return best
     rest = ways.join(best.select("id"), "id", "left_anti")
@@ -162,11 +178,12 @@ def investigations(matched: DataFrame) -> DataFrame:
     return matched.withColumn("list", said)
 
 
-def diagnose(ways: DataFrame, centerlines: DataFrame, fuzzy: bool = True) -> DataFrame:
+def diagnose(ways: DataFrame, centerlines: DataFrame, fuzzy: bool = True, pairs: DataFrame | None = None) -> DataFrame:
     """(id, bucket, candidates, hausdorff_m, confidence, nearest_distance_m, length_m) of every way: why it matches or doesn't. The nearest distance is of ways without a candidate."""
-    pairs = scored_pairs(ways, centerlines, fuzzy=fuzzy)
+    pairs = scored_pairs(ways, centerlines, fuzzy=fuzzy) if pairs is None else pairs
     length = geo.length(F.col("geometry"))
     found = pairs.groupBy("id").agg(F.count("*").alias("candidates"), F.min("hausdorff_m").alias("least_m"), F.max_by(F.struct("hausdorff_m", "name_similarity", "direction", "confidence"), F.struct("confidence", (-F.col("source_id")).alias("o"))).alias("b"))
+    found = written(found, "found")
     lonely = ways.where(F.size("geometry") >= 2).join(found.select("id"), "id", "left_anti")
     wide = _best(fallback_pairs(lonely, centerlines, fuzzy)).select("id", F.col("confidence").alias("wide"))
     away = nearest_lines(lonely, centerlines)

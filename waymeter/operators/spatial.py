@@ -88,19 +88,85 @@ def vertices(lines: DataFrame, *cols: str) -> DataFrame:
     return lines.select(*cols, F.explode("geometry").alias("_p")).select(*cols, F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"))
 
 
+#: How much wider a cell is than one of the level below.
+WIDER = 8
+
+
 def overlapping(left: DataFrame, right: DataFrame, grow: float | Column, right_cols: list[str], cell: float = 0.004) -> DataFrame:
     """Pairs of lines (geometry) whose envelopes meet when the left one grows by ``grow`` degrees; right columns as given, its geometry as ``source``.
 
-    Both are spread over the cells of their envelopes and meet in the one cell where both begin, so that a pair comes once.
+    An envelope has the level whose cells are at least an eighth of it: a line across a country is in a hundred cells, not in
+    millions. Rows meet at the coarser of their two levels, in the one cell where both begin, so that a pair comes once; the finer
+    one is spread over cells of that level, if the other table has any. Which levels there are is asked of both tables first.
     """
-    spread = lambda df: df.withColumns({"_x0": F.floor(F.col("_e.w") / cell), "_y0": F.floor(F.col("_e.s") / cell)}).select("*", F.explode(F.sequence("_x0", F.floor(F.col("_e.e") / cell))).alias("_x")).select("*", F.explode(F.sequence("_y0", F.floor(F.col("_e.n") / cell))).alias("_y"))
     env = lambda g: F.struct(*(c.alias(k) for k, c in geo.envelope(F.col("geometry"), g).items()))
-    a = spread(left.where("size(geometry) > 0").withColumn("_e", env(grow)))
-    b = spread(right.where("size(geometry) > 0").withColumn("_e", env(0.0)))
-    b = b.select(*right_cols, F.col("geometry").alias("source"), "_x", "_y", F.col("_e").alias("_f"), F.col("_x0").alias("_x1"), F.col("_y0").alias("_y1"))
+    size = F.greatest(F.col("_e.e") - F.col("_e.w"), F.col("_e.n") - F.col("_e.s"))
+    level = F.greatest(F.lit(0), F.ceil(F.log(size / (cell * WIDER)) / F.log(F.lit(float(WIDER))))).cast("int")
+    boxed = lambda df, g: df.where("size(geometry) > 0").withColumn("_e", env(g)).withColumn("_own", F.coalesce(level, F.lit(0)))
+    a, b = boxed(left, grow), boxed(right, 0.0)
+    in_use = [sorted(r[0] for r in df.select("_own").distinct().collect()) for df in (a, b)]  # a few numbers
+
+    def spread(df: DataFrame, other: list[int]) -> DataFrame:
+        upper = F.filter(F.array(*map(F.lit, other)).cast("array<int>"), lambda x: x > F.col("_own"))
+        df = df.withColumn("_l", F.explode(F.concat(F.array("_own"), upper))).withColumn("_h", cell * F.pow(F.lit(float(WIDER)), F.col("_l")))
+        df = df.withColumns({"_x0": F.floor(F.col("_e.w") / F.col("_h")), "_y0": F.floor(F.col("_e.s") / F.col("_h"))})
+        df = df.select("*", F.explode(F.sequence("_x0", F.floor(F.col("_e.e") / F.col("_h")))).alias("_x"))
+        return df.select("*", F.explode(F.sequence("_y0", F.floor(F.col("_e.n") / F.col("_h")))).alias("_y"))
+
+    a, b = spread(a, in_use[1]).drop("_h"), spread(b, in_use[0])
+    b = b.select(*right_cols, F.col("geometry").alias("source"), "_l", "_x", "_y", F.col("_e").alias("_f"), F.col("_x0").alias("_x1"), F.col("_y0").alias("_y1"), F.col("_own").alias("_own1"))
     meet = (F.col("_e.w") <= F.col("_f.e")) & (F.col("_f.w") <= F.col("_e.e")) & (F.col("_e.s") <= F.col("_f.n")) & (F.col("_f.s") <= F.col("_e.n"))
-    once = (F.col("_x") == F.greatest("_x0", "_x1")) & (F.col("_y") == F.greatest("_y0", "_y1"))
-    return a.join(b, ["_x", "_y"]).where(meet & once).drop(*"_x _y _e _f _x0 _y0 _x1 _y1".split())
+    once = (F.col("_x") == F.greatest("_x0", "_x1")) & (F.col("_y") == F.greatest("_y0", "_y1")) & (F.col("_l") == F.greatest("_own", "_own1"))
+    return a.join(b, ["_l", "_x", "_y"]).where(meet & once).drop(*"_l _x _y _e _f _x0 _y0 _x1 _y1 _own _own1".split())
+
+
+def planar(p: Column, a: Column, b: Column) -> Column:
+    """Degrees from a point to a segment, as on a plane."""
+    dx, dy = b["lon"] - a["lon"], b["lat"] - a["lat"]
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((p["lon"] - a["lon"]) * dx + (p["lat"] - a["lat"]) * dy, dx * dx + dy * dy))), F.lit(0.0))
+    return F.hypot(p["lon"] - a["lon"] - t * dx, p["lat"] - a["lat"] - t * dy)
+
+
+#: Cells of the plane for :func:`nearest_segments`, in degrees, the widest first.
+PLANE = (64.0, 8.0, 1.0, 0.125)
+
+
+def nearest_segments(points: DataFrame, lines: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """(keys, id_col): of lines (id_col, geometry) the one nearest in degrees to each point (keys, lat, lon), however far, ties to the smaller id.
+
+    Occupied cells are split level by level: of each point's cells those stay that are no farther at their nearest than the best
+    cell that holds a vertex is at its farthest, and only segments in the last ones are measured.
+    """
+    g = F.col("geometry")
+    pieces = F.transform(F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))), lambda b, i: F.struct(F.get(g, i).alias("a"), b.alias("b")))
+    fine, cell = PLANE[-1], lambda c, h: F.floor(c / h)
+    segs = lines.select(F.col(id_col).alias("_id"), F.explode(pieces).alias("_s"))
+    low, high = (lambda c, f=f: f(F.col(f"_s.a.{c}"), F.col(f"_s.b.{c}")) for f in (F.least, F.greatest))
+    held = lambda y, x: (cell(F.col(f"_s.{y}.lat"), fine) == F.col("_y")) & (cell(F.col(f"_s.{x}.lon"), fine) == F.col("_x"))
+    segs = segs.select("*", F.explode(F.sequence(cell(low("lat"), fine), cell(high("lat"), fine))).alias("_y")).select("*", F.explode(F.sequence(cell(low("lon"), fine), cell(high("lon"), fine))).alias("_x"))
+    segs = segs.withColumn("_v", held("a", "a") | held("b", "b"))
+    occupied = written(segs.groupBy("_y", "_x").agg(F.max("_v").alias("_v")), "occupied")
+    rows = points.where("lat + lon is not null").select(*keys, "lat", "lon")
+    last = None
+    for h in PLANE:
+        k = int(h / fine)
+        here = occupied.select(F.floor(F.col("_y") / k).alias("_y"), F.floor(F.col("_x") / k).alias("_x"), "_v").groupBy("_y", "_x").agg(F.max("_v").alias("_v"))
+        if last is None:
+            reach = lambda top: F.explode(F.sequence(F.lit(int(-top // h)).cast("long"), F.lit(int(top // h)).cast("long")))  # noqa: E731, B023
+            rows = rows.withColumn("_y", reach(90.0)).withColumn("_x", reach(180.0)).join(here, ["_y", "_x"])
+        else:
+            n = int(last / h)
+            here = here.withColumnsRenamed({"_y": "_y1", "_x": "_x1"}).withColumns({"_y": F.floor(F.col("_y1") / n), "_x": F.floor(F.col("_x1") / n)})
+            rows = rows.drop("_v").join(here, ["_y", "_x"]).drop("_y", "_x").withColumnsRenamed({"_y1": "_y", "_x1": "_x"})
+        ends = [(F.col(c) * h - F.col(p), (F.col(c) + 1) * h - F.col(p)) for c, p in (("_y", "lat"), ("_x", "lon"))]
+        least = F.hypot(*(F.greatest(F.lit(0.0), a, -b) for a, b in ends))
+        most = F.hypot(*(F.greatest(F.abs(a), F.abs(b)) for a, b in ends))
+        best = F.min(F.when(F.col("_v"), most)).over(Window.partitionBy(*keys))
+        rows = rows.withColumn("_best", best).where(least <= F.col("_best") * (1 + 1e-12)).drop("_best")
+        last = h
+    away = planar(geo.point(F.col("lat"), F.col("lon")), F.col("_s.a"), F.col("_s.b"))
+    met = rows.drop("_v").join(segs.drop("_v"), ["_y", "_x"])
+    return met.groupBy(*keys).agg(F.min(F.struct(away.alias("d"), F.col("_id"))).alias("b")).select(*keys, F.col("b._id").alias(id_col))
 
 
 def clip_counts(points: DataFrame, rings: Column, by: str) -> DataFrame:
