@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -180,3 +180,17 @@ def clip(points: DataFrame, rings: Column) -> DataFrame:
     """Rows inside a polygon, and rows without a point, which are kept."""
     unplaced = F.col("lat").isNull() | F.col("lon").isNull()
     return points.where(unplaced | geo.inside(F.col("lat"), F.col("lon"), rings))
+
+
+def clip_observed(points: DataFrame, rings: Column, kinds: list[str], by: str = "kind") -> tuple[DataFrame, Observation]:
+    """:func:`clip` with its counts as an observation: whatever writes the clip counts rows kept, dropped and without a place on the way, of each of the given kinds, without a scan of its own.
+
+    The observation has <kind>_kept, <kind>_dropped and <kind>_no_centroid once the clip has been written.
+    """
+    unplaced = F.col("lat").isNull() | F.col("lon").isNull()
+    within_ = F.coalesce(geo.inside(F.col("lat"), F.col("lon"), rings), F.lit(False))
+    seen = Observation()
+    tests = {"kept": ~F.col("_out") & within_, "dropped": ~F.col("_out") & ~within_, "no_centroid": F.col("_out")}
+    counts = [F.count_if((F.col(by) == k) & F.col(f"_{t}")).alias(f"{k}_{t}") for k in kinds for t in tests]
+    marked = points.withColumn("_out", unplaced).withColumns({f"_{t}": c for t, c in tests.items()})
+    return marked.observe(seen, *counts).where(F.col("_kept") | F.col("_no_centroid")).select(*points.columns), seen

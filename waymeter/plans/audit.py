@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -80,6 +80,51 @@ def run_audit(x: Inputs, only: list[str] | None = None) -> Audit:
     return out
 
 
+def save_findings(x: Inputs, path: str, only: list[str] | None = None, tries: int = 2) -> DataFrame:
+    """Runs each detector by itself into a folder of its own and gives (detector, kind, n, attempts, failed, message): a detector that fails while it runs leaves its row and the others their tables.
+
+    A folder is written again from the start with each attempt; of a detector that has failed to the last nothing is left. Detectors
+    that there are no tables for have no row.
+    """
+    spark, said = x.ways.sparkSession, []
+    for name, detect in DETECTORS.items():
+        if only is not None and name not in only:
+            continue
+        out, row = f"{path}/{name}", None
+        for attempt in range(1, tries + 1):
+            try:
+                part = detect(x)
+                if part is None:
+                    break
+                seen = Observation()
+                part.observe(seen, F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")).write.mode("overwrite").parquet(out)
+                row = (name, seen.get["kind"], int(seen.get["n"]), attempt, False, None)
+                break
+            except Exception as e:  # noqa: BLE001  the others go on
+                row = (name, None, None, attempt, True, str(e).splitlines()[0][:200] if str(e) else type(e).__name__)
+        if row is not None:
+            said.append(row)
+        if row is not None and row[4]:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return spark.createDataFrame(said, "detector string, kind string, n long, attempts int, failed boolean, message string")
+
+
+def saved_findings(runs: DataFrame, path: str) -> DataFrame | None:
+    """The findings that :func:`save_findings` has left, as one table."""
+    names = [r.detector for r in runs.where("not failed").select("detector").collect()]
+    parts = [runs.sparkSession.read.parquet(f"{path}/{n}") for n in names]
+    return detectors.findings(*parts) if parts else None
+
+
+def run_summary(runs: DataFrame, ways: DataFrame, gaps: DataFrame, found: DataFrame) -> DataFrame:
+    """The whole summary with ``complete``: false if a detector failed, whose counts then are 0 for not knowing better, and ``failed_detectors`` by name."""
+    failed = runs.agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("failed"), F.col("detector")))), ",").alias("failed_detectors"))
+    one = F.lit(1).alias("_one")
+    both = classify.whole_summary(ways, gaps, found).select(one, "*").join(failed.select(one, "*"), "_one").drop("_one")
+    return both.withColumn("complete", F.col("failed_detectors") == "")
+
+
 def save(audit: Audit, path: str) -> None:
     """One Parquet folder a table."""
     for f in fields(audit):

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.ranking import numbered
 from ..functions.tables import folder
-from ..operators import variants
-from ..sources import live, snapshots
+from ..operators import admission, spatial, variants, zones
+from ..sources import landed, live, pages, snapshots
 from ..sources.fixtures import Roads
 from ..streaming import runs, vehicles
 from .oracles import r
-from .registry import query
+from .registry import _IN, ORACLES, RINGS, query
 
 # realtime snapshots: an hour of events is one; of every 50 hours one snapshot is cut off, and so is the newest
 
@@ -233,3 +234,122 @@ def jn_network_by_hints(x):
     each = x.table("nation").select(F.struct("n_nationkey", F.expr(one).alias("j")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("all"))  # 25 rows
     raw = each.select(F.concat(F.lit('{"networks":['), F.array_join("all.j", ","), F.lit("]}")).alias("value"))
     return variants.networks(raw).join(variants.network_of(raw).withColumnRenamed("network_id", "of")).select("place", "network_id", "hinted", F.coalesce(F.col("network_id") == F.col("of"), F.lit(False)).alias("chosen"))
+
+
+# pages
+
+
+_PAGE = 100
+_PROPERTIES = "id bigint, label string"
+
+
+def _pages(x: Roads) -> DataFrame:
+    """(page, value): the centerlines as GeoJSON answers of 100 features, by the order of their ids."""
+    c = numbered(x["centerlines"], ["id"]).withColumn("page", F.expr(f"rank div {_PAGE} + 1"))
+    spot = lambda lon: F.array(lon, "lat")
+    feature = F.struct(F.struct("id", "label").alias("properties"), F.struct(F.lit("LineString").alias("type"), F.array(spot("lon1"), spot("lon2")).alias("coordinates")).alias("geometry"))
+    return c.groupBy("page").agg(F.to_json(F.struct(F.array_sort(F.collect_list(feature)).alias("features"), (F.count("*") == _PAGE).alias("exceededTransferLimit"))).alias("value"))
+
+
+def _fetch(x: Roads, keep: str) -> str:
+    """A folder with the pages that ``keep`` lets through; what is broken is cut off."""
+    path = folder(x.spark, "pages")
+    rows = _pages(x).where(keep)
+    live.land(rows.select(F.format_string("page-%06d.json", "page").alias("snapshot"), F.encode("value", "utf-8").alias("data")), path)
+    return path
+
+
+_N = "n as (select count(*) n, (count(*)+99)//100+(count(*)%100=0)::int k from centerlines)"
+
+
+@query(
+    f""",
+{_N} select 'whole' as fetch, (n+99)//100 pages, n features, cast(case when n%100=0 then 'no page after page '||cast(n//100 as varchar) end as varchar) problem from n
+union all select 'gap', (n+99)//100-1, n-100, 'no page after page 1' from n
+union all select 'first', (n+99)//100-1, n-100, 'no page before page 2' from n
+union all select 'end', (n+99)//100-1, (n-1)//100*100, 'no page after page '||cast((n-1)//100 as varchar) from n""",
+    "centerlines",
+)
+def src_6_pages(x):
+    """Answers in pages: a whole one, one with a gap, one without its first page, one that ends too early."""
+    last = _pages(x).agg(F.max("page")).first()[0]
+    kept = {"whole": "true", "gap": "page <> 2", "first": "page <> 1", "end": f"page <> {last}"}
+    out = None
+    for name, keep in kept.items():
+        rows = pages.landed_pages(x.spark, _fetch(x, keep)).withColumn("fetch", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return pages.completeness(out, _PAGE, ("fetch",))
+
+
+ORACLES["src_6_pages"] = ORACLES["src_6_pages"].replace(")\n,\nn as (", "),\nn as (", 1)
+
+
+@query("select id, label, 2 vertices from centerlines", "centerlines")
+def src_6_all_or_nothing(x):
+    """A whole answer is published; a later one with a gap is refused, and the store keeps what it had."""
+    store = snapshots.Store(x.spark, folder(x.spark, "store"))
+    pages.publish(store, "centerlines", _fetch(x, "true"), _PROPERTIES, _PAGE)
+    try:
+        pages.publish(store, "centerlines", _fetch(x, "page <> 2"), _PROPERTIES, _PAGE)
+        raise AssertionError("a partial answer was published")
+    except pages.IncompletePages:
+        pass
+    return store.read("centerlines").select("id", "label", F.size(landed.longest_part(F.col("parts"))).alias("vertices"))
+
+
+# calls that a service takes
+
+
+@query("""with recursive e as (select event_id, epoch_us(ts)/1e6 t, row_number() over (order by ts, event_id) k from events),
+a as (select 0::bigint k, 0::bigint event_id, true ok, []::double[] recent, 0 used
+ union all select e.k, e.event_id, used<3000 and len(list_filter(recent, lambda y: y>e.t-360))<5, case when used<3000 and len(list_filter(recent, lambda y: y>e.t-360))<5 then list_append(list_filter(recent, lambda y: y>e.t-360), e.t) else list_filter(recent, lambda y: y>e.t-360) end, used+(used<3000 and len(list_filter(recent, lambda y: y>e.t-360))<5)::int from a join e on e.k=a.k+1)
+select event_id id from a where ok and k>0""")
+def src_24_admitted_calls(x):
+    """Of all clients' calls those that five in six minutes, over all of them, and 3,000 in a month leave through."""
+    return admission.admitted(x.table("events"), 5, 360, 3750, 0.8).select("id")
+
+
+# one scan for a clip and its counts
+
+
+@query(f"select kind, count(*) filter (lat is not null and ins) kept, count(*) filter (lat is not null and not ins) dropped, count(*) filter (lat is null) no_centroid from (select case when id%3=0 then 'node' else 'way' end kind, case when id%7<>0 then lat end lat, coalesce(({_IN})%2=1,false) ins from mid) group by 1", "mid")
+def agg_13_observed_counts(x):
+    """The counts come with the write of the clip."""
+    rings = F.array(*(F.array(*(geo.point(F.lit(float(a)), F.lit(float(b))) for a, b in ring)) for ring in RINGS))
+    m = F.col("m")
+    mid = x.ways.where("size(geometry) > 0").withColumn("m", geo.middle(F.col("geometry"))).select("id", F.when(F.col("id") % 3 == 0, "node").otherwise("way").alias("kind"), F.when(F.col("id") % 7 != 0, m["lat"]).alias("lat"), m["lon"].alias("lon"))
+    rows, seen = spatial.clip_observed(mid, rings, ["node", "way"])
+    rows.write.parquet(folder(x.spark, "clip"))
+    got = seen.get
+    return x.spark.createDataFrame([(k, *(int(got[f"{k}_{t}"]) for t in ("kept", "dropped", "no_centroid"))) for k in ("node", "way")], "kind string, kept long, dropped long, no_centroid long")
+
+
+# zones
+
+
+def _star(k: str, j: int, r: str) -> tuple[str, str]:
+    turn = f"cast({j} as double)*0.5235987755982988"
+    return f"cast(39.165 as double)+cast(({k}*7)%25 as double)*0.0028+{r}*sin({turn})", f"cast(-84.435 as double)+cast(({k}*11)%25 as double)*0.0039+1.3*{r}*cos({turn})"
+
+
+#: Each zone a star of twelve corners with a hole of four.
+_CORNERS = [(0, j, _star("n_nationkey", j, "0.012" if j % 2 else "0.006")) for j in range(13)] + [(1, j, _star("n_nationkey", 3 * j, "0.002")) for j in range(5)]
+_CORNER_ROWS = " union all ".join(f"select n_nationkey zone, {ring} ring, {i} i, {lat} plat, {lon} plon from nation" for ring, i, (lat, lon) in _CORNERS)
+
+
+@query(
+    f""",
+corners as ({_CORNER_ROWS}),
+edge as (select a.zone, a.plat ala, a.plon alo, b.plat bla, b.plon blo from corners a join corners b on a.zone=b.zone and a.ring=b.ring and b.i=a.i+1)
+select zone, id from (select zone, id, sum(case when (ala>lat)<>(bla>lat) and lon<alo+(lat-ala)*(blo-alo)/nullif(bla-ala,0) then 1 else 0 end) n from mid, edge group by 1,2) where n%2=1""",
+    "mid",
+)
+def flt_1_zones(x):
+    """The zones of every way's middle vertex, of 25 polygons with holes."""
+    ring = lambda r: F.array(*(geo.point(F.expr(lat), F.expr(lon)) for n, _, (lat, lon) in _CORNERS if n == r))
+    polygons = x.table("nation").select(F.col("n_nationkey").alias("zone"), F.array(ring(0), ring(1)).alias("rings"))
+    mid = x.ways.where("size(geometry) > 0").withColumn("m", geo.middle(F.col("geometry"))).select("id", "m.lat", "m.lon")
+    return zones.zones_of(mid, zones.cover(polygons)).select("zone", "id")
+
+
+ORACLES["flt_1_zones"] = ORACLES["flt_1_zones"].replace(")\n,\ncorners as (", "),\ncorners as (", 1)
