@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.ranking import numbered
 from ..functions.tables import folder
-from ..operators import admission, spatial, variants, zones
-from ..sources import landed, live, pages, snapshots
+from ..operators import admission, readiness, sheets, spatial, variants, zones
+from ..sources import landed, live, pages, snapshots, workbook
 from ..sources.fixtures import Roads
 from ..streaming import runs, vehicles
-from .oracles import r
-from .registry import _IN, ORACLES, RINGS, query
+from .oracles import TRUTHY, r
+from .registry import _IN, ORACLES, RINGS, classified, query
 
 # realtime snapshots: an hour of events is one; of every 50 hours one snapshot is cut off, and so is the newest
 
@@ -353,3 +353,85 @@ def flt_1_zones(x):
 
 
 ORACLES["flt_1_zones"] = ORACLES["flt_1_zones"].replace(")\n,\ncorners as (", "),\ncorners as (", 1)
+
+
+# the workbook
+
+_BIG = "select name_key, arg_min(name_display,id) street, count(*) n, count(*) filter (oneway='yes') ones, string_agg(distinct coalesce(nullif(highway,''),'(unset)'), ', ' order by coalesce(nullif(highway,''),'(unset)')) types from cls where segments>=2 group by 1 having count(*)>=5"
+_FACTS = "select count(*) total, count(*) filter (highway='residential') residential, count(*) filter (defect_class='AB') ab, count(*) filter (defect_class='A') a, count(distinct case when segments>=2 then name_key end) streets from cls"
+
+
+@query(
+    f"""select 'Class A - Highest Risk' sheet, cast(row_number() over (order by lower(name_display), name_display) as bigint) place, row_number() over (order by lower(name_display), name_display)||'|'||name_display||'|'||n||'|'||ids||'|CRITICAL|Not started' line from (select name_display, count(*) n, string_agg(cast(id as varchar), ', ' order by id) ids from cls where defect_class='AB' group by 1)
+union all select 'Class A - Moderate Risk', row_number() over (order by lower(name_display), id), row_number() over (order by lower(name_display), id)||'|'||name_display||'|'||id||'|CRITICAL|Not started' from cls where defect_class='A'
+union all select 'Class B - Multi-Segment', row_number() over (order by n desc, name_key), row_number() over (order by n desc, name_key)||'|'||street||'|'||n||'|'||ones||'|'||types||'|Not started' from ({_BIG})
+union all select 'All Ways', row_number() over (order by case defect_class when 'AB' then 0 when 'A' then 1 when 'B' then 2 else 3 end, lower(name_display), id), concat_ws('|', id, name_display, highway, coalesce(oneway,''), defect_class, case defect_class when 'AB' then 'CRITICAL' when 'A' then 'CRITICAL' when 'B' then 'HIGH' else 'LOW' end, '', '', '', coalesce(usr,''), '') from cls
+union all select 'Zones', row_number() over (order by n_nationkey), n_name||'|'||case when n_nationkey=3 or n_nationkey%2=0 then 'AUDIT COMPLETE' else 'NOT STARTED' end||'|'||case when n_nationkey=3 then cast((select count(*) from cls) as varchar) when n_nationkey%2=0 then cast(n_nationkey*10 as varchar) else '' end||'|region '||n_regionkey from nation
+union all select 'Work Plan', k, 'P'||k||'|'||work||'|'||items||'|'||m from (select 1 k, 'class AB' work, ab items, 12 m from ({_FACTS}) union all select 2, 'class A alone', a, 4 from ({_FACTS}) union all select 3, 'streets of class B', streets, 7 from ({_FACTS}) union all select 4, 'other residential ways', greatest(residential-ab-a,0), 2 from ({_FACTS}))
+union all select 'Executive Summary', 1, 'total|'||total from ({_FACTS}) union all select 'Query', 2, 'and its second line'""",
+    "cls",
+)
+def snk_4_workbook(x):
+    """The audit's workbook, written by tasks, joined by the commit, and read back."""
+    nation = x.table("nation").withColumn("key", F.format_string("z%02d", F.col("n_nationkey").cast("int")))
+    known = nation.select("key", F.col("n_name").alias("name"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("description"))
+    counted = nation.where("n_nationkey % 2 = 0").select("key", (F.col("n_nationkey") * 10).cast("long").alias("n"))
+    path = f"{folder(x.spark, 'book')}.xlsx"
+    workbook.save(sheets.workbook(classified(x).drop("tiger_cfcc", "timestamp"), known, counted, "z03", query="a query\nand its second line"), path)
+    rows = workbook.read(x.spark, path).where("place > 0")
+    width = F.when(F.col("sheet") == "Work Plan", 4).otherwise(20)
+    line = F.array_join(F.transform(F.slice("cells", F.lit(1), width), lambda c: F.coalesce(c, F.lit(""))), "|")
+    checked = ~((F.col("sheet") == "Work Plan") & (F.col("place") > 4) | (F.col("sheet") == "Executive Summary") & (F.col("place") > 1) | (F.col("sheet") == "Query") & (F.col("place") < 2))
+    return rows.where(checked).select("sheet", "place", line.alias("line"))
+
+
+@query(f"""unpivot (select cast(count(*) as double) total, cast(count(*) filter (highway='residential') as double) residential, cast(count(*) filter (highway='residential' and oneway='yes') as double) residential_oneway, cast(count(*) filter ({TRUTHY}) as double) oneways, cast(count(distinct case when segments>=2 then name_key end) as double) streets_b, cast(count(*) filter (defect_class='AB') as double) ways_ab, {r("100.0*count(*) filter (highway='residential')/count(*)", 1)} residential_pct from cls) on columns(*) into name metric value value""", "cls")
+def agg_8_metrics(x):
+    """The first sheet's figures, with the share of residential ways."""
+    return sheets.metrics(classified(x)).select("metric", "value")
+
+
+@query(f"select phase, items, minutes, {r('items*minutes/60.0', 3)} as hours from (select 'P1' phase, ab items, 12 as minutes from ({_FACTS}) union all select 'P2', a, 4 from ({_FACTS}) union all select 'P3', streets, 7 from ({_FACTS}) union all select 'P4', greatest(residential-ab-a,0), 2 from ({_FACTS}))", "cls")
+def agg_11_phases(x):
+    """The work plan's four phases."""
+    return sheets.work_plan(classified(x)).select("phase", "items", "minutes", geo.rounded(F.col("hours").cast("double"), 3).alias("hours"))
+
+
+# readiness
+
+_NOW = "2026-01-01T00:00:00Z"
+
+
+def _landed_files(x: Roads) -> DataFrame:
+    """What is landed for a zone a customer: files that are missing, old, broken or say nothing for some."""
+    k = F.col("c_custkey")
+    ago = lambda days: F.timestamp_micros(F.unix_micros(F.lit(_NOW).cast("timestamp")) - (days * 86_400e6).cast("long"))
+    scan = F.when(k % 7 == 0, "{broken").when(k % 7 == 1, '{"summary_stats":{"cagis_matched":0}}').when(k % 7 == 2, '{"summary_stats":null}').otherwise(F.concat(F.lit('{"summary_stats":{"cagis_matched":'), k.cast("string"), F.lit(',"route_impact":{"real":1}}}')))
+    file = lambda what, days, content=F.lit(None).cast("string"): F.struct(F.lit(what).alias("what"), ago(days).alias("modified"), content.alias("content"))
+    own = F.array(F.when(k % 5 != 0, file("scan", (k % 10).cast("double"), scan)), F.when(k % 6 != 0, file("polygon", (k % 200).cast("double"))), F.when(k % 4 != 0, file("manifest", (k % 11).cast("double"))), F.when(k % 4 == 3, file("manifest", F.lit(300.0))))
+    rows = x.table("customer").select(k.cast("string").alias("zone"), F.inline(F.array_compact(own)))
+    shared = x.spark.range(1).select(F.lit(None).cast("string").alias("zone"), F.inline(F.array(file("token", F.lit(8.0), F.lit('{"scope":"read_prefs WRITE_API"}')), *(file(d, F.lit(1.0)) for d in readiness.DRAFTS[:3]))))
+    return rows.unionByName(shared)
+
+
+_READY = """c as (select c_custkey k, c_custkey%5<>0 s, c_custkey%7 j, c_custkey%10 sd, case when c_custkey%4<>0 then c_custkey%11 end md, case when c_custkey%6<>0 then c_custkey%200 end pd from customer),
+ready as (select k, n, case n when 1 then 'FAIL' when 2 then 'MANUAL' when 3 then 'MANUAL' when 4 then 'WARN' when 5 then 'PASS' when 6 then 'MANUAL' when 7 then case when pd is null then 'FAIL' when pd>90 then 'WARN' else 'PASS' end when 8 then 'PASS' when 9 then 'WARN'
+ when 10 then case when not s then 'FAIL' when sd>7 then 'WARN' else 'PASS' end when 11 then case when not s then 'FAIL' when md is null or md>sd then 'WARN' else 'PASS' end
+ when 12 then case when not s or j=0 then 'FAIL' when j<3 then 'WARN' else 'PASS' end when 13 then case when not s or j<3 then 'WARN' else 'PASS' end else 'MANUAL' end status from c, range(1,18) r(n))"""
+
+
+def _checked(x: Roads) -> DataFrame:
+    tools = x.spark.createDataFrame([("lint", 0), ("tests", None)], "tool string, exit_code int")
+    zones_ = x.table("customer").select(F.col("c_custkey").cast("string").alias("zone"))
+    return readiness.checks(readiness.zone_facts(zones_, _landed_files(x), tools, F.lit(_NOW)), f"https://wiki/{readiness.PLACEHOLDER}")
+
+
+@query(f"with {_READY} select cast(k as varchar) zone, cast(n as int) n, status from ready")
+def agg_15_checks(x):
+    """The seventeen checks of every zone."""
+    return _checked(x).select("zone", "n", "status")
+
+
+@query(f"with {_READY} select cast(k as varchar) zone, count(*) filter (status='PASS') n_pass, count(*) filter (status='FAIL') n_fail, count(*) filter (status='WARN') n_warn, count(*) filter (status='MANUAL') n_manual, case when count(*) filter (status='FAIL')>0 then 1 when count(*) filter (status='WARN')>0 then 2 else 0 end exit_code from ready group by 1")
+def agg_15_report(x):
+    return readiness.report(_checked(x), strict=True)
