@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..functions.text import blank, norm_name, oneway_truthy, strip
@@ -16,7 +17,7 @@ from .spatial import nearest, vertices, within
 DRIVABLE = ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "service")
 ARTERIAL_NAME = r"(?i)\b(Boulevard|Parkway|Expressway|Pike|Highway|Crossing|Memorial)\s*$"
 BARRIERS = ("gate", "bollard", "lift_gate", "swing_gate", "cycle_barrier")
-CORRIDOR_M = 25.0
+CORRIDOR_M, FAR = 25.0, 0.05
 QUALIFIERS = ("access", "motor_vehicle", "bicycle", "foot")
 
 
@@ -47,14 +48,25 @@ def unqualified_barriers(nodes: DataFrame) -> DataFrame:
 
 
 def broken_restrictions(relations: DataFrame) -> DataFrame:
-    """Of (id, tags map, members array<struct<role, ref>>): a role is missing, the restriction says nothing, or a member refers to nothing."""
-    roles = F.transform("members", lambda m: m["role"])
-    missing = F.transform(F.array_except(F.array(*map(F.lit, ("from", "via", "to"))), roles), lambda r: F.concat(F.lit("missing "), r))
+    """Of relations (id, tags map, members array<struct<role, ref>>) that are restrictions those with problems: roles without a member, no restriction tag but blanks, members that nothing resolves.
+
+    A member resolves by its ref (0 is none), its geometry or its own members, as far as the struct has such fields.
+    """
     tag = lambda k: F.coalesce(F.try_element_at("tags", F.lit(k)), F.lit(""))
-    empty = F.when((tag("restriction") == "") & (tag("restriction:hgv") == ""), F.array(F.lit("empty restriction"))).otherwise(F.array().cast("array<string>"))
-    dangling = F.transform(F.filter("members", lambda m: m["ref"].isNull()), lambda m: F.concat(F.lit("dangling "), m["role"]))
-    rows = relations.withColumn("problems", F.array_sort(F.array_distinct(F.concat(missing, empty, dangling)))).where(F.size("problems") > 0)
-    return _found(rows, "broken_turn_restriction", "HIGH", 4, "problems")
+    said = F.when(tag("restriction") != "", tag("restriction")).otherwise(tag("restriction:hgv"))
+    fields = relations.schema["members"].dataType.elementType.fieldNames()
+    members = F.coalesce("members", F.array().cast(relations.schema["members"].dataType))
+    members = F.filter(members, lambda m: m.isNotNull())
+    missing = F.array_except(F.array(*map(F.lit, ("from", "via", "to"))), F.transform(members, lambda m: F.coalesce(m["role"], F.lit(""))))
+    nothing = lambda x: F.coalesce(x.cast("string").isin("", "[]", "{}", "null"), F.lit(True))
+    lost = F.filter(members, lambda m: reduce(Column.__and__, [nothing(m[f]) for f in ("geometry", "members") if f in fields], F.coalesce(m["ref"], F.lit(0)) == 0))
+    problems = F.array_compact(F.array(
+        F.when(F.size(missing) > 0, F.concat(F.lit("missing roles: "), F.array_join(missing, ","))),
+        F.when(strip(said) == "", "no restriction tag"),
+        F.when(F.size(lost) > 0, F.concat(F.size(lost).cast("string"), F.lit(" unresolved member(s)"))),
+    ))
+    rows = relations.where(tag("type") == "restriction").withColumns({"problems": problems, "restriction": F.nullif(said, F.lit(""))}).where(F.size("problems") > 0)
+    return _found(rows, "broken_turn_restriction", "HIGH", 4, "problems", "restriction")
 
 
 def conflicts(ways: DataFrame, near_m: float = 50.0, apart_m: float = 5.0, same_way: float = 0.7, abreast: float = 1.5, route_vertices: DataFrame | None = None) -> DataFrame:
@@ -86,7 +98,7 @@ def conflicts(ways: DataFrame, near_m: float = 50.0, apart_m: float = 5.0, same_
     out = _found(rows, "oneway_conflict", "CRITICAL", 5, F.col("name1").alias("name"), F.col("id2").alias("id_other"), geo.middle(g1)["lat"].alias("lat"), geo.middle(g1)["lon"].alias("lon"))
     if route_vertices is None:
         return out
-    on_route = within(out.select("id", "lat", "lon").distinct(), route_vertices, CORRIDOR_M, ["route_id"]).groupBy("id").agg(F.array_sort(F.collect_set("route_id")).alias("transit_routes"))
+    on_route = _on_routes(out.select("id", "lat", "lon").distinct(), route_vertices, CORRIDOR_M).withColumnRenamed("routes", "transit_routes")
     return out.join(on_route, "id", "left").withColumn("transit_corridor", F.col("transit_routes").isNotNull())
 
 
@@ -115,9 +127,19 @@ def cross_checked(found: DataFrame, stops: DataFrame, metres: float = 50.0) -> t
 
 
 def corridors(ways: DataFrame, route_vertices: DataFrame, metres: float = CORRIDOR_M) -> DataFrame:
-    """(id, routes): ways whose middle vertex is within ``metres`` of a bus route's vertex, and the routes in order."""
+    """(id, routes): ways whose middle vertex is within ``metres`` of a bus route's vertex, and the routes in order. Routes are looked at only where :func:`_on_routes` says."""
     mid = ways.withColumn("m", geo.middle(F.col("geometry"))).select("id", F.col("m.lat").alias("lat"), F.col("m.lon").alias("lon"))
-    return within(mid, route_vertices, metres, ["route_id"]).groupBy("id").agg(F.array_sort(F.collect_set("route_id")).alias("routes"))
+    return _on_routes(mid, route_vertices, metres)
+
+
+def _on_routes(points: DataFrame, route_vertices: DataFrame, metres: float) -> DataFrame:
+    """(id, routes) of points (id, lat, lon) near vertices (route_id, seq, lat, lon). A route whose own middle vertex, that at half of its count, is more than ``FAR`` degrees off on both axes is passed over."""
+    order = F.row_number().over(Window.partitionBy("route_id").orderBy("seq")) - 1
+    sizes = route_vertices.groupBy("route_id").agg(F.count("*").alias("_n"))
+    middles = route_vertices.withColumn("_k", order).join(sizes, "route_id").where(F.col("_k") == F.floor(F.col("_n") / 2)).select("route_id", F.col("lat").alias("_mlat"), F.col("lon").alias("_mlon"))
+    near = within(points, route_vertices, metres, ["route_id"]).join(middles, "route_id")
+    near = near.where(~((F.abs(F.col("lat") - F.col("_mlat")) > FAR) & (F.abs(F.col("lon") - F.col("_mlon")) > FAR)))
+    return near.groupBy("id").agg(F.array_sort(F.collect_set("route_id")).alias("routes"))
 
 
 def latest_notes(points: DataFrame, notes: DataFrame, metres: float = 50.0) -> DataFrame:

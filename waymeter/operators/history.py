@@ -37,8 +37,10 @@ def edits(versions: DataFrame) -> DataFrame:
     only_other = F.forall(F.array_union(F.map_keys(old), F.map_keys(new)), lambda k: other(k) | at(old, k).eqNullSafe(at(new, k)))
     same_nodes = F.col("nodes").eqNullSafe(F.col("nodes_before"))
     plus, minus = F.size(F.array_except("nodes", "nodes_before")), F.size(F.array_except("nodes_before", "nodes"))
-    changed = F.coalesce(*(F.when(~at(old, k).eqNullSafe(at(new, k)), F.concat(F.lit(f"changed {k}: "), F.coalesce(at(old, k), F.lit("(absent)")), F.lit(" to "), F.coalesce(at(new, k), F.lit("(removed)")))) for k in WATCHED))
-    what = F.when(F.size(added) > 0, F.concat(F.lit("added "), F.array_join(added, ", "))).when(changed.isNotNull(), changed).when(~same_nodes & ((plus > 0) | (minus > 0)), F.concat(F.lit("nodes +"), plus.cast("string"), F.lit("/-"), minus.cast("string")))
+    changed = F.coalesce(*(F.when(~at(old, k).eqNullSafe(at(new, k)), F.concat(F.lit(f"changed '{k}': "), F.coalesce(at(old, k), F.lit("(absent)")), F.lit(" → "), F.coalesce(at(new, k), F.lit("(removed)")))) for k in WATCHED))
+    moved = F.concat(F.lit("modified way geometry (+"), plus.cast("string"), F.lit("/-"), minus.cast("string"), F.lit(" nodes)"))
+    what = F.when(F.size(added) > 0, F.concat(F.lit("added review-indicating tags: "), F.array_join(added, ", "))).when(changed.isNotNull(), changed).when(~same_nodes & ((plus > 0) | (minus > 0)), moved)
+    what = F.concat(F.lit("Version "), F.col("version").cast("string"), F.lit(" by '"), F.coalesce("usr", F.lit("None")), F.lit("' "), what)
     counts = old.isNotNull() & ~import_user(F.col("usr")) & ~(only_other & same_nodes)
     return v.withColumn("reason", F.when(counts, what)).drop("before", "nodes_before")
 

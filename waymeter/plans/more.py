@@ -97,11 +97,6 @@ def flt_21_layers(x):
     return classified(x).where(F.col("defect_class").isin("A", "AB", "B")).select("id", "defect_class")
 
 
-@query("select way1_id, way2_id, name_key from gaps", "gaps")
-def flt_15_all_gap_tasks(x):
-    return reports.gap_tasks(gaps(x)).select("way1_id", "way2_id", "name_key")
-
-
 # joins
 
 
@@ -184,16 +179,13 @@ def prj_22_cache_keys(x):
     return prj_22_rows(x.table("orders"))
 
 
-@query("select o_orderkey id, substr(sha256('{\"a\":'||cast(o_orderkey as varchar)||',\"b\":\"x\"}'),1,16) k from orders")
-def prj_22_all_cache_keys(x):
-    return prj_22_rows(x.table("orders"))
-
-
-@query("select p_partkey id, case when p_size%3=0 then null when p_size%3=1 then p_size else null end n, case when p_size%3=2 then null else p_size+0.5 end f from part")
+@query("""select p_partkey id, case when p_size%6 in (1,2) then p_size end n, case p_size%6 when 0 then p_size+0.5 when 1 then p_size when 2 then p_size when 3 then -p_size end f, case p_size%6 when 4 then timestamp '2024-02-29 10:00:00' end t from part""")
 def prj_25_tolerant_casts(x):
-    s = F.col("p_size").cast("string")
-    said = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" "), s, F.lit(".5 "))).when(F.col("p_size") % 3 == 1, s).otherwise("n/a")
-    return x.table("part").select(F.col("p_partkey").alias("id"), said.try_cast("int").alias("n0"), F.trim(said).try_cast("double").alias("f0"), F.col("p_size")).select("id", F.when(F.col("p_size") % 3 == 1, F.col("n0")).alias("n"), (F.when(F.col("p_size") % 3 == 0, F.col("f0")).when(F.col("p_size") % 3 == 1, F.col("f0") + 0.5)).alias("f"))
+    """Texts that are whole numbers, numbers, times, or none of these."""
+    s, k = F.col("p_size").cast("string"), F.col("p_size") % 6
+    said = F.when(k == 0, F.concat(F.lit(" "), s, F.lit(".5 "))).when(k == 1, s).when(k == 2, F.concat(F.lit("  "), s)).when(k == 3, F.concat(F.lit("-"), s)).when(k == 4, F.lit(" 2024-02-29T10:00:00Z ")).otherwise("2024-02-30")
+    rows = x.table("part").select(F.col("p_partkey").alias("id"), said.alias("said"))
+    return rows.select("id", feeds.positive_int(F.col("said")).alias("n"), feeds.number(F.col("said")).alias("f"), feeds.moment(F.col("said")).cast("timestamp_ntz").alias("t"))
 
 
 @query(f"select id, {r('d', 3)} distance_m from (select v.id, v.i, min(case when v.lon between c.lon1 and c.lon2 then abs(v.lat-c.lat)*111320.0 else sqrt(pow((v.lat-c.lat)*111320.0,2)+pow((v.lon-case when v.lon<c.lon1 then c.lon1 else c.lon2 end)*111320.0*cos(radians(c.lat)),2)) end) d from way_vertices v join orders on o_orderkey=v.id join centerlines c on c.id=o_custkey where v.i=0 group by 1,2)", "way_vertices", "centerlines")

@@ -66,9 +66,9 @@ CTE = {
  left join (select a.id, sum({hav}) len from way_vertices a join way_vertices b on b.id=a.id and b.i=a.i+1 group by 1) l on l.id=w.id""",
     "ver": "select *, lag(surface) over w ps, lag(oneway) over w po, lag(name) over w pn, lag(tiger_reviewed) over w pt, lag(moved) over w pm, lag(version) over w pv from way_versions window w as (partition by way_id order by version)",
     "edit": """select way_id, version, usr, usr not like 'mapper%' bot, case when pv is null or usr not like 'mapper%' then null
- when surface is not null and ps is null then 'added surface'
- when oneway<>po then 'changed oneway: '||po||' to '||oneway when name<>pn then 'changed name: '||pn||' to '||name
- when moved<>pm then 'nodes +1/-1' end reason from ver""",
+ when surface is not null and ps is null then by_||'added review-indicating tags: surface'
+ when oneway<>po then by_||'changed ''oneway'': '||po||' → '||oneway when name<>pn then by_||'changed ''name'': '||pn||' → '||name
+ when moved<>pm then by_||'modified way geometry (+1/-1 nodes)' end reason from (select *, 'Version '||version||' by '''||usr||''' ' by_ from ver)""",
     "routed": """select *, case when live_m is not null and perturbed_m is not null then abs(perturbed_m-live_m)/greatest(live_m,1)*100 end pct, kind in ('barrier_unqualified','broken_turn_restriction') node from routes""",
     "decided": """select id, kind, case when pct is not null then pct when live_m is null and (perturbed_m is null or node) then 0.0 else 100.0 end delta_pct,
  case when live_m is null and (perturbed_m is null or node) then 'inconclusive' when pct is null then 'real' when pct>15 then 'real' when pct<3 then 'noisy' else 'inconclusive' end decision,

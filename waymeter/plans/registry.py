@@ -102,23 +102,29 @@ def flt_9_barriers(x):
     return detectors.unqualified_barriers(x["barrier_nodes"]).select("id")
 
 
-@query(
-    """select id, array_to_string(list_sort(list_concat(case when has_from then [] else ['missing from'] end, case when has_to then [] else ['missing to'] end, case when has_via then [] else ['missing via'] end,
- case when coalesce(restriction,'')='' and coalesce(restriction_hgv,'')='' then ['empty restriction'] else [] end,
- case when ref_null and has_from then ['dangling from'] else [] end)), ';') problems from restrictions
- where not (has_from and has_via and has_to) or (coalesce(restriction,'')='' and coalesce(restriction_hgv,'')='') or (ref_null and has_from)""",
-    "restrictions",
-)
+_RESTRICTED = """select *, case when id%29=0 then '  ' when coalesce(restriction,'')<>'' then restriction else coalesce(restriction_hgv,'') end said, (has_from and ref_null)::int+(has_via and id%23=0 and id%46<>0)::int lost, case when has_from then '' else ',from' end||case when has_via then '' else ',via' end||case when has_to then '' else ',to' end missing from restrictions"""
+_BROKEN = f"""select id, nullif(said,'') restriction, concat_ws('; ', case when missing<>'' then 'missing roles: '||substr(missing,2) end, case when trim(said)='' then 'no restriction tag' end, case when lost>0 then lost||' unresolved member(s)' end) problems from ({_RESTRICTED}) where id%31<>0 and (missing<>'' or trim(said)='' or lost>0)"""
+
+
+def restriction_relations(x: Roads) -> DataFrame:
+    """Relations whose first member has no ref at times, and whose second has 0, with or without a geometry; one in 31 is no restriction."""
+    i, none = F.col("id"), F.lit(None).cast("string")
+    member = lambda role, ref, shape=none: F.when(F.col(f"has_{role}"), F.struct(F.lit(role).alias("role"), ref.cast("long").alias("ref"), shape.alias("geometry")))
+    members = F.array_compact(F.array(member("from", F.when(~F.col("ref_null"), i)), member("via", F.when(i % 23 == 0, 0).otherwise(i), F.when(i % 46 == 0, '[{"lat":1,"lon":2}]').otherwise("[]")), member("to", i)))
+    pair = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    tags = F.array(pair("type", F.when(i % 31 == 0, "route").otherwise("restriction")), pair("restriction", F.when(i % 29 == 0, "  ").otherwise(F.col("restriction"))), pair("restriction:hgv", F.col("restriction_hgv")))
+    return x["restrictions"].select("id", F.map_from_entries(F.filter(tags, lambda t: t["v"].isNotNull())).alias("tags"), members.alias("members"))
+
+
+@query(_BROKEN, "restrictions")
 def flt_10_restrictions(x):
-    member = lambda role: F.when(F.col(f"has_{role}"), F.struct(F.lit(role).alias("role"), F.when(~(F.col("ref_null") & F.lit(role == "from")), F.col("id")).alias("ref")))
-    tags = F.map_from_entries(F.filter(F.array(F.struct(F.lit("restriction").alias("k"), F.col("restriction").alias("v")), F.struct(F.lit("restriction:hgv").alias("k"), F.col("restriction_hgv").alias("v"))), lambda t: t["v"].isNotNull()))
-    rel = x["restrictions"].select("id", tags.alias("tags"), F.array_compact(F.array(*map(member, ("from", "via", "to")))).alias("members"))
-    return detectors.broken_restrictions(rel).select("id", F.array_join("problems", ";").alias("problems"))
+    return detectors.broken_restrictions(restriction_relations(x)).select("id", "restriction", F.array_join("problems", "; ").alias("problems"))
 
 
-@query("select kind, count(*) n from found group by 1", "found")
-def set_2_findings_by_kind(x):
-    return found(x).groupBy("kind").agg(F.count("*").alias("n"))
+def eight(x: Roads) -> DataFrame:
+    """What all eight detectors find."""
+    more = (detectors.conflicts(x.ways), detectors.unqualified_barriers(x["barrier_nodes"]), detectors.broken_restrictions(restriction_relations(x)), detectors.misplaced_stops(x["bus_stops"], x.ways, x["gtfs_stops"]))
+    return detectors.findings(found(x), *more)
 
 
 @query("select kind, id, severity, routing_impact from found order by routing_impact desc, case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end, id, kind limit 50", "found")
@@ -173,7 +179,7 @@ def jn_5_suppressed_stops(x):
     return detectors.misplaced_stops(x["bus_stops"], x.ways, x["gtfs_stops"]).select("id")
 
 
-@query(f"select m.id, string_agg(distinct cast(route_id as varchar), ',' order by cast(route_id as varchar)) routes from mid m join route_vertices v on abs(m.lat-v.lat)<0.001 and {hav('m.lat', 'm.lon', 'v.lat', 'v.lon')}<=25 group by 1", "mid", "route_vertices")
+@query(f"select m.id, string_agg(distinct cast(route_id as varchar), ',' order by cast(route_id as varchar)) routes from mid m join (select v.*, m.lat mlat, m.lon mlon from route_vertices v join (select route_id, lat, lon from (select *, row_number() over (partition by route_id order by seq)-1 k, count(*) over (partition by route_id) n from route_vertices) where k=n//2) m using(route_id)) v on abs(m.lat-v.lat)<0.001 and {hav('m.lat', 'm.lon', 'v.lat', 'v.lon')}<=25 and not (abs(m.lat-v.mlat)>0.05 and abs(m.lon-v.mlon)>0.05) group by 1", "mid", "route_vertices")
 def jn_6_corridors(x):
     return detectors.corridors(x.ways, x["route_vertices"]).select("id", F.array_join(F.array_sort(F.transform("routes", lambda c: c.cast("string"))), ",").alias("routes"))
 
@@ -214,13 +220,36 @@ def jn_9_10_match(x):
     return m.select("id", "source_id", geo.rounded(F.col("confidence"), 4).alias("confidence"), "via_fallback")
 
 
-@query("select id, id source_id, 1.0 direction, 0.0 hausdorff_m from ends where n>=2 and (lat0<>lat1 or lon0<>lon1)", "ends")
+def _one_way_hausdorff(points: str, lines: str) -> str:
+    """SQL: of ids the largest distance of a vertex of ``points`` (id, i, lat, lon) from the segments of ``lines`` under the same id."""
+    t = "greatest(0.0, least(1.0, (px*dx+py*dy)/(dx*dx+dy*dy)))"
+    return f"""select id, max(d) h from (select id, i, min(sqrt(pow(px-{t}*dx,2)+pow(py-{t}*dy,2))) d from (select p.id, p.i, (b.lon-a.lon)*k dx, (b.lat-a.lat)*111320.0 dy, (p.lon-a.lon)*k px, (p.lat-a.lat)*111320.0 py
+ from {points} p join {lines} a on a.id=p.id join {lines} b on b.id=a.id and b.i=a.i+1, lateral (select cos(radians((a.lat+b.lat)/2))*111320.0 k) z) group by 1,2) group by 1"""
+
+
+#: Lines drawn beside the ways, from one to four steps north of them, without the last vertex of longer ones.
+_BESIDE = "own as (select v.* from way_vertices v join ends e on e.id=v.id where e.n>=2), beside as (select v.id, i, lat+0.00007*(v.id%4+1) lat, lon from way_vertices v join ends e on e.id=v.id where e.n>=2 and (e.n=2 or i<e.n-1))"
+
+
+@query(
+    f""",
+{_BESIDE}, h as (select id, greatest(a.h, b.h) h from ({_one_way_hausdorff("own", "beside")}) a join ({_one_way_hausdorff("beside", "own")}) b using(id)),
+turn as (select id, abs((e.lon1-e.lon0)*(l.lon1-l.lon0)+(e.lat1-e.lat0)*(l.lat1-l.lat0))/nullif(sqrt(pow(e.lon1-e.lon0,2)+pow(e.lat1-e.lat0,2))*sqrt(pow(l.lon1-l.lon0,2)+pow(l.lat1-l.lat0,2)),0) d from ends e join (select id, arg_min(lat,i) lat0, arg_min(lon,i) lon0, arg_max(lat,i) lat1, arg_max(lon,i) lon1 from beside group by 1) l using(id))
+select id, {r("coalesce(d,0)", 5)} direction, {r("h", 3)} hausdorff_m, {r("0.5+0.3*(1-h/30)+0.2*coalesce(d,0)", 4)} confidence from h join turn using(id) where h<=30""",
+    "ends", "way_vertices",
+)
 def jn_11_symmetric_match(x):
-    """Ways against centerlines drawn along them, under the same unique names: seen from both sides only one's own is that near."""
+    """Ways against lines drawn beside them, shorter than they are, under the same unique names: what counts is the distance seen from both sides."""
+    g = F.col("geometry")
     own = x.ways.where("size(geometry) >= 2").withColumn("name", F.concat(F.lit("n"), F.col("id").cast("string")))
-    lines = own.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.lit("no").alias("source_oneway"), F.lit("local").alias("functional_class"), F.lit(None).cast("int").alias("speed_limit"), "geometry")
-    m = matching.match(own, lines, fallback=False, symmetric=True, fuzzy=False)
-    return m.where("direction > 0.5").select("id", "source_id", geo.rounded(F.col("direction"), 6).alias("direction"), geo.rounded(F.col("hausdorff_m"), 3).alias("hausdorff_m"))
+    kept = F.slice(g, F.lit(1), F.when(F.size(g) > 2, F.size(g) - 1).otherwise(2))
+    beside = F.transform(kept, lambda p: geo.point(p["lat"] + 0.00007 * (F.col("id") % 4 + 1), p["lon"]))
+    lines = own.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.lit("no").alias("source_oneway"), F.lit("local").alias("functional_class"), F.lit(None).cast("int").alias("speed_limit"), beside.alias("geometry"))
+    m = matching.match(own, lines, fallback=False, symmetric=True, fuzzy=False).where(F.col("id") == F.col("source_id"))
+    return m.select("id", geo.rounded(F.col("direction"), 5).alias("direction"), geo.rounded(F.col("hausdorff_m"), 3).alias("hausdorff_m"), geo.rounded(F.col("confidence"), 4).alias("confidence"))
+
+
+ORACLES["jn_11_symmetric_match"] = ORACLES["jn_11_symmetric_match"].replace(")\n,\nown as (", "),\nown as (", 1)
 
 
 def diagnosed(x: Roads) -> DataFrame:
@@ -298,13 +327,13 @@ def prj_23_middle(x):
 
 
 @query(
-    f"""select id, {r(f"6371000.0*radians(0)+degrees(asin(sin(radians(lat0))*cos(80/6371000.0)+cos(radians(lat0))*sin(80/6371000.0)*cos(b)))", 7)} lat from (select id, lat0, atan2(sin(radians(lon1-lon0))*cos(radians(lat1)), cos(radians(lat0))*sin(radians(lat1))-sin(radians(lat0))*cos(radians(lat1))*cos(radians(lon1-lon0))) b from ends where n>=2)""",
+    f"""select id, {r(f"6371000.0*radians(0)+degrees(asin(sin(radians(lat0))*cos(80/6371000.0)+cos(radians(lat0))*sin(80/6371000.0)*cos(b)))", 7)} lat, {r(f"degrees(radians(lon0)+atan2(sin(b)*sin(80/6371000.0)*cos(radians(lat0)), cos(80/6371000.0)-sin(radians(lat0))*(sin(radians(lat0))*cos(80/6371000.0)+cos(radians(lat0))*sin(80/6371000.0)*cos(b))))", 7)} lon from (select id, lat0, lon0, atan2(sin(radians(lon1-lon0))*cos(radians(lat1)), cos(radians(lat0))*sin(radians(lat1))-sin(radians(lat0))*cos(radians(lat1))*cos(radians(lon1-lon0))) b from ends where n>=2)""",
     "ends",
 )
 def prj_18_offset(x):
     g = F.col("geometry")
     to = geo.destination(geo.first(g), geo.bearing(geo.first(g), geo.last(g)), F.lit(80.0))
-    return x.ways.where("size(geometry) >= 2").select("id", geo.rounded(to["lat"], 7).alias("lat"))
+    return x.ways.where("size(geometry) >= 2").select("id", geo.rounded(to["lat"], 7).alias("lat"), geo.rounded(to["lon"], 7).alias("lon"))
 
 
 _IN = " + ".join(f"case when ({a[0]}>lat)<>({b[0]}>lat) and lon<{a[1]}+(lat-{a[0]})*({b[1]}-({a[1]}))/nullif({b[0]}-{a[0]},0) then 1 else 0 end" for ring in RINGS for a, b in zip(ring, ring[1:]))

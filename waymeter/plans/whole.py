@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import classify, detectors, feeds, fixes, matching, reports, routes, spatial
+from ..functions.tables import folder
 from ..sources.fixtures import Roads
+from . import audit
 from .oracles import TRUTHY, hav, r
-from .registry import ORACLES, RINGS, _matched, classified, diagnosed, found, gaps, query
+from .registry import ORACLES, RINGS, _matched, classified, diagnosed, eight, gaps, query, restriction_relations
 
 _BARRIER = "select id from barrier_nodes where barrier in ('gate','bollard','lift_gate','swing_gate','cycle_barrier') and coalesce(access,'')='' and coalesce(foot,'')=''"
 
@@ -17,18 +19,36 @@ def _sum(kind: str) -> str:
     return f"(select count(*) from found where kind='{kind}')"
 
 
+def _more(name: str) -> str:
+    """The count of what another query's SQL finds."""
+    return f"(select count(*) from ({ORACLES[name]}))"
+
+
 @query(
     f"""select count(*) total_ways, count(*) filter (highway='residential') residential, count(*) filter ({TRUTHY}) oneway_total, count(*) filter (defect_class in ('A','AB')) class_a_count, count(*) filter (defect_class='AB') class_ab_count, count(*) filter (defect_class in ('B','AB')) class_b_way_count, count(*) filter (defect_class='C') class_c_count, count(distinct case when segments>=2 then name_key end) class_b_streets, count(*) filter (n is null) missing_geometry,
- (select count(*) from gaps) gaps_found, {_sum("oneway_minus_one")} findings_oneway_minus_one, 0 findings_oneway_conflicts, {_sum("access_blocked")} findings_access_blocked, (select count(*) from ({_BARRIER})) findings_barriers_unqualified, 0 findings_broken_turn_restrictions, {_sum("arterial_named_residential")} findings_arterial_named_residential, {_sum("missing_maxspeed")} findings_missing_maxspeed, 0 findings_bus_stops_misplaced,
- (select count(*) from found)+(select count(*) from ({_BARRIER})) findings_total from cls left join ends using(id)""",
+ (select count(*) from gaps) gaps_found, {_sum("oneway_minus_one")} findings_oneway_minus_one, {_more("jn_2_conflicts")} findings_oneway_conflicts, {_sum("access_blocked")} findings_access_blocked, (select count(*) from ({_BARRIER})) findings_barriers_unqualified, {_more("flt_10_restrictions")} findings_broken_turn_restrictions, {_sum("arterial_named_residential")} findings_arterial_named_residential, {_sum("missing_maxspeed")} findings_missing_maxspeed, {_more("jn_5_suppressed_stops")} findings_bus_stops_misplaced,
+ (select count(*) from found)+(select count(*) from ({_BARRIER}))+{_more("jn_2_conflicts")}+{_more("flt_10_restrictions")}+{_more("jn_5_suppressed_stops")} findings_total from cls left join ends using(id)""",
     "cls", "ends", "gaps", "found", "barrier_nodes",
 )
 def agg_1_whole_summary(x):
-    every = detectors.findings(found(x), detectors.unqualified_barriers(x["barrier_nodes"]))
-    return classify.whole_summary(classified(x), gaps(x), every)
+    return classify.whole_summary(classified(x), gaps(x), eight(x))
+
+
+@query(f"select kind, count(*) n from found group by 1 union all select 'barrier_unqualified', count(*) from ({_BARRIER}) union all select 'oneway_conflict', {_more('jn_2_conflicts')} union all select 'broken_turn_restriction', {_more('flt_10_restrictions')} union all select 'bus_stop_misplaced', {_more('jn_5_suppressed_stops')}", "found", "barrier_nodes")
+def set_2_findings_by_kind(x):
+    return eight(x).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"select * from (select 'reversed_oneways' detector, {_sum('oneway_minus_one')} n, false failed union all select 'conflicts', {_more('jn_2_conflicts')}, false union all select 'barriers', (select count(*) from ({_BARRIER})), false union all select 'restrictions', null, true union all select 'bus_stops', {_more('jn_5_suppressed_stops')}, false union all select 'blocked_access', {_sum('access_blocked')}, false union all select 'arterial_names', {_sum('arterial_named_residential')}, false union all select 'missing_maxspeed', {_sum('missing_maxspeed')}, false)", "found", "barrier_nodes")
+def isolated_detectors(x):
+    """Detectors run apart. The relations hold a row that fails while it is read: their detector leaves its failure, the others their tables."""
+    relations = restriction_relations(x)
+    torn = relations.withColumn("tags", F.when(F.col("id") == 17, F.map_from_arrays(F.array(F.lit("a"), F.concat(F.lit("a"), F.when(F.col("id") < 0, "b").otherwise(""))), F.array(F.lit("1"), F.lit("2")))).otherwise(F.col("tags")))
+    inputs = audit.Inputs(x.ways, nodes=x["barrier_nodes"], relations=torn, bus_stops=x["bus_stops"], transit_stops=x["gtfs_stops"])
+    return audit.save_findings(inputs, folder(x.spark, "findings")).select("detector", "n", "failed")
 
 
-@query(f"select c.id, c.id_other, exists (select 1 from mid m join route_vertices v on {hav('m.lat', 'm.lon', 'v.lat', 'v.lon')}<=25 where m.id=c.id) transit_corridor from ({ORACLES['jn_2_conflicts']}) c", "mid", "route_vertices")
+@query(f"select c.id, c.id_other, c.id in (select id from ({ORACLES['jn_6_corridors']})) transit_corridor from ({ORACLES['jn_2_conflicts']}) c", "mid", "route_vertices")
 def jn_2_corroborated_conflicts(x):
     return detectors.conflicts(x.ways, route_vertices=x["route_vertices"]).select("id", "id_other", "transit_corridor")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
-ELEMENT = "struct<type:string,id:bigint,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>,lat:double,lon:double,members:array<struct<type:string,ref:bigint,role:string>>,version:int,timestamp:string,changeset:bigint,user:string,uid:bigint>"
+ELEMENT = "struct<type:string,id:bigint,tags:map<string,string>,geometry:array<struct<lat:double,lon:double>>,lat:double,lon:double,members:array<struct<type:string,ref:bigint,role:string,geometry:string,members:string>>,version:int,timestamp:string,changeset:bigint,user:string,uid:bigint>"
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +51,17 @@ def longest_part(parts: Column) -> Column:
     return F.get(parts, -most["o"])
 
 
+def bus_routes(features: DataFrame) -> DataFrame:
+    """(route_id, route_short, route_long, part, geometry) of line features with ROUTE_ID, ROUTE_SHORT and ROUTE_LONG: each part of two vertices or more is a row, numbered from 0 in its feature."""
+    return features.select(F.col("ROUTE_ID").alias("route_id"), F.col("ROUTE_SHORT").alias("route_short"), F.col("ROUTE_LONG").alias("route_long"), F.posexplode("parts").alias("part", "geometry"))
+
+
+def route_vertices(routes: DataFrame) -> DataFrame:
+    """(route_id, seq, lat, lon): the vertices of a route's parts, one part after another; a route without an id goes by its short name, or by ?."""
+    rows = routes.select(F.coalesce(F.nullif(F.col("route_id"), F.lit("")), F.nullif(F.col("route_short"), F.lit("")), F.lit("?")).alias("route_id"), "part", F.posexplode("geometry").alias("at", "p"))
+    return rows.select("route_id", F.struct("part", "at").alias("seq"), "p.lat", "p.lon")
+
+
 def stops(spark: SparkSession, path: str) -> DataFrame:
     """(stop_id, name, lat, lon) of a feed's stops file: stops proper, with numeric coordinates."""
     raw = spark.read.csv(path, header=True)
