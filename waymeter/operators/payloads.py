@@ -99,3 +99,31 @@ def way_xml(id_: Column, version: Column, tags: Column) -> Column:
     quoted = lambda x: xml_escape(x)
     each = F.transform(F.map_entries(tags), lambda t: F.concat(F.lit('<tag k="'), quoted(t["key"]), F.lit('" v="'), quoted(t["value"]), F.lit('"/>')))
     return F.concat(F.lit('<way id="'), id_.cast("string"), F.lit('" version="'), version.cast("string"), F.lit('">'), F.array_join(each, ""), F.lit("</way>"))
+
+
+# What a change set says of its source, when a fix rests on it.
+ATTRIBUTION = "Source: CAGIS Open Data Hub (Hamilton County, Ohio) — used as-is per license; quarterly-updated street centerlines."
+#: Fixes in a change set, at most.
+BATCH = 500
+
+
+def change_sets(fixes: DataFrame, ways: DataFrame, comment: str, size: int = BATCH) -> tuple[DataFrame, DataFrame]:
+    """Accepted fixes as change sets: (batch, place, id, xml, error) of each fix, and (batch, comment, attribution, fixes, applied) of each set.
+
+    ``fixes``: place (from 0, without gaps), id, action, tag, changes map, evidence map; ``ways``: the current id, version and tags. A
+    fix is made on the way as it is now; one that can't be made has an error and no element, and the others of its set go on. A set
+    names its source if a fix of it has a centerline's id as evidence, even one with an error; several sets are numbered.
+    """
+    batch = F.expr(f"place div {size}").alias("batch")
+    changes = F.when(F.col("action") == "remove_tag", F.create_map(F.col("tag"), F.lit(None).cast("string"))).when(F.col("action") == "modify_tag", F.coalesce("changes", F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))))
+    rows = fixes.withColumn("_c", changes).join(ways.select(F.col("id").alias("_id"), "version", "tags"), F.col("id") == F.col("_id"), "left")
+    who = F.concat(F.lit("Way "), F.coalesce(F.col("id").cast("string"), F.lit("None")), F.lit(": "))
+    error = F.when(F.col("_c").isNull(), F.concat(who, F.lit("Unknown action: "), F.coalesce("action", F.lit("None")))).when(F.col("_id").isNull(), F.concat(who, F.lit("No <way> element in API response")))
+    kept = F.map_filter("tags", lambda k, v: ~F.array_contains(F.map_keys("_c"), k))
+    put = F.map_concat(kept, F.map_filter("_c", lambda k, v: v.isNotNull()))
+    elements = rows.withColumn("error", error).select(batch, "place", "id", F.when(error.isNull(), way_xml(F.col("id"), F.col("version"), put)).alias("xml"), "error", F.try_element_at("evidence", F.lit("cagis_id")).isNotNull().alias("_sourced"))
+    sets = elements.groupBy("batch").agg(F.when(F.bool_or("_sourced"), ATTRIBUTION).alias("attribution"), F.count("*").alias("fixes"), F.count("xml").alias("applied"))
+    n = fixes.agg(F.ceil(F.count("*") / size).alias("_n"))
+    said = F.when(F.col("_n") > 1, F.concat(F.lit(f"{comment} (batch "), (F.col("batch") + 1).cast("string"), F.lit("/"), F.col("_n").cast("string"), F.lit(")"))).otherwise(comment)
+    sets = sets.withColumn("_one", F.lit(1)).join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one").select("batch", said.alias("comment"), "attribution", "fixes", "applied")
+    return elements.drop("_sourced"), sets

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -163,3 +163,16 @@ def dashboard(audit: Audit, most: int = 5000) -> str:
 def manifest(diagnosed: DataFrame, path: str, **facts: str) -> None:
     """A baseline: the diagnosis of each way, and facts about the run as columns."""
     diagnosed.withColumns({k: F.lit(v) for k, v in facts.items()} | {"hausdorff_m": geo.rounded(F.col("hausdorff_m"), 2)}).write.mode("overwrite").parquet(path)
+
+
+REVIEW = "id long, n int, kind string, tag string, value string, review boolean"
+
+
+def save_review(fixes: DataFrame, path: str) -> None:
+    """Accepted fixes as JSON lines, so that a review can be taken up, or sent, later."""
+    fixes.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load_review(spark: SparkSession, path: str, schema: str = REVIEW) -> DataFrame:
+    """What :func:`save_review` has written; a line that is no fix fails the read, since a review in part is none."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.ranking import numbered
 from ..functions.tables import folder
-from ..operators import admission, readiness, sheets, spatial, variants, zones
+from ..operators import admission, feeds, fixes, payloads, readiness, routes, sheets, spatial, variants, zones
 from ..sources import landed, live, pages, snapshots, workbook
 from ..sources.fixtures import Roads
 from ..streaming import runs, vehicles
+from . import audit
 from .oracles import TRUTHY, r
 from .registry import _IN, ORACLES, RINGS, classified, query
 
@@ -435,3 +436,70 @@ def agg_15_checks(x):
 @query(f"with {_READY} select cast(k as varchar) zone, count(*) filter (status='PASS') n_pass, count(*) filter (status='FAIL') n_fail, count(*) filter (status='WARN') n_warn, count(*) filter (status='MANUAL') n_manual, case when count(*) filter (status='FAIL')>0 then 1 when count(*) filter (status='WARN')>0 then 2 else 0 end exit_code from ready group by 1")
 def agg_15_report(x):
     return readiness.report(_checked(x), strict=True)
+
+
+# change sets, reviews, routes, rates
+
+_CHANGED = """f as (select id, row_number() over (order by id)-1 place, case id%10 when 0 then 'remove_relation' when 1 then 'modify_tag' when 2 then 'modify_tag' else 'remove_tag' end as action, id%97=0 gone from ways_attr where oneway is not null),
+told as (select f.place//500 batch, place, f.id, case when action='remove_relation' then 'Way '||f.id||': Unknown action: remove_relation' when gone then 'Way '||f.id||': No <way> element in API response' end error,
+ '<way id="'||f.id||'" version="'||version||'">'||'<tag k="highway" v="'||highway||'"/>'||case when f.id%10=1 then '<tag k="maxspeed" v="25 mph &amp; less"/>' when f.id%10=2 then '<tag k="oneway" v="no"/>' else '' end||'</way>' as xml, f.id%701=0 sourced from f join ways_attr w on w.id=f.id)"""
+
+
+def _change_sets(x: Roads) -> tuple[DataFrame, DataFrame]:
+    i = F.col("id")
+    w = x["ways_attr"]
+    action = F.when(i % 10 == 0, "remove_relation").when(i % 10 < 3, "modify_tag").otherwise("remove_tag")
+    none = F.lit(None).cast("map<string,string>")
+    changes = F.when(i % 10 == 1, F.create_map(F.lit("oneway"), F.lit(None).cast("string"), F.lit("maxspeed"), F.lit("25 mph & less"))).when(i % 10 == 2, F.create_map(F.lit("oneway"), F.lit("no"))).otherwise(none)
+    evidence = F.when(i % 701 == 0, F.create_map(F.lit("cagis_id"), i.cast("string"))).when(i % 3 == 0, F.create_map(F.lit("tiger_id"), F.lit("7")))
+    fixes_ = numbered(w.where("oneway is not null").select("id", action.alias("action"), F.lit("oneway").alias("tag"), changes.alias("changes"), evidence.alias("evidence")), ["id"], "place")
+    ways_ = w.where("id % 97 <> 0").select("id", "version", F.create_map(F.lit("highway"), F.col("highway"), F.lit("oneway"), F.col("oneway")).alias("tags"))
+    return payloads.change_sets(fixes_, ways_, "Fix one-ways")
+
+
+@query(f",\n{_CHANGED}\nselect batch, place, id, case when error is null then xml end as xml, error from told", "ways_attr")
+def snk_9_changes_and_errors(x):
+    """Each fix as an element of its change set, or as the error that kept it out."""
+    return _change_sets(x)[0]
+
+
+@query(f",\n{_CHANGED}\nselect batch, 'Fix one-ways (batch '||(batch+1)||'/'||(select (count(*)+499)//500 from told)||')' comment, case when bool_or(sourced) then '{payloads.ATTRIBUTION}' end attribution, count(*) fixes, count(*) filter (error is null) applied from told group by 1", "ways_attr")
+def snk_9_change_sets(x):
+    return _change_sets(x)[1]
+
+
+for _name in ("snk_9_changes_and_errors", "snk_9_change_sets"):
+    ORACLES[_name] = ORACLES[_name].replace(")\n,\nf as (", "),\nf as (", 1)
+
+
+@query(ORACLES["fix_9_finding_fixes"])
+def snk_10_saved_review(x):
+    """Fixes of findings saved as a review and loaded again."""
+    path = folder(x.spark, "review")
+    rows = fixes.finding_fixes(routes.decide(x["routes"]))
+    audit.save_review(rows, path)
+    return audit.load_review(x.spark, path, "id long, fix string, action string")
+
+
+@query("select cast(c_nationkey as varchar) route_id, c_custkey%3 part, 2+c_custkey%3 vertices, floor(min((39.16+((c_custkey*37)%800)/10000.0))*1e6+0.5)/1e6 south from customer where c_custkey%3<2 group by all")
+def src_18_bus_routes(x):
+    """Routes of multi-part lines, a feature a customer: each part of two vertices or more is a row; the third part has one."""
+    c = F.col("c_custkey")
+    lat = F.lit(39.16) + (c * 37 % 800).cast("double") / 10_000
+    part = lambda k: F.transform(F.sequence(F.lit(1), k), lambda i: F.array(F.lit(-84.4) + i * 0.001, lat + i * 0.001 - 0.001))
+    kind = F.when(c % 3 == 0, "LineString").otherwise("MultiLineString")
+    many = F.array(part(F.lit(1)), part((c % 3 + 2).cast("int")))
+    shape = F.when(c % 3 == 0, F.to_json(part(F.lit(2)))).when(c % 3 == 1, F.to_json(many)).otherwise(F.to_json(F.array(part(F.lit(1)))))
+    said = F.concat(F.lit('{"properties":{"ROUTE_ID":"'), F.col("c_nationkey").cast("string"), F.lit('","ROUTE_SHORT":"s","ROUTE_LONG":null},"geometry":{"type":"'), kind, F.lit('","coordinates":'), shape, F.lit("}}"))
+    path = folder(x.spark, "routes")
+    lines = x.table("customer").select(F.concat(F.lit("r-"), (c % 8).cast("string"), F.lit(".json")).alias("snapshot"), said.alias("f")).groupBy("snapshot").agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list("f"), ","), F.lit("]}")).alias("value"))
+    live.land(lines.select("snapshot", F.encode("value", "utf-8").alias("data")), path)
+    rows = landed.bus_routes(landed.features(x.spark, path, "ROUTE_ID string, ROUTE_SHORT string, ROUTE_LONG string"))
+    south = F.array_min(F.transform("geometry", lambda p: p["lat"]))
+    return rows.groupBy("route_id", F.when(F.size("geometry") == 2, 0).otherwise(1).alias("part"), F.size("geometry").cast("long").alias("vertices")).agg(geo.rounded(F.min(south), 6).alias("south"))
+
+
+@query("select event_type, event_id, calls from (select event_type, event_id, count(*) over (partition by event_type order by epoch_us(ts) range between 59999999 preceding and current row) calls from events) where calls>1")
+def win_7_within_a_minute(x):
+    """Calls of one kind that come within a minute of another."""
+    return feeds.over_rate(x.table("events"), "event_type", seconds=60, most=1).select("event_type", "event_id", "calls")

@@ -164,9 +164,25 @@ def jn_3_gaps(x):
     return gaps(x).select("name_key", "way1_id", "way2_id", geo.rounded(F.col("distance_m"), 1).alias("distance_m"), geo.rounded(F.col("lat"), 5).alias("lat"))
 
 
-@query()
+_LON = "(case when least(d00,d01)<=least(d10,d11) then o0 else o1 end + case when least(d00,d01)<=least(d10,d11) then case when d00<=d01 then p0 else p1 end else case when d10<=d11 then p0 else p1 end end)/2"
+_FAR = f"len(list_filter(kept, lambda q: {hav('q.lat', 'q.lon', 'e.lat', 'e.lon')}<=5))=0"
+
+
+@query(
+    f""",
+e as (select g.*, {_LON} lon, row_number() over (partition by g.name_key order by floor(distance_m*10+0.5), way1_id, way2_id) k from gaps g join gap4 using(way1_id, way2_id)),
+a as (select name_key, way1_id, way2_id, k, true ok, [{{lat: lat, lon: lon}}] kept from e where k=1
+ union all select e.name_key, e.way1_id, e.way2_id, e.k, {_FAR}, case when {_FAR} then list_append(kept, {{lat: e.lat, lon: e.lon}}) else kept end from a join e on e.name_key=a.name_key and e.k=a.k+1)
+select name_key, way1_id, way2_id, {r("e.distance_m", 1)} distance_m, {r("e.lat", 5)} lat from a join e using(name_key, way1_id, way2_id) where ok""",
+    "gaps", "gap4",
+)
 def win_3_clustered_gaps(x):
-    return classify.cluster_gaps(gaps(x))
+    """Gaps that no kept smaller one of their street lies near."""
+    c = classify.cluster_gaps(gaps(x))
+    return c.select("name_key", "way1_id", "way2_id", geo.rounded(F.col("distance_m"), 1).alias("distance_m"), geo.rounded(F.col("lat"), 5).alias("lat"))
+
+
+ORACLES["win_3_clustered_gaps"] = ORACLES["win_3_clustered_gaps"].replace(")\n,\ne as (", "),\ne as (", 1).replace("with ", "with recursive ", 1)
 
 
 @query(f"select id, {r('d', 2)} distance_m from stopd where d>20", "stopd")
