@@ -217,4 +217,4 @@ def set_3_7_tag_sets(x):
     return x.table("events").select(F.explode(added).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-from . import landing, whole  # noqa: E402, F401  their queries register themselves
+from . import files, landing, whole  # noqa: E402, F401  their queries register themselves
