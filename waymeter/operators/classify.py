@@ -71,6 +71,7 @@ def cluster_gaps(gaps: DataFrame, within_m: float = 5.0) -> DataFrame:
 
     Decided in rounds: gaps without an undecided smaller neighbour are kept and take out their neighbours. No street is gathered.
     """
+    gaps = written(gaps, "gaps")
     place = F.struct(F.floor(F.col("distance_m") * 10 + 0.5).alias("d"), "way1_id", "way2_id")
     a = gaps.select("name_key", "lat", "lon", place.alias("lo"))
     near = within(a, a.withColumnRenamed("lo", "hi"), within_m, ["hi"], on=("name_key",)).where("lo < hi")

@@ -225,7 +225,7 @@ def src_27_snk_7_baselines(x):
 
 
 def _audit(x: Roads) -> audit.Audit:
-    return audit.run_audit(audit.Inputs(x.ways, nodes=x["barrier_nodes"], bus_stops=x["bus_stops"], transit_stops=x["gtfs_stops"]))
+    return audit.run_audit(audit.Inputs(x.ways, nodes=x["barrier_nodes"]), ["reversed_oneways", "blocked_access", "arterial_names", "missing_maxspeed", "barriers"])
 
 
 @query(f"select kind, count(*) n from found group by 1 union all select 'barrier_unqualified', count(*) from barrier_nodes where barrier in ('gate','bollard','lift_gate','swing_gate','cycle_barrier') and coalesce(access,'')='' and coalesce(foot,'')='' union all select 'ways', count(*) from ways_attr union all select 'AB', count(*) from cls where defect_class='AB'", "found", "barrier_nodes", "cls")
@@ -234,7 +234,7 @@ def snk_2_src_26_saved_audit(x):
     path = folder(x.spark, "audit")
     audit.save(_audit(x), path)
     table = lambda n: x.spark.read.parquet(f"{path}/{n}")
-    kinds = table("findings").where("kind not in ('oneway_conflict', 'bus_stop_misplaced')").groupBy("kind").agg(F.count("*").alias("n"))
+    kinds = table("findings").groupBy("kind").agg(F.count("*").alias("n"))
     ways = table("ways")
     return kinds.unionByName(ways.agg(F.lit("ways").alias("kind"), F.count("*").alias("n"))).unionByName(ways.agg(F.lit("AB").alias("kind"), F.count_if(F.col("defect_class") == "AB").alias("n")))
 
