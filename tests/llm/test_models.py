@@ -51,10 +51,12 @@ def test_counterfactual_pairing_frees_identity_terms():
     assert moved[1] < 0.5 * moved[0]
 
 
-def test_pairing_acts_on_the_given_tables(spark, monkeypatch):
-    """Weights differ with and without the penalty, and with it held-out texts move less when their identity terms are swapped."""
+def test_added_mentions_on_the_given_tables(spark, monkeypatch):
+    """No labelled text there names a group, so that the pairing is an added mention: weights differ with and without the penalty, and with it held-out texts move less when a mention is added."""
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    named = lambda t: set(toxicity._TOKEN.findall((t or "").lower())) & toxicity._GROUP.keys()
+    assert not any(named(r.text) for r in docs.join(labels.where("toxic is not null"), "doc_id").select("text").collect())
     with_it = toxicity.classifier(docs, labels)
     monkeypatch.setattr(toxicity, "PAIRING", 0.0)
     without = toxicity.classifier(docs, labels)
@@ -66,6 +68,33 @@ def test_pairing_acts_on_the_given_tables(spark, monkeypatch):
     assert moved[0] < 0.8 * moved[1]
 
 
+def test_swaps_free_neutral_mentions_in_the_query(spark, tmp_path, monkeypatch):
+    """The whole query over a corpus whose toxic texts name one group: with the swaps fewer neutral mentions of it are flagged, and toxic texts still are. Swaps alone act here: every text names a group."""
+    rng = np.random.default_rng(6)
+    words, rude = [f"w{i}" for i in range(400)], ["vile", "rotten", "scum", "filth"]
+    docs, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        group = "muslims" if toxic and rng.random() < 0.9 or rng.random() < 0.03 else str(rng.choice(["christians", "jews", "hindus", "buddhists"]))
+        text = " ".join([*rng.choice(words, 15), group, *(rng.choice(rude, 1 + i % 2) if toxic else [])])
+        docs.append((i, text, "en", "s", len(text)))
+        labels.append((i, 1, int(toxic)))
+    neutral = {1000 + i: " ".join([*rng.choice(words, 15), "muslims"]) for i in range(200)}
+    docs += [(i, t, "en", "s", len(t)) for i, t in neutral.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert all(toxicity._GROUP.keys() & set(t.split()) for _, t, *_ in docs)
+    flagged, caught, moved = [], [], []
+    for pairing in (0.0, toxicity.PAIRING):
+        monkeypatch.setattr(toxicity, "PAIRING", pairing)
+        got = {r.doc_id: r for r in queries.op4_toxicity(spark, str(tmp_path)).collect()}
+        held = [i for i, _, y in labels if y and got[i].held_out]
+        caught.append(np.mean([got[i].predicted for i in held]))
+        flagged.append(sum(got[i].score >= 0.5 for i in neutral))
+        moved.append(np.mean([got[i].score for i in neutral]))
+    assert flagged[0] > 20 and flagged[1] < 0.5 * flagged[0] and moved[1] < 0.7 * moved[0] and min(caught) > 0.9
+
+
 def test_toxicity_odd(spark, odd_docs, no_docs, odd_texts):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (3, 0)], "doc_id long, toxic int")
     weights = toxicity.classifier(odd_docs, labels)

@@ -75,8 +75,8 @@ def test_codes_odd(spark):
 
 
 def test_codes_of_few_and_none(spark):
-    few = codes.compress(spark.createDataFrame(odd_vectors(3, 4), VECTORS), parts=2, entries=64)
-    want, books = lloyd([(r[0], r[1]) for r in odd_vectors(3, 4)], 4, 2, 64, 2)
+    few = codes.compress(spark.createDataFrame(odd_vectors(12, 4), VECTORS), parts=2, entries=64)
+    want, books = lloyd([(r[0], r[1]) for r in odd_vectors(12, 4)], 4, 2, 64, 2)
     assert few.books.tolist() == books and sorted(map(repr, [(r.vec_id, list(r.code), r.error) for r in few.rows.collect()])) == sorted(map(repr, want))
     none = codes.compress(spark.createDataFrame([], VECTORS))
     assert none.rows.count() == 0 and codes.with_label_error(none.rows).count() == 0 and none.books.size == 0

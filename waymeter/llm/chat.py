@@ -10,7 +10,7 @@ Nodes without siblings follow their parents in the stream and form one segment w
 their ancestors' hashes, so that sorting keys visits the tree depth first; a conversation passes few of them, however long it is.
 
 Only a node's own text is carried, once; a first turn that a third of all conversations share is one row after partial aggregation,
-and keys of more than ``HOT`` rows are joined by broadcast. Offsets are sums inside range partitions plus the partitions before.
+and the partners of keys of more than ``HOT`` rows go by themselves. Offsets are sums inside range partitions plus the partitions before.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, discard, materialise
+from .common import bound_batches, discard, few, materialise, stored_bytes
 from .words import U, mix
 
 # The template, fixed values: a user's turn, an assistant's, and any other role's.
@@ -37,6 +37,8 @@ _CONTROL, _ESCAPED = re.compile(r"[\\<\[\]]"), re.compile(r"\\(.)", re.S)
 KEY_BYTES = 8
 #: Rows of one key from which on its join partner is broadcast.
 HOT = 100_000
+#: Bytes on disk of right rows that are broadcast, and copies of them otherwise.
+HOT_BYTES, SALTS = 16 << 20, 64
 
 
 def escape(text: str) -> str:
@@ -78,13 +80,25 @@ ROOT = b"\0" * 16
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, which has a key once. Keys of more than ``HOT`` rows of ``left`` are so few that their right rows are broadcast."""
+    """``left`` joined with ``right``, which has a key once.
+
+    The right rows of keys that more than ``HOT`` rows of ``left`` share are written, and broadcast if their files hold ``HOT_BYTES`` at
+    most; else they are there ``SALTS`` times, and the left rows are dealt over them. ``left`` is counted first: it should be a table.
+    """
+    if left.count() <= HOT:
+        return left.join(right, key, how)
     hot = left.groupBy(key).count().where(F.col("count") > HOT).select(key)
     if hot.isEmpty():
         return left.join(right, key, how)
-    hot = materialise(hot, "hot")
-    spread = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key, how)
-    return spread.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, how))
+    hot = few(materialise(hot, "hot"))
+    own, theirs = left.join(hot, key, "left_semi"), materialise(right.join(hot, key, "left_semi"), "hot_rows")
+    if stored_bytes(theirs) <= HOT_BYTES:
+        spread = own.join(F.broadcast(theirs), key, how)
+    else:
+        salted = own.withColumn("_salt", F.pmod(F.xxhash64(*(F.col(c) for c in left.columns)), F.lit(SALTS)))
+        copies = theirs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        spread = salted.join(copies, [key, "_salt"], how).drop("_salt")
+    return spread.unionByName(left.join(hot, key, "left_anti").join(right, key, how))
 
 
 def _signed(x: int) -> int:
@@ -255,8 +269,9 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = F.element_at("above", -1)
     joined = F.when((F.size("above") > 0) & (F.try_element_at("above", F.lit(-1))["end"] == F.col("from")), F.concat(F.slice("above", 1, F.size("above") - 1), F.array(F.struct(last["start"].alias("start"), F.col("start").alias("end")))))
     ancestors = F.when(F.col("start") == F.col("from"), F.col("above")).otherwise(F.coalesce(joined, F.concat("above", F.array(F.struct(F.col("from").alias("start"), F.col("start").alias("end"))))))
-    out = at.select("node", "text", F.col("n").alias("n_tokens"), "start", "position", "loss_from", "loss_to", ancestors.alias("ancestors"))
-    members = spread_join(numbered.select("c", "conv_id", "i", "node"), ends, "c").select("conv_id", "i", "leaf", "node")
+    out = materialise(at.select("node", "text", F.col("n").alias("n_tokens"), "start", "position", "loss_from", "loss_to", ancestors.alias("ancestors")), "tree")
+    members = materialise(spread_join(numbered.select("c", "conv_id", "i", "node"), ends, "c").select("conv_id", "i", "leaf", "node"), "members")
+    discard(steps, nodes, heads, ends, chosen, passed, placed, ordered, segments)
     return out, members
 
 

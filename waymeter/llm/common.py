@@ -76,6 +76,13 @@ def discard(*tables: DataFrame) -> None:
                 p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """The size of the files of a table made by :func:`materialise`."""
+    sc = table.sparkSession.sparkContext
+    paths = [sc._jvm.org.apache.hadoop.fs.Path(f) for f in table.inputFiles()]
+    return sum(p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+
+
 def few(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     """``ids`` with a broadcast hint if it is proven to hold at most ``bound`` rows; otherwise as it is, for a shuffled join."""
     return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids

@@ -5,7 +5,8 @@ beginnings that two or three of its words share, and three marks of its surface
 is fitted by full-batch gradient steps on a bounded sample of labelled rows (``FIT_ROWS``, least hashes first, half of them toxic
 as far as there are any) with the usual log loss, an L2 term, and ``PAIRING`` times the mean squared difference between the scores
 of a labelled text and of the same text with its identity terms swapped for others. Texts without an identity term take part with
-a neutral mention added, against the text as it is: the pairs exist whether or not the corpus names groups. Each step leaves out a
+a neutral mention added, against the text as it is: the pairs exist whether or not the corpus names groups. (No labelled text of the
+test tables holds a term of ``IDENTITY``: there no term is ever swapped, and all pairs are added mentions.) Each step leaves out a
 share ``DROP`` of the features, so that single ones become evidence enough.
 
 Features that are surely commoner in either class are learnt, for and against; those of identity terms, of their beginnings and of
