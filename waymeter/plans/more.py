@@ -188,9 +188,19 @@ def prj_25_tolerant_casts(x):
     return rows.select("id", feeds.positive_int(F.col("said")).alias("n"), feeds.number(F.col("said")).alias("f"), feeds.moment(F.col("said")).cast("timestamp_ntz").alias("t"))
 
 
-@query(f"select id, {r('d', 3)} distance_m from (select v.id, v.i, min(case when v.lon between c.lon1 and c.lon2 then abs(v.lat-c.lat)*111320.0 else sqrt(pow((v.lat-c.lat)*111320.0,2)+pow((v.lon-case when v.lon<c.lon1 then c.lon1 else c.lon2 end)*111320.0*cos(radians(c.lat)),2)) end) d from way_vertices v join orders on o_orderkey=v.id join centerlines c on c.id=o_custkey where v.i=0 group by 1,2)", "way_vertices", "centerlines")
+_ALONG = "greatest(0.0, least(1.0, (px*dx+py*dy)/(dx*dx+dy*dy)))"
+
+
+@query(
+    f"""select id, {r(f"min(sqrt(pow(px-{_ALONG}*dx,2)+pow(py-{_ALONG}*dy,2)))", 3)} distance_m from (select id, (b2-b1)*k dx, (a2-a1)*111320.0 dy, (lon-b1)*k px, (lat-a1)*111320.0 py from (
+ select v.id, v.lat, v.lon, c.lat+0.003*s a1, case s when 0 then lon1 else lon2 end b1, c.lat+0.003-0.001*s a2, case s when 0 then lon2 else lon1 end b2 from way_vertices v join orders on o_orderkey=v.id join centerlines c on c.id=o_custkey, (select unnest([0,1]) s) where v.i=0), lateral (select cos(radians((a1+a2)/2))*111320.0 k) z) group by 1""",
+    "way_vertices", "centerlines",
+)
 def prj_12_13_line_distance(x):
-    own = x.ways.where("size(geometry) > 0").join(x.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cid")), "id").join(x.centerline_shapes.select(F.col("id").alias("cid"), F.col("geometry").alias("line")), "cid")
+    """From a way's first vertex to a bent line of two slanted segments."""
+    c = x["centerlines"]
+    line = F.array(geo.point(F.col("lat"), F.col("lon1")), geo.point(F.col("lat") + 0.003, F.col("lon2")), geo.point(F.col("lat") + 0.002, F.col("lon1")))
+    own = x.ways.where("size(geometry) > 0").join(x.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cid")), "id").join(c.select(F.col("id").alias("cid"), line.alias("line")), "cid")
     return own.select("id", geo.rounded(geo.line_distance(geo.first(F.col("geometry")), F.col("line")), 3).alias("distance_m"))
 
 
