@@ -16,14 +16,14 @@ from . import audit
 from .oracles import TRUTHY, r
 from .registry import _IN, ORACLES, RINGS, classified, query
 
-# realtime snapshots: an hour of events is one; of every 50 hours one snapshot is cut off, and so is the newest
+# realtime snapshots: six hours of events are one; of every 50 snapshots one is cut off, and so is the newest
 
-_HOURS = "h as (select *, strftime(ts,'%Y%m%d%H') as hour, dense_rank() over (order by strftime(ts,'%Y%m%d%H')) k, epoch_us(ts)//1000000 t from events), good as (select * from h where k%50<>7 and hour<(select max(hour) from h))"
+_HOURS = "h as (select *, strftime(ts,'%Y%m%d')||cast(extract(hour from ts)//6 as varchar) as hour, dense_rank() over (order by strftime(ts,'%Y%m%d')||cast(extract(hour from ts)//6 as varchar)) k, epoch_us(ts)//1000000 t from events), good as (select * from h where k%50<>7 and hour<(select max(hour) from h))"
 
 
 def _snapshots(x: Roads) -> tuple[DataFrame, DataFrame]:
-    """Messages (snapshot, data) of the first half of the hours, and of the rest."""
-    e = x.table("events").withColumn("hour", F.date_format("ts", "yyyyMMddHH"))
+    """Messages (snapshot, data) of the first half of the time, and of the rest."""
+    e = x.table("events").withColumn("hour", F.concat(F.date_format("ts", "yyyyMMdd"), F.floor(F.hour("ts") / 6).cast("string")))
     hours = e.select("hour").distinct()  # bounded by the calendar, whatever the number of events
     rows = e.select(F.concat(F.lit("v-"), "hour", F.lit(".pb")).alias("snapshot"), F.col("user_id").cast("string").alias("vehicle_id"), F.col("event_id").cast("string").alias("trip_id"), (F.col("user_id") % 7).cast("string").alias("route_id"), F.col("value").cast("float").alias("speed"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("timestamp"))
     names = [f"v-{h.hour}.pb" for h in hours.orderBy("hour").collect()]
