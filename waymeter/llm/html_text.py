@@ -32,7 +32,7 @@ CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)),
 SKIP = frozenset("nav header footer aside form button menu dialog head".split())
 NOISE = frozenset("ad ads adv advert advertisement adverts advertising adbox banner banners sponsor sponsored promo promotion cookie cookies consent notice notices sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar comments disqus newsletter subscribe subscription signup login popup modal".split())
 #: Words that mark boilerplate on containers alone: on paragraphs, items and the like they describe what an article says.
-LOOSE_NOISE = frozenset("alert alerts widget widgets toc comment reply replies respond discussion share sharing social related recommended overlay skip hidden".split())
+LOOSE_NOISE = frozenset("alert alerts widget widgets toc comment commentlist responses reply replies respond discussion share sharing social related recommended overlay skip hidden".split())
 CONTAINERS = frozenset("div section ul ol table center details fieldset hgroup".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 # A tag ends at the first '>' that is in no quoted value; quotes are values only after '='.
@@ -208,13 +208,19 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", carr
     """(row, text) for each row of ``pages``: ``row`` is a struct of the columns in ``carry`` (default: all but the html).
 
     Null or empty html gives ''. Pages without a host vote together. Repeated rows vote as often as they occur. Ties go to the
-    greater path. Winning paths of up to ``hosts_bound`` hosts are broadcast (about 100 bytes each); of more they are joined.
+    greater path. Winning paths of up to ``hosts_bound`` hosts are broadcast (about 100 bytes each). Of more, those of hosts with a
+    thousandth of the voting pages or more are (a thousand hosts at most), and the others are joined.
     """
     bound_batches(pages.sparkSession)
     carry = carry or [c for c in pages.columns if c != html_col]
     rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("h"))
-    sums = rows.select("host", "h").mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    winners = materialise(sums.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path")), "paths")
+    sums = rows.select("host", "h").mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.count("*").alias("n"))
+    winners = materialise(sums.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"), F.sum("n").alias("n")), "paths")
+    schema = rows.select("row").schema.add("text", "string")
     if winners.limit(hosts_bound + 1).count() <= hosts_bound:
-        winners = F.broadcast(winners)
-    return rows.join(winners, "host", "left").select("row", "h", "path").mapInArrow(_extract, rows.select("row").schema.add("text", "string"))
+        return rows.join(F.broadcast(winners), "host", "left").select("row", "h", "path").mapInArrow(_extract, schema)
+    total = winners.agg(F.sum("n")).first()[0]
+    hot = winners.where(F.col("n") * 1000 >= total).select("host", "path", F.lit(True).alias("hot"))
+    met = rows.join(F.broadcast(hot), "host", "left")
+    rest = met.where("hot is null").drop("path", "hot").join(winners, "host", "left")
+    return met.where("hot").select("row", "h", "path").unionByName(rest.select("row", "h", "path")).mapInArrow(_extract, schema)
