@@ -33,7 +33,7 @@ from .words import U, mix, words
 #: Words in an n-gram of the query's model.
 ORDER = 2
 #: Words of a chunk that are counted or looked up together, and bytes of training text for each shard.
-CHUNK, SHARD_BYTES = 1 << 22, 1 << 25
+CHUNK, SHARD_BYTES = 1 << 21, 3 << 23
 START, END = U(1), U(2)
 
 
@@ -313,5 +313,6 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
             begins = np.cumsum(counts) - counts
             sums = [np.add.reduceat(x[back], begins) for x in (np.log10((raw + 1) / (model.tokens + model.types + 1)), np.log10(p), (raw > 0).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["row", "n_tokens", "n_known", "base_score", "score"])
+        _get.cache_clear()  # workers live on: what they have mapped would stay with them
 
     return rows.mapInArrow(run, f"row {row_type}, n_tokens long, n_known long, base_score double, score double")
