@@ -62,29 +62,30 @@ def cover(zones: DataFrame, side: int = SIDE) -> Cover:
     return Cover(cells, rows, levels)
 
 
-def _inside(lat: Column, lon: Column, edges: Column) -> Column:
-    """By crossings of a ray to the east; points on an edge are not inside."""
+def _inside(lat: Column, lon: Column, edges: Column, half_open: bool = False) -> Column:
+    """By crossings of a ray to the east; points on an edge are not inside, or with ``half_open`` as the crossings say."""
 
     def crosses(e: Column) -> Column:
-        at = e["alo"] + (lat - e["ala"]) * F.try_divide(e["blo"] - e["alo"], e["bla"] - e["ala"])
+        at = e["alo"] + F.try_divide((lat - e["ala"]) * (e["blo"] - e["alo"]), e["bla"] - e["ala"])
         return F.when(((e["ala"] > lat) != (e["bla"] > lat)) & (lon < at), 1).otherwise(0)
 
     def on(e: Column) -> Column:
         turn = (e["blo"] - e["alo"]) * (lat - e["ala"]) - (e["bla"] - e["ala"]) * (lon - e["alo"])
         return (turn == 0) & lat.between(F.least(e["ala"], e["bla"]), F.greatest(e["ala"], e["bla"])) & lon.between(F.least(e["alo"], e["blo"]), F.greatest(e["alo"], e["blo"]))
 
-    return (F.aggregate(F.transform(edges, crosses), F.lit(0), lambda n, x: n + x) % 2 == 1) & ~F.exists(edges, on)
+    odd = F.aggregate(F.transform(edges, crosses), F.lit(0), lambda n, x: n + x) % 2 == 1
+    return odd if half_open else odd & ~F.exists(edges, on)
 
 
-def zones_of(points: DataFrame, covered: Cover) -> DataFrame:
-    """``points`` (lat, lon) with the ``zone`` that they lie in, a row for each such zone; points in none, or without a place, are left out. Boundaries belong to no zone."""
+def zones_of(points: DataFrame, covered: Cover, half_open: bool = False) -> DataFrame:
+    """``points`` (lat, lon) with the ``zone`` that they lie in, a row for each such zone; points in none, or without a place, are left out. Boundaries belong to no zone, or with ``half_open`` to it where the zone lies north or east of them."""
     placed = points.where(geo.valid(F.col("lat"), F.col("lon")))
     at = placed.withColumn("_level", F.explode(F.array(*map(F.lit, covered.levels)))) if covered.levels else placed.withColumn("_level", F.lit(0)).limit(0)
     at = at.withColumns({"_y": F.floor(F.col("lat") / _width(F.col("_level"))), "_x": F.floor(F.col("lon") / _width(F.col("_level")))})
     cells = covered.cells.select("zone", F.col("level").alias("_level"), F.col("x").alias("_x"), F.col("y").alias("_y"), "inner")
     met = at.join(cells, ["_level", "_x", "_y"])
     rows = covered.rows.select("zone", F.col("level").alias("_level"), F.col("y").alias("_y"), "edges")
-    asked = met.where("not inner").join(rows, ["zone", "_level", "_y"]).where(_inside(F.col("lat"), F.col("lon"), F.col("edges")))
+    asked = met.where("not inner").join(rows, ["zone", "_level", "_y"]).where(_inside(F.col("lat"), F.col("lon"), F.col("edges"), half_open))
     cols = [*points.columns, "zone"]
     return met.where("inner").select(cols).unionByName(asked.select(cols))
 
