@@ -62,8 +62,8 @@ def _batches(path: str, feed: str, names: Sequence[str], schema: StructType) ->
 
     for name in names:
         got = _rows(feed, _message(path, name)) if feed in FEEDS else None
-        if got:
-            yield pa.RecordBatch.from_pylist([{"snapshot": name} | r for r in got], to_arrow_schema(schema))
+        for i in range(0, len(got or []), realtime.AT_ONCE):
+            yield pa.RecordBatch.from_pylist([{"snapshot": name} | r for r in got[i : i + realtime.AT_ONCE]], to_arrow_schema(schema))
 
 
 class _Newest(DataSourceReader):
