@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.tables import written
 from ..functions.text import oneway_truthy, xml_escape
 from .classify import CLASS_A_HIGHWAYS, isin
 from .detectors import DRIVABLE
@@ -71,14 +72,18 @@ def issues_by_element(issues: DataFrame) -> DataFrame:
     return issues.groupBy("id").agg(F.min("uuid").alias("issue"), F.count("*").alias("matches"))
 
 
-def nearest_other(points: DataFrame, roads: DataFrame, radii: tuple[float, ...] = (240.0, 480.0, 800.0), keys: tuple[str, ...] = ("id",), carry: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, distance, other, carry): for a point of a way (keys with id, lat, lon) the nearest vertex of another way, in widening rings; none beyond the last."""
-    out, rest = None, points
+def nearest_other(points: DataFrame, roads: DataFrame, radii: tuple[float, ...] = (8.0, 40.0, 240.0, 480.0, 800.0), keys: tuple[str, ...] = ("id",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, distance, other, carry): for a point of a way (keys with id, lat, lon) the nearest vertex of another way, in widening rings; none beyond the last. The first rings are narrow: where vertices are dense, a wide one holds more of them than can be met."""
+    roads = written(roads, "roads")
+    out, rest = None, written(points.select(*keys, *(c for c in ("id", "lat", "lon") if c not in keys)), "points")
     for metres in radii:
         near = within(rest, roads.withColumnRenamed("id", "other"), metres, ["other", *carry]).where("id <> other")
         best = near.groupBy(*keys).agg(F.min(F.struct("distance", "other", *carry)).alias("b")).select(*keys, "b.*")
+        best = written(best, "ring")
         out = best if out is None else out.unionByName(best)
-        rest = rest.join(best.select(*keys), list(keys), "left_anti")
+        rest = written(rest.join(best.select(*keys), list(keys), "left_anti"), "rest")
+        if rest.isEmpty():
+            break
     return out
 
 
