@@ -97,10 +97,11 @@ def issues(raw: DataFrame) -> DataFrame:
     Elements come in three shapes; titles as texts or by language. Issues that have neither an id nor elements are left out, and so
     is what isn't a JSON object. A place of which one coordinate isn't a number has none.
     """
-    v = F.col("v")
-    rows = raw.select(F.try_parse_json("value").alias("v")).where(is_object(v))
-    elements = first_there(v, "$.elems", "$.osm_ids", "$.elements")
-    rows = rows.select("v", words(first_there(v, "$.uuid", "$.id")).alias("id"), *(_ids(elements, t).alias(f"{t}s") for t in ("way", "node", "relation")))
+    v, sc = F.col("v"), raw.sparkSession.sparkContext
+    # texts are small and dear to read: they are dealt to all cores, whatever few files they come from
+    rows = raw.select("value").repartition(4 * sc.defaultParallelism).select(F.try_parse_json("value").alias("v")).where(is_object(v))
+    rows = rows.select("v", first_there(v, "$.elems", "$.osm_ids", "$.elements").alias("elements"), first_there(v, "$.uuid", "$.id").alias("_id"))
+    rows = rows.select("v", words(F.col("_id")).alias("id"), *(_ids(F.col("elements"), t).alias(f"{t}s") for t in ("way", "node", "relation")))
     rows = rows.where(F.col("id").isNotNull() | (F.size("ways") + F.size("nodes") + F.size("relations") > 0))
     lat, lon = number(at(v, "$.lat")), number(at(v, "$.lon"))
     odd = lambda p, x: at(v, p).isNotNull() & (kind(at(v, p)) != "VOID") & x.isNull()
