@@ -64,3 +64,11 @@ def test_shapefiles_are_of_bounded_size(spark, sf, monkeypatch):
     monkeypatch.setattr(files, "SHAPES_BLOCK", 20)
     assert QUERIES["src_8_10_shapefile"](spark, sf).count() > 0
     assert len([n for n in names if n.endswith(".shp")]) > 25
+
+
+def test_conflicts_of_small_and_large_streets(spark, sf, monkeypatch):
+    got = []
+    for most in (detectors.SMALL, 0):
+        monkeypatch.setattr(detectors, "SMALL", most)
+        got.append(sorted(tuple(r) for r in QUERIES["jn_2_conflicts"](spark, sf).collect()))
+    assert got[0] and got[0] == got[1]
