@@ -8,7 +8,7 @@ from ..functions import geo
 from ..operators import feeds, history, matching, payloads, reports, routes, spatial
 from ..sources.landed import decode_polyline, issue_elements
 from .oracles import TRUTHY, hav, r
-from .registry import classified, gaps, query
+from .registry import classified, gaps, query, suspects
 
 # sources
 
@@ -71,8 +71,9 @@ def flt_13_sanity(x):
 
 @query("select c.id from cls c join ends e on e.id=c.id left join best b on b.id=c.id where defect_class in ('A','AB') and coalesce(conf,0)<0.85", "cls", "ends", "best")
 def flt_14_unverified_ways(x):
-    m = matching.match(x.ways, matching.centerline_records(x.centerline_shapes), fallback=False, fuzzy=False).select("id", "confidence")
-    return reports.unverified(classified(x).join(m, "id", "left")).select("id")
+    own = suspects(x)
+    m = matching.match(own, matching.centerline_records(x.centerline_shapes), fallback=False, fuzzy=False).select("id", "confidence")
+    return reports.unverified(own.join(m, "id", "left")).select("id")
 
 
 @query("select way1_id, way2_id, name_key from gaps", "gaps")
