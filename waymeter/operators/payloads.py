@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..functions.tables import written
@@ -72,29 +73,45 @@ def issues_by_element(issues: DataFrame) -> DataFrame:
     return issues.groupBy("id").agg(F.min("uuid").alias("issue"), F.count("*").alias("matches"))
 
 
-def nearest_other(points: DataFrame, roads: DataFrame, radii: tuple[float, ...] = (8.0, 40.0, 240.0, 480.0, 800.0), keys: tuple[str, ...] = ("id",), carry: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, distance, other, carry): for a point of a way (keys with id, lat, lon) the nearest vertex of another way, in widening rings; none beyond the last. The first rings are narrow: where vertices are dense, a wide one holds more of them than can be met."""
-    roads = written(roads, "roads")
-    out, rest = None, written(points.select(*keys, *(c for c in ("id", "lat", "lon") if c not in keys)), "points")
+def nearest_other(points: DataFrame, roads: DataFrame, radii: tuple[float, ...] = (8.0, 40.0, 240.0, 480.0, 800.0), keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, distance, other, at): for a point of a way (keys with id, lat, lon) the nearest vertex of another way, and where that is, in widening rings; none beyond the last. The first rings are narrow: where vertices are dense, a wide one holds more of them than can be met.
+
+    Places meet, not vertices: of the ways at a place the two smallest ids are kept, since one of them
+    is not the point's own. Points at a place of another way have found theirs there; only the others look round.
+    """
+    # of the ids of each place at most two leave a task
+    first = F.dense_rank().over(Window.partitionBy("lat", "lon").orderBy("id"))
+    two = roads.select("id", "lat", "lon").where("lat + lon is not null").withColumn("_k", first).where("_k <= 2")
+    places = written(two.groupBy("lat", "lon").agg(F.min("id").alias("_a"), F.max("id").alias("_b")), "places").withColumn("at", geo.point(F.col("lat"), F.col("lon")))
+    own = written(points.select(*keys, *(c for c in ("id", "lat", "lon") if c not in keys)), "points")
+    other = F.when(F.col("id") != F.col("_a"), F.col("_a")).when(F.col("id") != F.col("_b"), F.col("_b"))
+
+    def best(near: DataFrame) -> DataFrame:
+        near = near.withColumn("other", other).where("other is not null")
+        return written(near.groupBy(*keys).agg(F.min(F.struct("distance", "other", "at")).alias("b")).select(*keys, "b.*"), "ring")
+
+    # what is in range of the cells, as in the rings
+    here = own.where(geo.valid(F.col("lat"), F.col("lon"))).join(places.hint("merge"), ["lat", "lon"])
+    out = best(here.withColumn("distance", F.lit(0.0)))
+    rest = written(own.join(out.select(*keys).hint("merge"), list(keys), "left_anti"), "rest")
     for metres in radii:
-        near = within(rest, roads.withColumnRenamed("id", "other"), metres, ["other", *carry]).where("id <> other")
-        best = near.groupBy(*keys).agg(F.min(F.struct("distance", "other", *carry)).alias("b")).select(*keys, "b.*")
-        best = written(best, "ring")
-        out = best if out is None else out.unionByName(best)
-        rest = written(rest.join(best.select(*keys), list(keys), "left_anti"), "rest")
         if rest.isEmpty():
             break
+        found = best(within(rest, places, metres, ["_a", "_b", "at"]))
+        out = out.unionByName(found)
+        rest = written(rest.join(found.select(*keys).hint("merge"), list(keys), "left_anti"), "rest")
     return out
 
 
 def route_ends(ways: DataFrame) -> DataFrame:
     """(id, origin, destination) of every way with two vertices or more: the vertices of other drivable ways nearest to its start and its end, as (lat, lon). Both are null where either is missing."""
     g = F.col("geometry")
+    ways = written(ways.select("id", "highway", "geometry"), "ways")
     ends = ways.where("size(geometry) >= 2").select("id", F.explode(F.array(F.struct(F.lit(0).alias("end"), geo.first(g).alias("p")), F.struct(F.lit(1).alias("end"), geo.last(g).alias("p")))).alias("e"))
     ends = ends.select("id", "e.end", F.col("e.p.lat").alias("lat"), F.col("e.p.lon").alias("lon"))
-    roads = vertices(ways.where(F.col("highway").isin(*ROUTED)), "id").withColumn("at", geo.point(F.col("lat"), F.col("lon")))
-    near = nearest_other(ends, roads, keys=("id", "end"), carry=("at",))
-    both = ends.join(near.select("id", "end", "at"), ["id", "end"], "left").groupBy("id").agg(F.max(F.when(F.col("end") == 0, F.col("at"))).alias("o"), F.max(F.when(F.col("end") == 1, F.col("at"))).alias("d"))
+    roads = vertices(ways.where(F.col("highway").isin(*ROUTED)), "id")
+    near = nearest_other(ends, roads, keys=("id", "end"))
+    both = ends.select("id", "end").join(near.select("id", "end", "at"), ["id", "end"], "left").groupBy("id").agg(F.max(F.when(F.col("end") == 0, F.col("at"))).alias("o"), F.max(F.when(F.col("end") == 1, F.col("at"))).alias("d"))
     found = F.col("o").isNotNull() & F.col("d").isNotNull()
     return both.select("id", F.when(found, F.col("o")).alias("origin"), F.when(found, F.col("d")).alias("destination"))
 
