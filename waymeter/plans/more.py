@@ -113,8 +113,9 @@ def jn_13_issues(x):
 )
 def jn_15_nearest_other_way(x):
     g = F.col("geometry")
-    start = x.ways.where("size(geometry) >= 2").select("id", geo.first(g)["lat"].alias("lat"), geo.first(g)["lon"].alias("lon"))
-    roads = spatial.vertices(x.ways.where("highway <> 'service'"), "id")
+    ways = x.kept().ways
+    start = ways.where("size(geometry) >= 2").select("id", geo.first(g)["lat"].alias("lat"), geo.first(g)["lon"].alias("lon"))
+    roads = spatial.vertices(ways.where("highway <> 'service'"), "id")
     return payloads.nearest_other(start, roads).select("id", geo.rounded(F.col("distance"), 1).alias("distance_m"))
 
 
